@@ -183,9 +183,11 @@ def learned_rules(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)  # bounded, so it may be broadcast
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     got = (
-        measured(chosen, "doc_id", "quality").where("not base_failed").select("doc_id", "quality", *FEATURES)
+        measured(chosen, "doc_id", "quality").select("doc_id", "quality", "base_failed", *FEATURES)
         .orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *FEATURES).limit(rows).collect()
     )
+    # Spark would push this filter, and with it the statistics, below the join to all documents.
+    got = [r for r in got if not r.base_failed]
     bad = np.array([r.quality == 0 for r in got], bool)
     if not bad.any() or bad.all():
         return []
