@@ -36,7 +36,7 @@ from loomspan.llm import tokens as tk
 
 #: Weight 5; any two substitutions in a row of 9 words leave a hit of some mask nearby.
 MASKS = ("11111", "110111", "1110011", "10110101", "101001011")
-LEAST_EQUAL, LEAST_SHARE, LEAST_STRETCH, SHORT_WORDS = 13, 0.8, 5, 8
+LEAST_EQUAL, LEAST_SHARE, LEAST_STRETCH, SHORT_WORDS, SIDE = 13, 0.8, 5, 8, 4
 BLOCK_WORDS = 500_000
 _FILTER_BITS = 22
 _WORD = r"[A-Za-z0-9\x{80}-\x{10FFFF}]+"
@@ -127,8 +127,10 @@ def _matches(w: tk.Words, index: Index) -> Iterator[tuple[int, int, int, int, in
         rise = sums - np.minimum.accumulate(sums)
         end = int(rise.argmax())
         begin = end - int(np.flatnonzero(rise[: end + 1][::-1] == 0)[0])
-        same = (np.flatnonzero(equal[begin:end]) + a + begin).tolist()
-        if len(same) >= min(len(item), LEAST_STRETCH):
+        if equal[begin:end].sum() >= min(len(item), LEAST_STRETCH):
+            # A substitution next to the stretch's end must not hide the equal words beyond it.
+            begin, end = max(0, begin - SIDE), min(b - a, end + SIDE)
+            same = (np.flatnonzero(equal[begin:end]) + a + begin).tolist()
             # Words inserted or left out shift the alignment; equal words of its parts count together.
             held, low, high = best.get((r, i), (set(), a + shift + begin, 0))
             best[r, i] = held | set(same), min(low, a + shift + begin), max(high, a + shift + end)
