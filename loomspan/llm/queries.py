@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import decontaminate, jaccard, mixing, quality, quotes, sharding, template, urlfilter
+from loomspan.llm import decontaminate, jaccard, licenses, mixing, quality, quotes, sharding, template, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.reply_ordered(_read(spark, sf_dir, "conversations"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(_read(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_quotation_links, op3_ngram_jaccard, op5_quality_rules, op6_mix_sources, op7_url_filter, op8_decontaminate, op9_shard, op10_main_text,
+        op1_quotation_links, op2_license_scan, op3_ngram_jaccard, op5_quality_rules, op6_mix_sources, op7_url_filter, op8_decontaminate, op9_shard, op10_main_text,
     )}
 
 
