@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from loomspan.llm import decontaminate, jaccard, licenses, mixing, quality, quotes, sharding, template, urlfilter
 
 
@@ -53,9 +54,14 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template.main_texts(_read(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quotation_links, op2_license_scan, op3_ngram_jaccard, op5_quality_rules, op6_mix_sources, op7_url_filter, op8_decontaminate, op9_shard, op10_main_text,
+        pipeline,
     )}
 
 
