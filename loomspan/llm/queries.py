@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from loomspan.llm import decontaminate, jaccard, licenses, mixing, quality, quotes, sharding, template, urlfilter
+from loomspan.llm import decontaminate, jaccard, licenses, mixing, ngram, quality, quotes, sharding, template, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(_read(spark, sf_dir, "documents"))
 
 
+def op4_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.fitted_scores(_read(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -60,7 +64,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_quotation_links, op2_license_scan, op3_ngram_jaccard, op5_quality_rules, op6_mix_sources, op7_url_filter, op8_decontaminate, op9_shard, op10_main_text,
+        op1_quotation_links, op2_license_scan, op3_ngram_jaccard, op4_ngram_scores, op5_quality_rules, op6_mix_sources, op7_url_filter, op8_decontaminate, op9_shard, op10_main_text,
         pipeline,
     )}
 
