@@ -3,7 +3,7 @@
 The low bits of each number are packed side by side; the high bits are unary in
 a bit string, with a directory of the zeros before every 512 bits. Access and
 successor search are vectorised over whole arrays of queries. A sequence is
-three arrays, so it can be saved as plain files and memory-mapped.
+four arrays, so it can be saved as plain files and memory-mapped.
 """
 
 from __future__ import annotations
@@ -14,11 +14,26 @@ from pathlib import Path
 import numpy as np
 
 U = np.uint64
-BLOCK = 512
-_BYTE_SELECT = np.zeros((256, 8), np.int64)  # place of the k-th one in a byte
+SAMPLE, BLOCK = 32, 512
+_FULL = U((1 << 57) - 1)
+_BYTE_SELECT = np.zeros((8, 256), np.int64)  # place of the k-th one in a byte
 for _b in range(256):
     for _k, _i in enumerate(i for i in range(8) if _b >> i & 1):
-        _BYTE_SELECT[_b, _k] = _i
+        _BYTE_SELECT[_k, _b] = _i
+
+
+def _select_in(w: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th one of each 64-bit word."""
+    place = np.zeros(len(w), np.uint64)
+    k = k.astype(np.uint8)
+    for width in (32, 16, 8):
+        ones = np.bitwise_count(w & U((1 << width) - 1))
+        go = k >= ones
+        k = k - ones * go
+        step = go * U(width)
+        place += step
+        w = w >> step
+    return place.astype(np.int64) + _BYTE_SELECT[k, (w & U(255)).astype(np.uint8)]
 
 
 def _unaligned(data: np.ndarray) -> np.ndarray:
@@ -29,11 +44,10 @@ def _unaligned(data: np.ndarray) -> np.ndarray:
 class EliasFano:
     """Monotone numbers; equal neighbours are allowed."""
 
-    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, directory: np.ndarray):
-        self.n, self.bits, self.low, self.high, self.directory = n, bits, low, high, directory
+    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, directory: np.ndarray, blocks: np.ndarray):
+        self.n, self.bits, self.low, self.high, self.directory, self.blocks = n, bits, low, high, directory, blocks
         self._low, self._high = _unaligned(low), _unaligned(high)
-        self._words = high.view("<u8")
-        self._mask = U((1 << bits) - 1)
+        self._mask, self._most = U((1 << bits) - 1), None
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -49,11 +63,14 @@ class EliasFano:
                 low[a * bits // 8 : a * bits // 8 + len(got)] = got
         ups = (values >> U(bits)).astype(np.int64)
         size = n + (top >> bits) + 2
-        marks = np.zeros(-(-size // BLOCK) * BLOCK + 2 * BLOCK, bool)
+        marks = np.zeros(-(-size // BLOCK) * BLOCK + 4 * BLOCK, bool)  # zeros enough at the end
         marks[ups + np.arange(n)] = True
+        zeros = np.flatnonzero(~marks)[::SAMPLE]
+        kind = np.uint32 if len(marks) < 1 << 32 else np.uint64
         high = np.packbits(marks, bitorder="little")
-        zeros = BLOCK - np.bitwise_count(high.view("<u8").reshape(-1, BLOCK // 64)).sum(1, dtype=np.int64)
-        return cls(n, bits, low, high, np.concatenate([[0], np.cumsum(zeros)]))
+        ones = np.bitwise_count(high.view("<u8").reshape(-1, BLOCK // 64)).sum(1, dtype=np.int64)
+        blocks = np.arange(len(ones)) * BLOCK - np.concatenate([[0], np.cumsum(ones[:-1])])
+        return cls(n, bits, low, high, zeros.astype(kind), blocks.astype(kind))
 
     def values(self) -> np.ndarray:
         """All numbers."""
@@ -66,46 +83,63 @@ class EliasFano:
         at = i * self.bits
         return (self._low[at >> 3] >> (at & 7).astype(np.uint64)) & self._mask
 
-    def _select(self, k: np.ndarray, zero: bool) -> np.ndarray:
-        """Place of the k-th zero (or one) of the high bits."""
-        table = self.directory if zero else np.arange(len(self.directory)) * BLOCK - self.directory
-        block = np.searchsorted(table, k, "right") - 1
-        left = k - table[block]
-        words = self._words.reshape(-1, BLOCK // 64)[block]
-        if zero:
-            words = ~words
-        sums = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        word = (sums <= left[:, None]).sum(1)
-        rows = np.arange(len(k))
-        left = left - np.where(word > 0, sums[rows, word - 1], 0)
-        octets = np.ascontiguousarray(words[rows, word]).view(np.uint8).reshape(-1, 8)
-        sums = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int64)
-        octet = (sums <= left[:, None]).sum(1)
-        left = left - np.where(octet > 0, sums[rows, octet - 1], 0)
-        return block * BLOCK + word * 64 + octet * 8 + _BYTE_SELECT[octets[rows, octet], left]
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th zero of the high bits."""
+        at = self.directory[k // SAMPLE].astype(np.int64)
+        left = (k % SAMPLE).astype(np.int64)
+        active = np.arange(len(k))
+        for jump in range(2):
+            active = self._scan(at, left, active, 2 if jump == 0 else 1 << 30, True)
+            if not len(active):
+                break
+            block = np.searchsorted(self.blocks, k[active].astype(self.blocks.dtype), "right") - 1
+            at[active] = block * BLOCK
+            left[active] = k[active] - self.blocks[block].astype(np.int64)
+        return at
+
+    def _scan(self, at: np.ndarray, left: np.ndarray, active: np.ndarray, rounds: int, zero: bool) -> np.ndarray:
+        """Moves ``at`` on to the place of the left-th zero (or one) from there, by 57 bits a round; what isn't there yet."""
+        while len(active) and rounds:
+            here = at[active]
+            word = self._high[here >> 3] >> (here & 7).astype(np.uint64)
+            word = (~word if zero else word) & _FULL
+            n = np.bitwise_count(word)
+            done = n > left[active]
+            last = active[done]
+            at[last] = here[done] + _select_in(word[done], left[last])
+            active = active[~done]
+            at[active] += 57
+            left[active] -= n[~done]
+            rounds -= 1
+        return active
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         """The numbers at places i."""
         i = np.asarray(i, np.int64)
-        return ((self._select(i, False) - i).astype(np.uint64) << U(self.bits)) | self._lows(i)
+        ones = np.arange(len(self.blocks)) * BLOCK - self.blocks.astype(np.int64)  # before each block
+        block = np.searchsorted(ones, i, "right") - 1
+        at, left = block * BLOCK, i - ones[block]
+        self._scan(at, left, np.arange(len(i)), 1 << 30, False)
+        return ((at - i).astype(np.uint64) << U(self.bits)) | self._lows(i)
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each x the first place whose number is at least x (n if there is none), and whether it equals x."""
         x = np.asarray(x, np.uint64)
         if not self.n:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        most = int(self[np.array([self.n - 1])][0])
-        inside = x <= U(most)
+        if self._most is None:
+            self._most = U(self[np.array([self.n - 1])][0])
+        inside = x <= self._most
         h = np.where(inside, x >> U(self.bits), U(0)).astype(np.int64)
         before = np.zeros(len(x), np.int64)  # the bit after the zero that ends the bucket before
         some = h > 0
-        before[some] = self._select(h[some] - 1, True) + 1
+        before[some] = self._zero(h[some] - 1) + 1
         low = before - h
         # The bucket's numbers are the ones up to the next zero.
         run = ~(self._high[before >> 3] >> (before & 7).astype(np.uint64))
         length = np.bitwise_count((run & (U(0) - run)) - U(1)).astype(np.int64)
-        far = length >= 64 - 7
-        length[far] = self._select(h[far], True) - before[far]
+        far = length >= 57
+        length[far] = self._zero(h[far]) - before[far]
         high = low + length
         want = x & self._mask
         # Bisect the buckets together; those that are done drop out.
@@ -123,17 +157,17 @@ class EliasFano:
         return low, equal
 
     def save(self, stem: str) -> None:
-        for name in ("low", "high", "directory"):
+        for name in ("low", "high", "directory", "blocks"):
             save(f"{stem}.{name}", getattr(self, name))
         save(f"{stem}.shape", np.array([self.n, self.bits]))
 
     @classmethod
     def mapped(cls, stem: str) -> EliasFano:
         n, bits = np.load(f"{stem}.shape.npy").tolist()
-        return cls(n, bits, *(np.load(f"{stem}.{name}.npy", mmap_mode="r").view(np.ndarray) for name in ("low", "high", "directory")))
+        return cls(n, bits, *(np.load(f"{stem}.{name}.npy", mmap_mode="r").view(np.ndarray) for name in ("low", "high", "directory", "blocks")))
 
     def nbytes(self) -> int:
-        return self.low.nbytes + self.high.nbytes + self.directory.nbytes
+        return self.low.nbytes + self.high.nbytes + self.directory.nbytes + self.blocks.nbytes
 
     def dump(self) -> bytes:
         """One byte string, for a shuffle."""
@@ -145,7 +179,7 @@ class EliasFano:
         """The numbers of a dumped sequence."""
         n, bits, a, b = np.frombuffer(blob, np.int64, 4).tolist()
         low, high = np.frombuffer(blob, np.uint8, a, 32).copy(), np.frombuffer(blob, np.uint8, b, 32 + a).copy()
-        return EliasFano(n, bits, low, high, np.zeros(1, np.int64)).values()
+        return EliasFano(n, bits, low, high, np.zeros(1, np.int64), np.zeros(1, np.int64)).values()
 
 
 def save(stem: str, array: np.ndarray) -> None:

@@ -98,6 +98,7 @@ class Model:
 
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    shard = shard.astype(np.int16) if len(shard) and shard.max() < 1 << 15 else shard  # small numbers are sorted by radix
     order = np.argsort(shard, kind="stable")
     cuts = np.flatnonzero(np.diff(shard[order])) + 1
     for part in np.split(order, cuts) if len(order) else ():
