@@ -33,4 +33,4 @@ def unpack(c: Column, strict: bool = True) -> Column:
     ``strict`` splits at `` / `` only; otherwise at every ``/``, which tears apart items that hold one.
     """
     parts = F.split(c, SEPARATOR if strict else "/")
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")

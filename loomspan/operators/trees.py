@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 MAX_ARGS = 20
 # Contents of rows that carry arguments and enum constants.
-ARGUMENT_ROW, ENUM_ROW = "引数", "enum定数"
+ARGUMENT_ROW, ENUM_ROW = "引数", "enum"
 _TOKEN = re.compile(r"\s*(@[\w.]+(?:\([^()]*\))?|[\w.$]+|\[\]|\.\.\.|[<>,?&]|\S)")
 PRIMITIVES = frozenset("int long double float boolean char byte short void".split())
 
