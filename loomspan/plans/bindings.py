@@ -13,7 +13,7 @@ from loomspan.plans.targets import Catalogue
 
 _ARG_TYPE = """CASE p_type WHEN 'ECONOMY' THEN 'int' WHEN 'STANDARD' THEN 'String' WHEN 'LARGE' THEN 'List<String>'
   WHEN 'PROMO' THEN 'Map<String, ' || r_name || '>' WHEN 'SMALL' THEN r_name ELSE 'Kind' END"""
-_FIELD_TYPE = """CASE floor(n_nationkey / 5.0) WHEN 0 THEN 'int' WHEN 1 THEN 'String' WHEN 2 THEN 'List<' || t.r_name || '>' WHEN 3 THEN t.r_name ELSE 'Kind' END"""
+_FIELD_TYPE = """CASE floor(n_nationkey / 5.0) WHEN 0 THEN 'int' WHEN 1 THEN 'String' WHEN 2 THEN 'List<String>' WHEN 3 THEN t.r_name ELSE 'Kind' END"""
 _FIELDS = "nation JOIN region r ON n_regionkey = r.r_regionkey JOIN region t ON t.r_regionkey = (n_regionkey + 1) % 5"
 
 #: Name to (tables it reads, SQL). Later ones may read earlier ones.

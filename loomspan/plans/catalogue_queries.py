@@ -84,7 +84,7 @@ INSTRUCTIONS = JUDGED + f""",
 good AS (SELECT * FROM judged WHERE len(reasons) = 0),
 vals AS (SELECT enumName, string_agg(enumValue, ' / ' ORDER BY enumIndex) AS txt FROM enum_data GROUP BY ALL),
 edge AS (
-  SELECT parentObjectId AS from_id, NULL::VARCHAR AS from_ref, CASE position WHEN 'ELEMENT' THEN '[]' WHEN 'KEY' THEN '{{{{key}}}}' WHEN 'VALUE' THEN '{{{{value}}}}' ELSE '' END AS suffix, '-' AS dto, '-' AS fld, objectId AS id,
+  SELECT parentObjectId AS from_id, NULL::VARCHAR AS from_ref, CASE position WHEN 'ELEMENT' THEN '[]' WHEN 'KEY' THEN '{{key}}' WHEN 'VALUE' THEN '{{value}}' ELSE '' END AS suffix, '-' AS dto, '-' AS fld, objectId AS id,
     rawType AS raw, baseType AS base, convModel AS conv, referenceType AS ref, -1 AS lo, -1 AS hi, -1 AS nul FROM object_data WHERE parentObjectId > 0
   UNION ALL SELECT NULL::BIGINT, d.dtoName, '.' || f.fieldName, d.dtoName, f.fieldName, if(f.objectRootId > 0, f.objectRootId, -1), f.rawType, coalesce(o.baseType, f.rawType),
     if(v.enumName IS NULL, f.convModel, 'ENUM'), CASE WHEN coalesce(o.referenceType, '-') <> '-' THEN o.referenceType WHEN f.convModel = 'OBJECT' THEN f.rawType ELSE '-' END, f.validationMin, f.validationMax, f.nullable
@@ -105,7 +105,7 @@ need AS (
 instruction AS (
   SELECT kind, CaseNo, dataId, targetId, if(hit, 'TARGET', 'NORMAL') AS dataRole, if(v.enumName IS NULL, conv, 'ENUM') AS convModel, if(hit, x, '-') AS mirrorX, if(hit, y, '-') AS mirrorY, if(hit, z, '-') AS mirrorZ,
     if(lo = -1, coalesce(m.min_value, -1), lo) AS validationMin, if(hi = -1, coalesce(m.max_value, -1), hi) AS validationMax, nul::BIGINT AS nullable, raw AS referenceType, '' AS fixedValue, coalesce(v.txt, '') AS referenceValues
-  FROM need LEFT JOIN model m ON m.data_model = base LEFT JOIN vals v ON v.enumName = raw)""".replace("{{{{", "{").replace("}}}}", "}")
+  FROM need LEFT JOIN model m ON m.data_model = base LEFT JOIN vals v ON v.enumName = raw)"""
 
 
 def rec(names: list[str], ctes: str, select: str) -> str:
