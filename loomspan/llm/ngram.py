@@ -173,21 +173,32 @@ class Trie:
     def pair_keys(self, shard: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return ((a - self.first[shard]) * self.m.n_words + b).astype(np.uint64)
 
-    def find(self, level: str, shard: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Place of each key in its shard's level, -1 if it isn't there."""
-        out = np.full(len(keys), -1, np.int64)
-        for s, part in _by_shard(shard):
-            place, known = self._sequence(level, s).successor(keys[part])
-            out[part[known]] = place[known]
-        return out
-
-    def take(self, name: str, shard: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """The quantised values at the places (0 where the place is -1)."""
-        out = np.zeros(len(place))
-        for s, part in _by_shard(np.where(place >= 0, shard, -1)):
-            if s >= 0:
-                out[part] = _VALUE[self._array(name, s)[place[part]]]
-        return out
+    def find(self, level: str, shard: np.ndarray, keys: np.ndarray, *values: str) -> list[np.ndarray]:
+        """Place of each key in its shard's level (-1 if it isn't there), and the quantised values at the places (0 if not there).
+
+        Keys are looked up once each and in order, so that neighbouring queries read neighbouring memory.
+        """
+        shift = U(64 - self.m.bits)
+        both = (shard.astype(np.uint64) << shift) | keys if self.m.bits else keys
+        order = np.argsort(both)
+        both = both[order]
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] != both[:-1]
+        asked = both[new]
+        cuts = np.searchsorted(asked >> shift, np.arange(1 << self.m.bits, dtype=np.uint64)).tolist() if self.m.bits else [0]
+        place = np.full(len(asked), -1, np.int64)
+        got = [np.zeros(len(asked), np.uint8) for _ in values]
+        for s, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(asked)])):
+            if a == b:
+                continue
+            at, known = self._sequence(level, s).successor(asked[a:b] & self._rest())
+            at[~known] = -1
+            place[a:b] = at
+            for g, name in zip(got, values):
+                g[a:b][known] = self._array(name, s)[at[known]]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.cumsum(new) - 1
+        return [place[back], *(g[back] for g in got)]
 
 
 _tries: dict[Model, Trie] = {}
@@ -359,17 +370,21 @@ def _fill(model: Model, shards: int, got: dict) -> None:
         save(f"{model.folder}/weights-{s}", np.zeros(n, np.uint8))
 
 
-def _triples(t: Trie, h: np.ndarray, at: np.ndarray):
-    """The words and pairs of the tokens; then the tokens that end a triple of known pairs, with its shard and key."""
+def _triples(t: Trie, h: np.ndarray, at: np.ndarray, *values: str):
+    """The words, and the pairs with their values, of the tokens; then the tokens that end a triple of known pairs, with its shard and key."""
     shard, ids, counts, starts, weights, inner, second = _pairs(t, h, at, True)
     place = np.full(len(h), -1, np.int64)
-    place[second] = t.find("pairs", shard[second - 1], t.pair_keys(shard[second - 1], ids[second - 1], ids[second]))
+    found = t.find("pairs", shard[second - 1], t.pair_keys(shard[second - 1], ids[second - 1], ids[second]), *values)
+    place[second] = found[0]
+    held = [np.zeros(len(h), np.uint8) for _ in values]
+    for v, f in zip(held, found[1:]):
+        v[second] = f
     third = np.flatnonzero(place >= 0)
     third = third[(third >= 2)]
     third = third[(place[third - 1] >= 0) & inner[third - 1]]
     rank = place[third] - starts[third - 1]  # among the successors of the second word
     keys = (place[third - 1] * t.m.degree + rank).astype(np.uint64)
-    return (shard, ids, counts, weights, inner, place), third, shard[third - 2], keys
+    return (ids, counts, weights, inner, *held), third, shard[third - 2], keys
 
 
 def log_probabilities(t: Trie, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -379,24 +394,17 @@ def log_probabilities(t: Trie, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
     if not m.n_words:
         zero = np.full(len(h), np.log10(ADDED / base_total))
         return np.zeros(len(h), bool), zero, zero
-    (shard, ids, counts, weights, inner, place), third, first, keys = _triples(t, h, at)
+    (ids, counts, weights, inner, pair_p, pair_w), third, first, keys = _triples(t, h, at, "pair_p", "pair_w")
     base = (counts + ADDED) / base_total
-    p = base.copy()
-    context = np.flatnonzero(inner)
-    weight = np.where(ids[context - 1] >= 0, _VALUE[weights[context - 1]], 0.0)
-    some = weight > 0
-    context, weight = context[some], weight[some]
-    p[context] = t.take("pair_p", shard[context - 1], place[context]) + weight * p[context]
-    # The pair before a token is its context; it may be known though the token is new in it.
-    after = np.flatnonzero(inner)
-    after = after[after >= 2]
-    after = after[inner[after - 1] & (place[after - 1] >= 0)]
-    weight = t.take("pair_w", shard[after - 2], place[after - 1])
+    # By the back-off weight of the word before, and of the pair before; a token without either keeps the shorter context.
+    weight = np.zeros(len(h))
+    weight[1:] = _VALUE[weights[:-1]] * (inner[1:] & (ids[:-1] >= 0))
+    p = np.where(weight > 0, _VALUE[pair_p] + weight * base, base)
+    weight[:] = 0
+    weight[1:] = _VALUE[pair_w[:-1]] * inner[1:]
     held = np.zeros(len(h))
-    held[third] = t.take("triple_p", first, t.find("triples", first, keys))
-    some = weight > 0
-    after, weight = after[some], weight[some]
-    p[after] = held[after] + weight * p[after]
+    held[third] = _VALUE[t.find("triples", first, keys, "triple_p")[1]]
+    p = np.where(weight > 0, held + weight * p, p)
     return ids >= 0, np.log10(base), np.log10(p)
 
 
