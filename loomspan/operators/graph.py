@@ -103,7 +103,7 @@ def expand(adj: DataFrame, start: str = "/", multiplier: int = MULTIPLIER, max_r
 
 
 def reversed_edges(adj: DataFrame) -> DataFrame:
-    return adj.where(F.col("fromPath") != COMMON).withColumnsRenamed({"fromPath": "toPath", "toPath": "fromPath"})
+    return adj.where(F.col("fromPath") != COMMON).select(F.col("toPath").alias("fromPath"), F.col("fromPath").alias("toPath"), "ord")
 
 
 def max_cost(levels: DataFrame) -> DataFrame:

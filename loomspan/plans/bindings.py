@@ -99,6 +99,54 @@ FROM (SELECT 'C' || lpad(CAST(l_orderkey AS STRING), 9, '0') || '-' || CAST(l_li
   CASE l_suppkey % 4 WHEN 0 THEN '-' WHEN 1 THEN '1:text' WHEN 2 THEN '10:narrow_digits' ELSE CASE WHEN l_tax = 0.08 THEN '4:unknown' ELSE '2:wide' END END AS x,
   CAST(yy.n AS STRING) || ':' || yy.y_id AS y, CASE l_suppkey % 3 WHEN 0 THEN '-' WHEN 1 THEN '2:sql' ELSE '3:html/script' END AS z
   FROM {lineitem} JOIN {args_data} a ON a.n = l_partkey LEFT JOIN {dto_data} d ON d.dtoName = a.rawType AND (d.n - 1 - (d.n - 1) % 5) / 5 = l_suppkey % 5 JOIN {mirror_y_axis} yy ON yy.n = l_linenumber) s"""),
+    "route_nodes": (("region", "nation"), """
+SELECT path, path AS normalizedPath, componentName, 'jsx' AS sourceStrategy, false AS hasDynamicSegment, CAST(ord AS BIGINT) AS ord FROM (
+  SELECT '/' AS path, 'Home' AS componentName, 0 AS ord UNION ALL SELECT '/r' || CAST(r_regionkey AS STRING), 'Region' || CAST(r_regionkey AS STRING), 1 + r_regionkey FROM {region}
+  UNION ALL SELECT '/n' || CAST(n_nationkey AS STRING), 'Nation' || CAST(n_nationkey AS STRING), 100 + n_nationkey FROM {nation}) r"""),
+    "route_edges": (("region", "nation", "supplier"), """
+SELECT 'src/' || f || '.tsx' AS sourceFile, toPath, transitionType, CAST(ord AS BIGINT) AS ord FROM (
+  SELECT 'Home' AS f, '/r' || CAST(r_regionkey AS STRING) AS toPath, 'link' AS transitionType, r_regionkey AS ord FROM {region}
+  UNION ALL SELECT 'Region' || CAST(n_regionkey AS STRING), '/n' || CAST(n_nationkey AS STRING), 'link', 1000 + n_nationkey FROM {nation}
+  UNION ALL SELECT 'Nation' || CAST(a.n_nationkey AS STRING), '/n' || CAST(b.n_nationkey AS STRING), 'navigate', 2000 + a.n_nationkey FROM {nation} a JOIN {nation} b ON b.n_nationkey = a.n_nationkey + 5
+  UNION ALL SELECT 'Nation' || CAST(s_nationkey AS STRING), '/n' || CAST(s_nationkey AS STRING) || '/s' || CAST(s_suppkey AS STRING), 'navigate', 10000 + s_suppkey FROM {supplier}
+  UNION ALL SELECT 'Region' || CAST(r_regionkey AS STRING), '__back__', 'navigate', 5000 + r_regionkey FROM {region}
+  UNION ALL SELECT 'Header', '/n0', 'link', 6000 UNION ALL SELECT 'Header', '/', 'link', 6001 UNION ALL SELECT 'Nation24', '/', 'link', 6002 UNION ALL SELECT 'Footer', '/unknown', 'open', 6003) e"""),
+    "dom_nodes": (("region", "nation"), """
+SELECT screenName, CAST(ord AS BIGINT) AS ord, tagPath, tagName, classAttr, nodeType, CAST(g AS BIGINT) AS directGroupingChildCount, CAST(c AS BIGINT) AS containedOperationTagCount, CAST(d AS BIGINT) AS directOperationTagCount,
+  txt AS textContent, lbl AS ariaLabel FROM (
+  SELECT 's' || CAST(r_regionkey AS STRING) AS screenName, 0 AS ord, 'html' AS tagPath, 'html' AS tagName, CAST(NULL AS STRING) AS classAttr, 'grouping' AS nodeType, 1 AS g, 11 AS c, 0 AS d, CAST(NULL AS STRING) AS txt, CAST(NULL AS STRING) AS lbl FROM {region}
+  UNION ALL SELECT 's' || CAST(r_regionkey AS STRING), 1, 'html>body', 'body', NULL, 'grouping', 2, 11, 1, NULL, NULL FROM {region}
+  UNION ALL SELECT 's' || CAST(r_regionkey AS STRING), 2, 'html>body>ul', 'ul', NULL, 'grouping', 5, 10, 0, NULL, NULL FROM {region}
+  UNION ALL SELECT 's' || CAST(n_regionkey AS STRING), 100 + n_nationkey, 'html>body>ul>li' || CASE WHEN n_nationkey > 19 THEN '.last' ELSE '' END, 'li', CASE WHEN n_nationkey > 19 THEN 'last' END, 'grouping', 0, 2, 2, NULL, NULL FROM {nation}
+  UNION ALL SELECT 's' || CAST(n_regionkey AS STRING), 1000 + n_nationkey, 'html>body>ul>li' || CASE WHEN n_nationkey > 19 THEN '.last' ELSE '' END || '>button[0]', 'button', NULL, 'operation', 0, 0, 0, n_name, CASE WHEN n_nationkey > 9 THEN lower(n_name) END FROM {nation}
+  UNION ALL SELECT 's' || CAST(r_regionkey AS STRING), 5000, 'html>body>div>a[0]', 'a', NULL, 'operation', 0, 0, 0, r_name, NULL FROM {region}
+  UNION ALL SELECT 's' || CAST(r_regionkey AS STRING), 5001, 'input[0]', 'input', NULL, 'operation', 0, 0, 0, '', NULL FROM {region}) n"""),
+    "instruction_rows": (("lineitem",), """
+SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS CaseNo, 'a1' AS dataId, 't' AS targetId,
+  CASE WHEN l_quantity = 7 THEN 'FIXED' WHEN l_returnflag = 'N' THEN 'NORMAL' ELSE 'TARGET' END AS dataRole,
+  CASE l_linenumber % 5 WHEN 0 THEN 'STRING' WHEN 1 THEN 'NUMBER' WHEN 2 THEN 'DECIMAL' WHEN 3 THEN 'ENUM' ELSE 'COLLECTION' END AS convModel, CASE WHEN l_quantity = 9 THEN '3:hw_alphanum' ELSE '-' END AS mirrorX,
+  CASE WHEN l_returnflag = 'R' THEN CASE l_suppkey % 7 WHEN 0 THEN '1:length_null' WHEN 1 THEN '2:length_empty' WHEN 2 THEN '3:length_min' WHEN 3 THEN '4:length_min_minus_1' WHEN 4 THEN '5:length_max'
+    WHEN 5 THEN '6:length_max_plus_1' ELSE '7:length_normal_mid' END ELSE '-' END AS mirrorY,
+  CASE WHEN l_returnflag = 'A' THEN CASE l_suppkey % 4 WHEN 0 THEN '2:sql' WHEN 1 THEN '66:html/script' WHEN 2 THEN '70:empty' ELSE '30:out_of_range' END ELSE '-' END AS mirrorZ,
+  CASE WHEN l_discount = 0 THEN '-1' ELSE CAST(CAST(l_quantity AS BIGINT) % 5 AS STRING) END AS validationMin, CASE WHEN l_tax = 0 THEN '-' ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END AS validationMax,
+  '0' AS nullable, 'String' AS referenceType, CASE WHEN l_quantity = 7 THEN 'fixed' ELSE '' END AS fixedValue, CASE WHEN l_linenumber % 5 = 3 THEN 'X / Y / Z' ELSE '' END AS referenceValues FROM {lineitem}"""),
+    "container_rows": (("orders",), """
+SELECT CaseNo, dataId, 't' AS targetId, 'NORMAL' AS dataRole, convModel, '-' AS mirrorX, mirrorY, '-' AS mirrorZ, low AS validationMin, high AS validationMax, '0' AS nullable, referenceType, '' AS fixedValue, '' AS referenceValues FROM (
+  SELECT CAST(o_orderkey AS STRING) AS CaseNo, 'a1' AS dataId, CASE o_orderstatus WHEN 'F' THEN 'COLLECTION' WHEN 'O' THEN 'ARRAY' ELSE 'MAP' END AS convModel, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN '2:length_empty' WHEN '2' THEN '3:length_min'
+    WHEN '3' THEN '6:length_max_plus_1' ELSE '-' END AS mirrorY, CASE WHEN o_totalprice > 100000 THEN '2' ELSE '-1' END AS low, CASE WHEN o_totalprice > 300000 THEN '4' ELSE '-1' END AS high, 'List<String>' AS referenceType FROM {orders}
+  UNION ALL SELECT CAST(o_orderkey AS STRING), CASE o_orderstatus WHEN 'P' THEN 'a1{{key}}' ELSE 'a1[]' END, CASE o_orderstatus WHEN 'O' THEN 'NUMBER' ELSE 'STRING' END, '-', '-1', '-1', 'String' FROM {orders}
+  UNION ALL SELECT CAST(o_orderkey AS STRING), 'a1{{value}}', 'DATE', '-', '-1', '-1', 'LocalDate' FROM {orders} WHERE o_orderstatus = 'P') c"""),
+    "ui_elements": (("part",), """
+SELECT 'C' || replace(p_brand, '#', '') AS componentName, CASE p_type WHEN 'ECONOMY' THEN 'input' WHEN 'STANDARD' THEN 'a' WHEN 'LARGE' THEN 'button' WHEN 'PROMO' THEN 'TextField' WHEN 'SMALL' THEN 'select' ELSE 'div' END AS tag,
+  CASE p_size % 6 WHEN 0 THEN 'checkbox' WHEN 1 THEN 'file' WHEN 2 THEN 'submit' WHEN 3 THEN 'Radio' WHEN 4 THEN 'reset' END AS typeAttr, CASE WHEN p_size % 4 = 0 THEN 'button' END AS roleAttr, p_size % 5 = 0 AS isMultiple,
+  CASE WHEN p_size % 3 = 0 THEN '/x' END AS href, CASE WHEN p_size % 7 = 0 THEN p_name END AS ariaLabel, CASE WHEN p_size % 7 = 1 THEN p_type END AS labelProp, CASE WHEN p_size % 7 = 2 THEN 'hint' END AS placeholder,
+  CASE WHEN p_size % 7 = 3 THEN '' END AS title, CASE WHEN p_size % 7 = 4 THEN 'l1' END AS ariaLabelledBy, CASE WHEN p_size % 7 = 5 THEN 'l2' END AS htmlFor, CASE WHEN p_size % 8 = 0 THEN 'f' || CAST(p_size AS STRING) END AS formId,
+  'div' AS parentScopeTag, CASE WHEN p_size % 2 = 0 THEN 'row' END AS parentScopeClass, p_partkey FROM {part}"""),
+    "wide_methods": (("part",), f"""
+SELECT 'src/' || replace(p_brand, '#', '') || '.java' AS filePath, replace(p_brand, '#', '') AS className, 'm' || CAST(p_partkey AS STRING) AS methodName, 1 AS process1, CASE WHEN p_type = 'PROMO' THEN p_size % 3 ELSE -1 END AS process3,
+  CASE WHEN p_type = 'PROMO' THEN 'enum' WHEN p_type = 'SMALL' THEN 'if (x)' ELSE '引数' END AS processContent, CASE WHEN p_size > 25 THEN 'int' ELSE 'List<String>' END AS returnType,
+  CASE WHEN p_type = 'PROMO' THEN 'RED' ELSE 'int a' || CAST(p_size AS STRING) END AS arg1, CASE WHEN p_size % 2 = 0 THEN '-' WHEN p_type = 'PROMO' THEN 'BLUE' ELSE 'Map<String, ' || p_type || '> m' END AS arg2,
+  CASE WHEN p_size % 3 = 0 THEN '' WHEN p_type = 'PROMO' THEN 'GREEN' ELSE 'final String[] s' END AS arg3, {", ".join(f"'-' AS arg{i}" for i in range(4, 21))} FROM {{part}}"""),
 }
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -116,7 +164,7 @@ def needed(*names: str) -> list[str]:
 
     for name in names:
         add(name)
-    return [n for n in BINDINGS if n in wanted] if "test_spec" in wanted else [n for n in BINDINGS if n in wanted]
+    return [n for n in BINDINGS if n in wanted]
 
 
 class Tables:
