@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from loomspan.llm import tokens as tk
 
-#: Weight 5; any two substitutions in a row of 9 words leave a hit of some mask nearby.
-MASKS = ("11111", "110111", "1110011", "10110101", "101001011")
+#: Weight 5: one substitution anywhere within six words, and two within seven to nine, leave a hit of some mask.
+MASKS = ("11111", "101111", "110111", "111011", "111101", "1110011", "1100111", "10110101", "101001011")
 LEAST_EQUAL, LEAST_SHARE, LEAST_STRETCH, SHORT_WORDS, SIDE = 13, 0.8, 5, 8, 4
 BLOCK_WORDS = 500_000
 _FILTER_BITS = 22
