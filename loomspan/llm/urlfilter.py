@@ -16,7 +16,7 @@ times meets a capture with a few intervals only. Hot hosts meet a short list
 side and Spark may split them.
 
 Defined results: a capture without url, host or day is not listed. Entries
-without pattern or day are not used. The verdict names the longest pattern,
+with a null are not used. The verdict names the longest pattern,
 then the least list. Repeated captures are each reported.
 """
 
@@ -31,7 +31,7 @@ OPEN_END = 1_000_000
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, pattern, day, listed) to (list, pattern, valid_from, valid_to), days whole numbers, valid_to exclusive."""
-    known = entries.where("pattern is not null and day is not null and listed is not null")
+    known = entries.where("list is not null and pattern is not null and day is not null and listed is not null")
     daily = known.groupBy("list", "pattern", "day").agg(F.min("listed").alias("listed"))  # a removal wins its day
     order = Window.partitionBy("list", "pattern").orderBy("day")
     changed = daily.withColumn("was", F.coalesce(F.lag("listed").over(order), F.lit(False))).where("listed <> was")
