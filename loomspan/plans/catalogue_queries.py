@@ -603,3 +603,18 @@ def case_numbers(wanted: DataFrame, existing: DataFrame, key: list[str], width:
     fresh = trees.ranked(wanted.join(existing, key, "left_anti").select(*key), *key, name="__k").crossJoin(F.broadcast(top))
     numbered = existing.join(wanted, key, "left_semi").select(*key, "no").unionByName(fresh.select(*key, (F.col("top") + F.col("__k")).alias("no")))
     return numbered.select(*key, F.lpad(F.col("no").cast("string"), width, "0").alias("CaseNo"))
+
+
+@query("set05_levels", rec(SPEC, INSTRUCTIONS, "SELECT depth::BIGINT AS depth, count(*) AS n FROM node GROUP BY ALL"))
+def _(t):
+    return instruct.expand(t.catalogue()).groupBy("depth").agg(F.count("*").alias("n"))
+
+
+@query("set06_instruction_kinds", rec(SPEC, INSTRUCTIONS, "SELECT dataRole, convModel, count(*) AS n FROM instruction GROUP BY ALL"))
+def _(t):
+    return instruct.instructions(validate.accepted(t["test_spec"], inputs(t)), inputs(t), t.catalogue()).groupBy("dataRole", "convModel").agg(F.count("*").alias("n"))
+
+
+@query("dml05_refresh", rec([*CATALOGUE, *AXES], CANDIDATES, "SELECT axis, count(*) AS n FROM choice GROUP BY ALL"))
+def _(t):
+    return exploded(t).groupBy("axis").agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan.functions.hashes import md5_prefix, poly31
+from loomspan.functions.packed import packed_agg
 from loomspan.functions.storage import materialise, new_path
 from loomspan.operators import dom, generate, graph, trees, ui
 from loomspan.plans.bindings import Tables, with_sql
@@ -451,3 +452,139 @@ def _(t):
     for kind in ("click", "view", "purchase", "signup", "error"):
         t["events"].where(F.col("event_type") == kind).write.mode("append").parquet(path)
     return t.spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+# --- source scans: the bound methods, written as source text and scanned again ------------------------------------
+
+
+def java_files(t: Tables):
+    """A class for each className of args_data; (path, text)."""
+    method = t["args_data"].groupBy("className", "methodName").agg(packed_agg(F.col("argRaw"), F.col("argIndex")).alias("args"))
+    body = F.concat(F.lit("  /** { */ public void "), "methodName", F.lit("("), F.regexp_replace("args", " / ", ", "), F.lit(') { if (x) { y("}"); } return; }\n'))
+    head = F.concat(F.lit("package app;\nimport a.B;\n@Service public class "), "className", F.lit(" {\n  private final int size = 1;\n"))
+    return method.groupBy("className").agg(F.array_sort(F.collect_list(body)).alias("m")).select(
+        F.concat(F.lit("src/"), "className", F.lit(".java")).alias("path"), F.concat(head, F.array_join("m", ""), F.lit("}\n")).alias("text")
+    )
+
+
+@query("src09_java_scan", with_sql(["args_data"], "SELECT filePath, className, methodName, argIndex, argName, rawType FROM args_data WHERE argIndex <= 20"))
+def _(t):
+    return trees.unpivot_arguments(code.method_rows(code.scan(java_files(t)))).select("filePath", "className", "methodName", "argIndex", "argName", "rawType")
+
+
+@query("tre08_control_flow", with_sql(["args_data"], "SELECT className, methodName, unnest(['if (x)', 'y(\"}\")', 'return']) AS processContent FROM (SELECT DISTINCT className, methodName FROM args_data)"))
+def _(t):
+    return code.scan(java_files(t)).where("kind = 'step'").select("className", "methodName", "processContent")
+
+
+@query("ag10_source_counts", with_sql(["args_data"], "SELECT className, count(DISTINCT methodName) AS methodCount, 0::BIGINT AS variableCount, 1::BIGINT AS constantCount, 'import a.B' AS importList FROM args_data GROUP BY ALL"))
+def _(t):
+    return code.source_rows(code.scan(java_files(t))).select("className", "methodCount", "variableCount", "constantCount", "importList")
+
+
+@query("src10_ts_scan", with_sql(["args_data"], "SELECT className, methodName, argName AS fieldName, rawType AS fieldType FROM args_data"))
+def _(t):
+    typed = F.concat("argName", F.lit(": "), "rawType")
+    method = t["args_data"].groupBy("className", "methodName").agg(packed_agg(typed, F.col("argIndex")).alias("args"))
+    files = method.select(
+        F.concat("className", F.lit("_"), "methodName", F.lit(".ts")).alias("path"),
+        F.concat(F.lit("export class "), "className", F.lit(" { "), "methodName", F.lit("("), F.regexp_replace("args", " / ", ", "), F.lit("): void { go(); } }")).alias("text"),
+    )
+    return code.field_rows(code.scan(files)).where("fieldKind = 'parameter'").select("className", "methodName", "fieldName", "fieldType")
+
+
+def _app(t: Tables):
+    """One file with JSX routes, one with route objects, for the nations."""
+    n = F.col("n_nationkey").cast("string")
+    jsx = F.concat(F.lit('<Route path="/n'), n, F.lit('" element={<Nation'), n, F.lit(" />} />"))
+    obj = F.concat(F.lit("{ path: 'o"), n, F.lit("', element: <Page"), n, F.lit(" /> }"))
+    one = t["nation"].agg(F.array_join(F.array_sort(F.collect_list(jsx)), "\n").alias("a"), F.array_join(F.array_sort(F.collect_list(obj)), ", ").alias("b"))
+    text = F.concat(F.lit("const r = createBrowserRouter([{ path: '/', element: <Home />, children: ["), "b", F.lit("] }]);"))
+    return one.select(F.lit("App.tsx").alias("path"), F.col("a").alias("text")).unionByName(one.select(F.lit("router.tsx").alias("path"), text.alias("text")))
+
+
+@query("src11_jsx_routes", "SELECT 'App.tsx' AS file, '/n' || n_nationkey AS route, 'Nation' || n_nationkey AS component FROM nation")
+def _(t):
+    return code.jsx_routes(_app(t))
+
+
+@query("src12_object_routes", "SELECT 'router.tsx' AS file, '/o' || n_nationkey AS route, 'Page' || n_nationkey AS component FROM nation UNION ALL SELECT 'router.tsx', '/', 'Home'")
+def _(t):
+    return code.object_route_rows(_app(t))
+
+
+@query("ag06_merged_routes", "SELECT '/n' || n_nationkey AS route, 0 AS strategy FROM nation UNION ALL SELECT '/o' || n_nationkey, 1 FROM nation UNION ALL SELECT '/', 1")
+def _(t):
+    return code.merged_routes(code.jsx_routes(_app(t)), code.object_route_rows(_app(t))).select("route", "strategy")
+
+
+@query("src15_jsx_elements", "SELECT 'P' || p_partkey AS componentName, 'input' AS tag, p_name AS ariaLabel, 'checkbox' AS typeAttr FROM part UNION ALL SELECT 'P' || p_partkey, 'a', NULL, NULL FROM part")
+def _(t):
+    text = F.concat(F.lit('const X = () => <div><input type="checkbox" aria-label="'), "p_name", F.lit('" disabled={a > b} /><a href="/x">go</a></div>'))
+    files = t["part"].select(F.concat(F.lit("src/P"), F.col("p_partkey").cast("string"), F.lit(".tsx")).alias("path"), text.alias("text"))
+    return code.jsx_elements(files).select("componentName", "tag", "ariaLabel", "typeAttr")
+
+
+@query("src16_component_files", "SELECT 'src/P' || s_suppkey || '.tsx' AS path FROM supplier WHERE s_nationkey > 5")
+def _(t):
+    text = F.when(F.col("s_nationkey") > 5, "function Page() { return <div/>; }").otherwise("export const x = 1;")
+    files = t["supplier"].select(F.concat(F.lit("src/P"), F.col("s_suppkey").cast("string"), F.lit(".tsx")).alias("path"), text.alias("text"))
+    return code.component_files(files).select("path")
+
+
+# --- the remaining parts of the inventory, each by its own name -----------------------------------------------------
+
+
+@query("ag11_dom_counters", with_sql(["dom_nodes"], "SELECT screenName, sum(directOperationTagCount)::BIGINT AS direct, sum(directGroupingChildCount)::BIGINT AS children FROM dom_nodes GROUP BY ALL"))
+def _(t):
+    return t["dom_nodes"].groupBy("screenName").agg(F.sum("directOperationTagCount").alias("direct"), F.sum("directGroupingChildCount").alias("children"))
+
+
+@query("dml04_truncate_load", "SELECT r_regionkey, r_name FROM region")
+def _(t):
+    path = new_path(t.spark)
+    t["region"].withColumn("r_name", F.lit("old")).write.parquet(path)
+    t["region"].write.mode("overwrite").parquet(path)
+    return t.spark.read.parquet(path)
+
+
+@query("snk02_source_csv", with_sql(["args_data"], "SELECT n::VARCHAR AS n, argRaw, rawType FROM args_data"))
+def _(t):
+    return staging.by_header(t.spark, staging.written(t["args_data"].select("n", "argRaw", "rawType"), new_path(t.spark)))
+
+
+@query("snk07_dom_csv", with_sql(["dom_nodes"], "SELECT screenName, tagPath, coalesce(classAttr, '') AS classAttr FROM dom_nodes"))
+def _(t):
+    return staging.by_header(t.spark, staging.written(t["dom_nodes"].select("screenName", "tagPath", "classAttr"), new_path(t.spark)))
+
+
+@query("so05_by_depth", with_sql(["dom_nodes"], "SELECT screenName, tagPath, len(string_split(tagPath, '>')) AS depth FROM dom_nodes ORDER BY depth, screenName, tagPath"))
+def _(t):
+    return t["dom_nodes"].select("screenName", "tagPath", F.size(F.split("tagPath", ">")).cast("bigint").alias("depth")).orderBy("depth", "screenName", "tagPath")
+
+
+@query("gen03_x_values", with_sql(["instruction_rows"], "SELECT CaseNo, 'AbC123' AS actualValue FROM instruction_rows WHERE mirrorX <> '-'"))
+def _(t):
+    return t["instruction_rows"].where("mirrorX <> '-'").withColumn("v", generate.x_value()).select("CaseNo", F.col("v.value").alias("actualValue"))
+
+
+_LIMITED = VALUES.split("judged AS")[0].rstrip().rstrip(",")
+
+
+@query("gen05_z_values", with_sql(["instruction_rows"], _LIMITED + " SELECT CaseNo, CASE z WHEN 'sql' THEN ''' OR ''1''=''1' WHEN 'html/script' THEN '<script>alert(1)</script>' WHEN 'empty' THEN '' ELSE coalesce(hi + 1, lo - 1)::VARCHAR END AS actualValue FROM limited WHERE mirrorZ <> '-'"))
+def _(t):
+    rows = t["instruction_rows"].where("mirrorZ <> '-' and convModel <> 'COLLECTION'")
+    return rows.withColumn("v", generate.z_value()).select("CaseNo", F.col("v.value").alias("actualValue"))
+
+
+@query("gen06_normal_values", with_sql(["instruction_rows"], _LIMITED + " SELECT CaseNo, usual AS actualValue FROM limited"))
+def _(t):
+    rows = t["instruction_rows"].where("convModel <> 'COLLECTION'")
+    return rows.withColumn("v", generate.normal_value()).select("CaseNo", F.col("v.value").alias("actualValue"))
+
+
+@query("rec04_data_paths", with_sql(["object_data"], "SELECT DISTINCT CASE position WHEN 'ELEMENT' THEN '[]' WHEN 'KEY' THEN '{key}' WHEN 'VALUE' THEN '{value}' ELSE '' END AS suffix FROM object_data WHERE parentObjectId > 0"))
+def _(t):
+    from loomspan.plans.instruct import object_edges
+
+    return object_edges(t["object_data"]).select("suffix").distinct()

@@ -456,6 +456,31 @@ def object_routes(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def object_route_rows(files: DataFrame) -> DataFrame:
+    """(path, text) to (file, route, component) of route objects."""
+
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame([(p, *r) for p, t in zip(frame["path"], frame["text"]) for r in object_routes(t)], columns=["file", "route", "component"])
+
+    return files.select("path", "text").where(F.col("text").rlike("Router|useRoutes")).mapInPandas(run, "file string, route string, component string")
+
+
+def merged_routes(*routes: DataFrame) -> DataFrame:
+    """Routes of several strategies, the first one's for each route. Columns: file, route, component, strategy (from 0)."""
+    out = None
+    for i, r in enumerate(routes):
+        one = r.select("file", "route", "component").withColumn("strategy", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    best = out.groupBy("route").agg(F.min(F.struct("strategy", "file", "component")).alias("r"))
+    return best.select("r.file", "route", "r.component", "r.strategy")
+
+
+def component_files(files: DataFrame) -> DataFrame:
+    """Files that define a component: a capitalised function or constant that returns markup."""
+    return files.where(F.col("path").rlike(r"\.(tsx|jsx)$") & F.col("text").rlike(r"(?s)\b(function|const|class)\s+[A-Z]\w*.*<[A-Za-z]"))
+
+
 def file_route(path: Column) -> Column:
     """The route of a page file: folders are segments, (groups) are dropped, [id] is :id, [...rest] is :rest*, index is its folder."""
     steps = F.split(F.regexp_replace(path, r"\.[^./]*$", ""), "/")

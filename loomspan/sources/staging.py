@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tarfile
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -108,3 +111,23 @@ def constrained(df: DataFrame, key: list[str], checks: dict[str, Column], requir
     again = fine.join(groups.where("n > 1").select(*(F.col(f"`{c}`") for c in key)), key, "left_semi").select(*(F.col(f"`{c}`") for c in names)).exceptAll(kept)
     out = bad.withColumnRenamed("__reasons", "reasons").unionByName(again.withColumn("reasons", F.array(F.lit("primary key"))))
     return kept, out
+
+
+def fill_template(text: str, values: dict[str, str]) -> str:
+    """A prompt from a text with {{NAME}} placeholders; one without a value is an error, values aren't read for placeholders."""
+    lost = sorted(set(re.findall(r"\{\{(\w+)\}\}", text)) - set(values))
+    if lost:
+        raise ValueError(f"no value for {lost}")
+    return re.sub(r"\{\{(\w+)\}\}", lambda m: values[m[1]], text)
+
+
+def bundle(files: Iterable[str], path: str) -> str:
+    """A tar.gz of input files, all of which must be there and not empty."""
+    names = list(files)
+    for name in names:
+        if not os.path.isfile(name) or not os.path.getsize(name):
+            raise ValueError(f"missing or empty: {name}")
+    with tarfile.open(path, "w:gz") as tar:
+        for name in names:
+            tar.add(name, os.path.basename(name))
+    return path
