@@ -126,8 +126,19 @@ def references() -> Column:
     return unpack(F.regexp_replace(F.coalesce("referenceValues", F.lit("")), r"\s+/\s+", " / "))
 
 
+def prepared(instructions: DataFrame) -> DataFrame:
+    """Adds what the value expressions share, each computed once a row: bounds, references, rule ids, the normal value."""
+    out = instructions.withColumns(
+        {
+            "__low": bound(F.col("validationMin")), "__high": bound(F.col("validationMax")), "__refs": references(), "__x": rule_id(F.col("mirrorX")),
+            "__y": rule_id(F.col("mirrorY")), "__z": rule_id(F.col("mirrorZ")), "__conv": F.upper("convModel"),
+        }
+    )
+    return out.withColumn("__normal", normal_value())
+
+
 def normal_value() -> Column:
-    conv, refs = F.upper("convModel"), references()
+    conv, refs = F.col("__conv"), F.col("__refs")
     return (
         F.when(conv.isin(*NORMAL), _value(_lookup(NORMAL, conv)))
         .when((conv == "ENUM") & (F.size(refs) > 0), _value(F.get(refs, F.lit(0))))
@@ -139,14 +150,13 @@ def normal_value() -> Column:
 
 
 def x_value() -> Column:
-    found = _lookup(X_VALUES, rule_id(F.col("mirrorX")))
+    found = _lookup(X_VALUES, F.col("__x"))
     return F.when(found.isNotNull(), _value(found)).otherwise(_state("UNSUPPORTED", reason="unknown X rule"))
 
 
 def y_value() -> Column:
     """Boundary and middle values: text models by length, numeric models by value."""
-    rule, conv = rule_id(F.col("mirrorY")), F.upper("convModel")
-    low, high = bound(F.col("validationMin")), bound(F.col("validationMax"))
+    rule, conv, low, high = F.col("__y"), F.col("__conv"), F.col("__low"), F.col("__high")
     textual, numeric = conv.isin("STRING", "CHAR"), conv.isin("NUMBER", "DECIMAL")
 
     def of_length(n: Column) -> Column:
@@ -165,7 +175,7 @@ def y_value() -> Column:
     )
     number_middle = F.when(both, F.round((low + high) / 2, 16)).otherwise(one)
     middle = (
-        F.when(one.isNull(), normal_value()).when(textual, of_length(text_middle)).when(numeric, _value(plain(number_middle))).otherwise(normal_value())
+        F.when(one.isNotNull() & textual, of_length(text_middle)).when(one.isNotNull() & numeric, _value(plain(number_middle))).otherwise(F.col("__normal"))
     )
     return (
         F.when(rule == "length_null", _state("NULL")).when(rule == "length_empty", _state("EMPTY", ""))
@@ -176,12 +186,11 @@ def y_value() -> Column:
 
 
 def z_value() -> Column:
-    rule, refs = rule_id(F.col("mirrorZ")), references()
-    low, high = bound(F.col("validationMin")), bound(F.col("validationMax"))
+    rule, refs, low, high = F.col("__z"), F.col("__refs"), F.col("__low"), F.col("__high")
     found = _lookup(Z_VALUES, rule)
     beyond = F.coalesce(plain(high + 1), plain(low - 1))
     return (
-        F.when(rule.isin("valid_value", "within_valid_range"), normal_value())
+        F.when(rule.isin("valid_value", "within_valid_range"), F.col("__normal"))
         .when(rule.isin("db_null", "null"), _state("NULL")).when(rule == "empty", _state("EMPTY", ""))
         .when((rule == "out_of_range") & beyond.isNotNull(), _value(beyond)).when(rule == "out_of_range", _state("UNSUPPORTED", reason="bound needed"))
         .when((rule == "within_definition") & (F.size(refs) > 0), _value(F.get(refs, F.lit(0))))
@@ -195,11 +204,11 @@ def _named(c: str) -> Column:
 
 
 def scalar() -> Column:
-    """The value of an instruction: fixed, by its one axis, or normal; more axes than one are unsupported."""
+    """The value of a ``prepared`` instruction: fixed, by its one axis, or normal; more axes than one are unsupported."""
     axes = sum((_named(c).cast("int") for c in ("mirrorX", "mirrorY", "mirrorZ")), F.lit(0))
     return (
         F.when(F.col("dataRole") == "FIXED", _value(F.col("fixedValue"))).when(axes > 1, _state("UNSUPPORTED", reason="more than one axis"))
-        .when(_named("mirrorX"), x_value()).when(_named("mirrorY"), y_value()).when(_named("mirrorZ"), z_value()).otherwise(normal_value())
+        .when(_named("mirrorX"), x_value()).when(_named("mirrorY"), y_value()).when(_named("mirrorZ"), z_value()).otherwise(F.col("__normal"))
     )
 
 
@@ -234,7 +243,7 @@ KEYS = ["CaseNo", "dataId"]
 
 def scalars(instructions: DataFrame) -> DataFrame:
     """Instructions of scalar models with elementIndex 0, valueState, actualValue, actualLength and reason."""
-    rows = instructions.where(~F.upper("convModel").isin(*CONTAINERS)).withColumn("v", scalar())
+    rows = prepared(instructions.where(~F.upper("convModel").isin(*CONTAINERS))).withColumn("v", scalar())
     return rows.select(
         *instructions.columns, F.lit(0).cast("bigint").alias("elementIndex"), F.col("v.state").alias("valueState"), F.col("v.value").alias("actualValue"),
         actual_length(F.col("v.state"), F.col("v.value")).alias("actualLength"), F.col("v.reason").alias("reason"),
@@ -259,8 +268,8 @@ def elements(instructions: DataFrame) -> DataFrame:
         F.array(F.struct(F.lit("[]").alias("end"), unique.alias("differ")))
     )
     wanted = top.select("CaseNo", F.col("dataId").alias("ownerId"), "size", F.explode(ends).alias("e")).select("CaseNo", F.concat("ownerId", "e.end").alias("dataId"), "size", "e.differ")
-    child = instructions.where(~F.upper("convModel").isin(*CONTAINERS)).withColumn("v", scalar()).withColumn("refs", references())
-    rows = wanted.join(child.select("CaseNo", "dataId", "convModel", "v", "refs"), KEYS)
+    child = prepared(instructions.where(~F.upper("convModel").isin(*CONTAINERS))).withColumn("v", scalar())
+    rows = wanted.join(child.select("CaseNo", "dataId", "convModel", "v", F.col("__refs").alias("refs")), KEYS)
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
     value = F.when(F.col("differ") & (F.col("v.state") == "VALUE"), unique_sibling(F.col("convModel"), F.col("v.value"), F.col("refs"), F.col("i"))).otherwise(F.col("v.value"))
     rows = rows.withColumn("actualValue", value).withColumn("valueState", F.when((F.col("v.state") == "VALUE") & F.col("actualValue").isNull(), "UNSUPPORTED").otherwise(F.col("v.state")))

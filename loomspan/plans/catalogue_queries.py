@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.coercion import any_blank, clean_int, clean_text, effective_bound, or_number, or_text, sqlite_int
 from loomspan.functions.packed import joined, packed_agg, unpack
+from loomspan.functions.storage import materialise
 from loomspan.operators import trees
 from loomspan.plans import candidates, instruct, targets, validate
 from loomspan.plans.bindings import Tables, with_sql
@@ -119,6 +120,14 @@ def inputs(t: Tables) -> DataFrame:
     return t.made["ai_input"]
 
 
+def good_rows(t: Tables) -> DataFrame:
+    """The accepted rows; they and the AI input are written once, since instructions read both more than once."""
+    if "accepted" not in t.made:
+        t.made["ai_input"] = materialise(inputs(t))
+        t.made["accepted"] = materialise(validate.accepted(t["test_spec"], inputs(t)))
+    return t.made["accepted"]
+
+
 def exploded(t: Tables) -> DataFrame:
     return candidates.explode_ids(inputs(t))
 
@@ -195,17 +204,17 @@ def _(t):
 
 @query("q18_direct_instructions", rec(SPEC, INSTRUCTIONS, "SELECT * EXCLUDE (kind) FROM instruction WHERE kind = 'd'"))
 def _(t):
-    return instruct.direct(validate.accepted(t["test_spec"], inputs(t)), inputs(t), t.catalogue())
+    return instruct.direct(good_rows(t), inputs(t), t.catalogue())
 
 
 @query("q19_expanded_instructions", rec(SPEC, INSTRUCTIONS, "SELECT * EXCLUDE (kind) FROM instruction WHERE kind = 'e'"))
 def _(t):
-    return instruct.expanded(validate.accepted(t["test_spec"], inputs(t)), inputs(t), t.catalogue())
+    return instruct.expanded(good_rows(t), inputs(t), t.catalogue())
 
 
 @query("q20_instructions", rec(SPEC, INSTRUCTIONS, "SELECT * EXCLUDE (kind) FROM instruction"))
 def _(t):
-    return instruct.instructions(validate.accepted(t["test_spec"], inputs(t)), inputs(t), t.catalogue())
+    return instruct.instructions(good_rows(t), inputs(t), t.catalogue())
 
 
 @query("rec03_structure", rec(SPEC, INSTRUCTIONS, "SELECT filePath, methodName, argIndex, dataId, depth::BIGINT AS depth, conv AS convModel, array_to_string(chain, '>') AS chain FROM node"))
@@ -612,7 +621,7 @@ def _(t):
 
 @query("set06_instruction_kinds", rec(SPEC, INSTRUCTIONS, "SELECT dataRole, convModel, count(*) AS n FROM instruction GROUP BY ALL"))
 def _(t):
-    return instruct.instructions(validate.accepted(t["test_spec"], inputs(t)), inputs(t), t.catalogue()).groupBy("dataRole", "convModel").agg(F.count("*").alias("n"))
+    return instruct.instructions(good_rows(t), inputs(t), t.catalogue()).groupBy("dataRole", "convModel").agg(F.count("*").alias("n"))
 
 
 @query("dml05_refresh", rec([*CATALOGUE, *AXES], CANDIDATES, "SELECT axis, count(*) AS n FROM choice GROUP BY ALL"))

@@ -565,7 +565,7 @@ def _(t):
 
 @query("gen03_x_values", with_sql(["instruction_rows"], "SELECT CaseNo, 'AbC123' AS actualValue FROM instruction_rows WHERE mirrorX <> '-'"))
 def _(t):
-    return t["instruction_rows"].where("mirrorX <> '-'").withColumn("v", generate.x_value()).select("CaseNo", F.col("v.value").alias("actualValue"))
+    return generate.prepared(t["instruction_rows"].where("mirrorX <> '-'")).withColumn("v", generate.x_value()).select("CaseNo", F.col("v.value").alias("actualValue"))
 
 
 _LIMITED = VALUES.split("judged AS")[0].rstrip().rstrip(",")
@@ -574,13 +574,13 @@ _LIMITED = VALUES.split("judged AS")[0].rstrip().rstrip(",")
 @query("gen05_z_values", with_sql(["instruction_rows"], _LIMITED + " SELECT CaseNo, CASE z WHEN 'sql' THEN ''' OR ''1''=''1' WHEN 'html/script' THEN '<script>alert(1)</script>' WHEN 'empty' THEN '' ELSE coalesce(hi + 1, lo - 1)::VARCHAR END AS actualValue FROM limited WHERE mirrorZ <> '-'"))
 def _(t):
     rows = t["instruction_rows"].where("mirrorZ <> '-' and convModel <> 'COLLECTION'")
-    return rows.withColumn("v", generate.z_value()).select("CaseNo", F.col("v.value").alias("actualValue"))
+    return generate.prepared(rows).withColumn("v", generate.z_value()).select("CaseNo", F.col("v.value").alias("actualValue"))
 
 
 @query("gen06_normal_values", with_sql(["instruction_rows"], _LIMITED + " SELECT CaseNo, usual AS actualValue FROM limited"))
 def _(t):
     rows = t["instruction_rows"].where("convModel <> 'COLLECTION'")
-    return rows.withColumn("v", generate.normal_value()).select("CaseNo", F.col("v.value").alias("actualValue"))
+    return generate.prepared(rows).withColumn("v", F.col("__normal")).select("CaseNo", F.col("v.value").alias("actualValue"))
 
 
 @query("rec04_data_paths", with_sql(["object_data"], "SELECT DISTINCT CASE position WHEN 'ELEMENT' THEN '[]' WHEN 'KEY' THEN '{key}' WHEN 'VALUE' THEN '{value}' ELSE '' END AS suffix FROM object_data WHERE parentObjectId > 0"))
