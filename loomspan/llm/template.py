@@ -9,8 +9,12 @@ are the template, and what stands between consecutive template tokens is a slot.
 
 A slot is boilerplate if the template itself says so: it lies inside a menu,
 header, footer, sidebar, form and so on, by tag, role, class or id; or its text
-is the same on every page of the group. The other slots hold the main text, cut
-into blocks at block-level tags.
+is the same on every page of the group. Text inside an article or main element
+is never dropped for being the same everywhere. Pages with the same text outside
+menus and so on are copies and count as one page, whatever their markup. If a
+page without article and main would lose half of its text or more, that text is
+its content and all of it stays. The other slots hold the main text, cut into
+blocks at block-level tags.
 
 Pages of a host are dealt into groups of about ``GROUP_PAGES`` by a hash of the
 page, so a host of any size is many small groups and no page is left out. A
@@ -52,6 +56,8 @@ INLINE = frozenset(
 OUTSIDE = frozenset(
     "head title script style noscript template iframe svg math nav header footer aside form button select option textarea input menu dialog object embed canvas audio video map datalist".split()
 )
+#: Tags and roles of the elements that hold the main text.
+MAIN = frozenset(["article", "main"])
 #: Words of a role, class or id that mark content beside the main text.
 BESIDE = frozenset(
     "nav navbar navigation menu menubar header masthead banner topbar footer colophon sidebar aside complementary contentinfo search form login signup subscribe newsletter"
@@ -81,24 +87,29 @@ def _beside(tag: str, attributes: str) -> bool:
     return False
 
 
-def parse(html: str) -> list[tuple[str, str, bool, bool]]:
-    """Tokens of a page in order: (key, text, outside, block).
+def _main(tag: str, attributes: str) -> bool:
+    return tag in MAIN or any(k.lower() == "role" and v.strip("\"'").lower() in MAIN for k, v in _NAMES.findall(attributes))
+
+
+def parse(html: str) -> list[tuple[str, str, bool, bool, bool]]:
+    """Tokens of a page in order: (key, text, outside, block, main).
 
     A tag's key is its path; its text is empty. A text node's key is "". ``outside``: within an
-    element that never holds main text. ``block``: a tag that begins or ends a block.
+    element that never holds main text. ``block``: a tag that begins or ends a block. ``main``:
+    within an article or main element.
     """
-    out: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, bool, str]] = []  # tag, outside, path
+    out: list[tuple[str, str, bool, bool, bool]] = []
+    stack: list[tuple[str, bool, str, bool]] = []  # tag, outside, path, main
     at = 0
 
     def add_text(text: str) -> None:
         if text:
-            out.append(("", unescape(text), stack[-1][1] if stack else False, False))
+            out.append(("", unescape(text), stack[-1][1] if stack else False, False, stack[-1][3] if stack else False))
 
     def close(n: int) -> None:
         while len(stack) > n:
-            tag, outside, path = stack.pop()
-            out.append((f"/{path}", "", outside, tag not in INLINE))
+            tag, outside, path, main = stack.pop()
+            out.append((f"/{path}", "", outside, tag not in INLINE, main))
 
     while (m := _TOKEN.search(html, at)) is not None:
         add_text(html[at : m.start()])
@@ -117,7 +128,7 @@ def parse(html: str) -> list[tuple[str, str, bool, bool]]:
                     break
             else:
                 if tag == "br" or tag == "p":
-                    out.append(("br", "", stack[-1][1] if stack else False, tag == "p"))
+                    out.append(("br", "", stack[-1][1] if stack else False, tag == "p", stack[-1][3] if stack else False))
             continue
         for n in range(len(stack) - 1, -1, -1):
             if tag in _CLOSES.get(stack[n][0], ()):
@@ -125,16 +136,17 @@ def parse(html: str) -> list[tuple[str, str, bool, bool]]:
                 break
             if stack[n][0] not in INLINE and stack[n][0] not in _CLOSES:
                 break
-        parent = stack[-1] if stack else ("", False, "")
+        parent = stack[-1] if stack else ("", False, "", False)
         outside = parent[1] or _beside(tag, m[3])
+        main = parent[3] or _main(tag, m[3])
         names = " ".join(v.strip("\"'") for k, v in _NAMES.findall(m[3]) if k.lower() == "class")
         path = f"{parent[2]}>{tag}" + (f".{names}" if names else "") if tag not in INLINE else f"{parent[2]}>{tag}"
-        out.append((path, "", outside, tag not in INLINE and tag != "br"))
+        out.append((path, "", outside, tag not in INLINE and tag != "br", main))
         if tag in VOID or m[3].endswith("/"):
             if tag == "br":
-                out.append(("", " ", outside, False))
+                out.append(("", " ", outside, False, main))
             continue
-        stack.append((tag, outside, path))
+        stack.append((tag, outside, path, main))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)
@@ -146,7 +158,7 @@ def parse(html: str) -> list[tuple[str, str, bool, bool]]:
     return out
 
 
-def deduce(pages: list[list[tuple[str, str, bool, bool]]], support: float = SUPPORT) -> list[frozenset[str]]:
+def deduce(pages: list[list[tuple[str, str, bool, bool, bool]]], support: float = SUPPORT) -> list[frozenset[str]]:
     """The valid equivalence classes of tags over the pages, outermost first.
 
     Tokens with the same occurrence vector form a class. A class is valid if its
@@ -196,9 +208,9 @@ def extract(htmls: list[str]) -> list[str]:
     template = frozenset().union(*deduce(distinct)) if len(distinct) > 1 else frozenset()
 
     def slots(page):
-        """(name, outside, blocks) of every slot in order; a slot's name is the template token before it and the tags since."""
+        """(name, outside, main, blocks) of every slot in order; a slot's name is the template token before it and the tags since."""
         name, nth, blocks, text, out = "", Counter(), [], [], []
-        outside_now = None
+        place = None
 
         def flush():
             joined = _SPACE.sub(" ", "".join(text)).strip()
@@ -209,37 +221,40 @@ def extract(htmls: list[str]) -> list[str]:
         def end():
             flush()
             if blocks:
-                out.append((name, bool(outside_now), tuple(blocks)))
+                out.append((name, *place, tuple(blocks)))
             blocks.clear()
 
-        for key, words, outside, block in page:
+        for key, words, outside, block, main in page:
             if key in template and block:
                 end()
                 nth[key] += 1
-                name, outside_now = f"{key}#{nth[key]}", None
+                name, place = f"{key}#{nth[key]}", None
                 continue
             if key and block:
                 flush()
             if not key:
-                if outside_now is not None and outside != outside_now:
+                if place is not None and place != (outside, main):
                     end()
-                outside_now = outside
+                place = (outside, main)
                 text.append(words)
         end()
         return out
 
     cut = [slots(page) for page in pages]
+    # Pages of the same text are copies, whatever their markup: they count once.
+    bodies = {tuple(b for _, outside, _, b in page if not outside): page for page in cut}
+    bodies.pop((), None)
     same: dict[tuple[str, tuple[str, ...]], int] = Counter()
-    if len(distinct) >= SAME_PAGES:
-        for page in {id(p): s for h, p, s in zip(htmls, pages, cut) if h}.values():
-            same.update({(n, b) for n, _, b in page})
-    # Copies of a page must not make its own text look like the template's.
-    several = Counter(h for h in htmls if h)
-    limit = len([h for h in htmls if h])
+    for page in bodies.values():
+        same.update({(n, b) for n, outside, main, b in page if not outside and not main})
+    constant = {x for x, n in same.items() if n >= len(bodies)} if len(bodies) >= SAME_PAGES else frozenset()
     texts = []
-    for html, page in zip(htmls, cut):
-        keep = [b for name, outside, b in page if not outside and not (same[name, b] >= limit > several[html])]
-        texts.append("\n".join(x for b in keep for x in b))
+    for page in cut:
+        own = [(main, (name, b) in constant and not main, b) for name, outside, main, b in page if not outside]
+        dropped, rest = (sum(len(x) for _, drop, b in own if drop == side for x in b) for side in (True, False))
+        # Without article or main, text that is the larger part of the page is its content.
+        drops = any(main for main, _, _ in own) or dropped < rest
+        texts.append("\n".join(x for _, drop, b in own if not (drop and drops) for x in b))
     return texts
 
 

@@ -35,6 +35,37 @@ def test_main_text_of_generated_pages(spark, wrap):
         assert out[i].text == text and out[i].n_chars == len(text)
 
 
+ARTICLE = "<h1>One title</h1><p>The same article on all the pages of this host.</p><p>It has two paragraphs.</p>"
+ARTICLE_TEXT = "One title\nThe same article on all the pages of this host.\nIt has two paragraphs."
+
+
+@pytest.mark.parametrize(
+    "before,body",
+    [
+        ("<script>track({i})</script>", "<article>{a}</article>"), ("<!-- ad {i} --><div class='ad'>buy {i}</div>", "<article>{a}</article>"), ("<nav>menu {i}</nav>", "<div role='main'>{a}</div>"),
+        ("<script>track({i})</script>", "<div class='x1'>{a}</div>"), ("<!-- ad {i} --><div class='ad'>buy {i}</div>", "{a}"), ("<nav>menu {i}</nav>", "<div class='x1'>{a}</div>"),
+    ],
+)
+def test_an_article_that_all_pages_share_is_kept(before, body):
+    pages = [f"<html><body>{before.format(i=i)}{body.format(a=ARTICLE)}</body></html>" for i in range(64)]
+    assert template.extract(pages) == [ARTICLE_TEXT] * 64
+
+
+def test_larger_part_of_a_page_is_kept_beside_a_changing_menu():
+    pages = [f"<html><body><div class='x0'>menu {i}</div><div class='x1'>{ARTICLE}</div></body></html>" for i in range(8)]
+    assert template.extract(pages) == [f"menu {i}\n{ARTICLE_TEXT}" for i in range(8)]
+
+
+def test_constant_text_goes_outside_the_article_only():
+    standing = "<h1>Weekly letter</h1><p>Dear readers, this is our letter.</p><hr>"
+    pages = [f"<html><body><p>All rights reserved by the host.</p><article>{standing}<p>News {i}</p></article></body></html>" for i in range(8)]
+    assert template.extract(pages) == [f"Weekly letter\nDear readers, this is our letter.\nNews {i}" for i in range(8)]
+    # Copies of one page don't make up the number of pages.
+    pages = [f"<html><body><!-- {i} --><p>Shared words.</p><div class='x1'><h1>T{i % 2}</h1><p>Content of the page {i % 2}</p></div></body></html>" for i in range(8)]
+    copies = template.extract(pages)
+    assert [c.split("\n")[1:] for c in copies] == [[f"T{i % 2}", f"Content of the page {i % 2}"] for i in range(8)]
+
+
 def test_equivalence_classes_are_nested_and_ordered():
     pages = [template.parse(f"<html><body><ul>{'<li>x</li>' * n}</ul><div><h1>t</h1></div></body></html>") for n in (1, 2, 3)]
     classes = template.deduce(pages)
