@@ -7,8 +7,9 @@ vector) form an equivalence class. A class is valid if its tokens come in the sa
 every page and its spans nest with the other classes'; valid classes, nested,
 are the template, and what stands between consecutive template tokens is a slot.
 
-A slot is boilerplate if the template itself says so: it lies inside a menu,
-header, footer, sidebar, form and so on, by tag, role, class or id; or its text
+A slot is boilerplate if the page itself says so: it lies inside a menu, header,
+footer, sidebar, form, advert, cookie notice or comments, by its tag, its role or
+a whole name of its class or id (``has-sidebar`` is no sidebar); or its text
 is the same on every page of the group. Text inside an article or main element
 is never dropped for being the same everywhere. Pages with the same text outside
 menus and so on are copies and count as one page, whatever their markup. If a
@@ -16,6 +17,12 @@ page without article and main would lose half of its text or more, that text is
 its content and all of it stays. The other slots hold the main text, cut into
 blocks at block-level tags.
 
+A main element is main text wherever it stands. An article is too, unless it is
+inside an element beside the main text that is closed by its own end tag (a
+teaser in a sidebar) and the text outside of such elements is longer. A form that
+holds the page's structure (article, main, h1, header, footer, nav, aside) is no
+form but the page. Headers inside article and main are theirs, not the page's.
+
 Pages of a host are dealt into groups of about ``GROUP_PAGES`` by a hash of the
 page, so a host of any size is many small groups and no page is left out. A
 page whose group gives no template (a host with a single page) is read by the
@@ -48,49 +55,93 @@ SAME_PAGES = 4
 BROADCAST_HOSTS = 100_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed".split())
+RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed annotation annotation-xml".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mstyle merror mpadded mphantom menclose semantics maction".split()
 )
 #: Tags whose content is never main text.
 OUTSIDE = frozenset(
-    "head title script style noscript template iframe svg math nav header footer aside form button select option textarea input menu dialog object embed canvas audio video map datalist".split()
+    "head title script style noscript template iframe svg annotation annotation-xml nav header footer aside form button select option textarea input menu dialog object embed canvas audio video map datalist".split()
 )
 #: Tags and roles of the elements that hold the main text.
 MAIN = frozenset(["article", "main"])
-#: Words of a role, class or id that mark content beside the main text.
+#: Roles of elements beside the main text.
+BESIDE_ROLES = frozenset("banner complementary contentinfo dialog alertdialog form menu menubar navigation search".split())
+#: Whole names of a class or id (lower case, words joined by "-") that mark content beside the main text.
 BESIDE = frozenset(
-    "nav navbar navigation menu menubar header masthead banner topbar footer colophon sidebar aside complementary contentinfo search form login signup subscribe newsletter"
-    " ad ads advert adverts advertisement adsense sponsor sponsored promo promotion cookie cookies consent notice notification alert gdpr popup modal overlay"
-    " comment comments disqus replies respond reply breadcrumb breadcrumbs pagination pager share sharing social related recommended widget toolbar skip copyright legal disclaimer tags byline".split()
+    "nav navbar navigation menu menubar main-menu main-nav nav-menu site-nav top-nav breadcrumb breadcrumbs pagination pager header masthead site-header page-header topbar"
+    " footer colophon site-footer page-footer sidebar side-bar left-sidebar right-sidebar sidebar-left sidebar-right aside ad ads advert adverts advertisement advertisements adsense ad-banner banner-ad"
+    " cookie cookies cookie-notice cookie-banner cookie-bar cookie-consent cookie-popup consent gdpr gdpr-notice comment comments comment-list comments-list comments-area disqus disqus-thread"
+    " login login-form search-form signup signup-form subscribe-form newsletter newsletter-form contact-form".split()
 )
+#: Names and tags that mean the page's own only outside article and main.
+_OF_PAGE = frozenset("header masthead site-header page-header".split())
+#: What a form holds only if it is wrapped around the page.
+_STRUCTURE = frozenset("article main h1 header footer nav aside".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|[\s\"'])(role|class|id|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_WORDS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 #: An open element of the key is closed when one of the value begins.
 _CLOSES = {"p": frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 pre blockquote section article aside header footer nav main form fieldset figure hr address li dt dd tr td th".split()),
            "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
 
-def _beside(tag: str, attributes: str) -> bool:
-    if tag in OUTSIDE:
-        return True
+def _beside(tag: str, attributes: str, main: bool) -> str:
+    """Why an element is beside the main text: its tag, role or name; "" if it isn't."""
+    if tag in OUTSIDE and not (main and tag in _OF_PAGE):
+        return tag
     if tag in ("html", "body", "main", "article"):
-        return False
+        return ""
     for name, value in _NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name != "aria-hidden" and any(x.lower() in BESIDE for x in _SPLIT.split(value) if x):
-            return True
-    return False
+            return "hidden"
+        for x in value.split() if name != "aria-hidden" else ():
+            x = x.lower() if name == "role" else "-".join(w for w in _WORDS.split(x) if w).lower()
+            if x in (BESIDE_ROLES if name == "role" else BESIDE) and not (main and x in _OF_PAGE):
+                return x
+    return ""
 
 
 def _main(tag: str, attributes: str) -> bool:
     return tag in MAIN or any(k.lower() == "role" and v.strip("\"'").lower() in MAIN for k, v in _NAMES.findall(attributes))
 
 
+class _Element:
+    """An open or closed element: what it says of its text."""
+
+    __slots__ = ("tag", "path", "parent", "why", "main", "starts", "ended", "page", "hides", "inside")
+
+    def __init__(self, tag: str, path: str, parent: _Element | None, why: str, starts: bool):
+        self.tag, self.path, self.parent, self.why, self.starts = tag, path, parent, why, starts
+        self.main = starts or bool(parent and parent.main)
+        self.ended = self.page = False
+
+
+def _settle(elements: list[_Element], texts: list[tuple[str, _Element | None]]) -> None:
+    """Set ``hides`` (text is beside the main text) of each element, parents first."""
+
+    def settle(free: bool) -> None:
+        for e in elements:
+            up = e.parent
+            # Elements beside the main text that their own end tag closes.
+            closed = bool(up and up.inside) or bool(e.why) and e.ended and not (e.why == "form" and e.page)
+            hides = bool(up and up.hides) or bool(e.why) and not (e.why == "form" and e.page)
+            if e.starts and not e.why and (e.tag == "main" or free or not closed):
+                closed = hides = False
+            e.inside, e.hides = closed, hides
+
+    settle(False)
+    if any(e.starts and e.hides and not e.why for e in elements):
+        kept = sum(len(t.strip()) for t, e in texts if not (e and e.hides))
+        before = {e for e in elements if e.hides}
+        settle(True)
+        if sum(len(t.strip()) for t, e in texts if e in before and not e.hides) <= kept:
+            settle(False)
+
+
 def parse(html: str) -> list[tuple[str, str, bool, bool, bool]]:
     """Tokens of a page in order: (key, text, outside, block, main).
 
@@ -98,18 +149,22 @@ def parse(html: str) -> list[tuple[str, str, bool, bool, bool]]:
     element that never holds main text. ``block``: a tag that begins or ends a block. ``main``:
     within an article or main element.
     """
-    out: list[tuple[str, str, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, str, bool]] = []  # tag, outside, path, main
+    out: list[tuple[str, str, bool, _Element | None]] = []  # key, text, block, element
+    stack: list[_Element] = []
+    elements: list[_Element] = []
+    forms: list[_Element] = []  # open
     at = 0
 
     def add_text(text: str) -> None:
         if text:
-            out.append(("", unescape(text), stack[-1][1] if stack else False, False, stack[-1][3] if stack else False))
+            out.append(("", unescape(text), False, stack[-1] if stack else None))
 
     def close(n: int) -> None:
         while len(stack) > n:
-            tag, outside, path, main = stack.pop()
-            out.append((f"/{path}", "", outside, tag not in INLINE, main))
+            e = stack.pop()
+            if forms and forms[-1] is e:
+                forms.pop()
+            out.append((f"/{e.path}", "", e.tag not in INLINE, e))
 
     while (m := _TOKEN.search(html, at)) is not None:
         add_text(html[at : m.start()])
@@ -121,41 +176,49 @@ def parse(html: str) -> list[tuple[str, str, bool, bool, bool]]:
             continue
         if m[1]:
             for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == tag:
+                if stack[n].tag == tag:
                     # An inline end tag doesn't close blocks opened after it.
-                    if tag not in INLINE or all(x[0] in INLINE for x in stack[n:]):
+                    if tag not in INLINE or all(x.tag in INLINE for x in stack[n:]):
+                        stack[n].ended = True
                         close(n)
                     break
             else:
                 if tag == "br" or tag == "p":
-                    out.append(("br", "", stack[-1][1] if stack else False, tag == "p", stack[-1][3] if stack else False))
+                    out.append(("br", "", tag == "p", stack[-1] if stack else None))
             continue
         for n in range(len(stack) - 1, -1, -1):
-            if tag in _CLOSES.get(stack[n][0], ()):
+            if tag in _CLOSES.get(stack[n].tag, ()):
                 close(n)
                 break
-            if stack[n][0] not in INLINE and stack[n][0] not in _CLOSES:
+            if stack[n].tag not in INLINE and stack[n].tag not in _CLOSES:
                 break
-        parent = stack[-1] if stack else ("", False, "", False)
-        outside = parent[1] or _beside(tag, m[3])
-        main = parent[3] or _main(tag, m[3])
-        names = " ".join(v.strip("\"'") for k, v in _NAMES.findall(m[3]) if k.lower() == "class")
-        path = f"{parent[2]}>{tag}" + (f".{names}" if names else "") if tag not in INLINE else f"{parent[2]}>{tag}"
-        out.append((path, "", outside, tag not in INLINE and tag != "br", main))
+        parent = stack[-1] if stack else None
+        names = " ".join(v.strip("\"'") for k, v in _NAMES.findall(m[3]) if k.lower() == "class") if m[3] else ""
+        path = (parent.path if parent else "") + f">{tag}" + (f".{names}" if names and tag not in INLINE else "")
+        element = _Element(tag, path, parent, _beside(tag, m[3], bool(parent and parent.main)), _main(tag, m[3]))
+        elements.append(element)
+        if forms and (tag in _STRUCTURE or element.starts):
+            for form in forms:
+                form.page = True
+        out.append((path, "", tag not in INLINE and tag != "br", element))
         if tag in VOID or m[3].endswith("/"):
             if tag == "br":
-                out.append(("", " ", outside, False, main))
+                out.append(("", " ", False, element))
             continue
-        stack.append((tag, outside, path, main))
+        stack.append(element)
+        if element.why == "form" and not element.main:
+            forms.append(element)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)
+            element.ended = True
             close(len(stack) - 1)
     rest = html[at:]
     cut = rest.rfind("<")  # a tag that the end of the page cut
     add_text(rest[:cut] if cut >= 0 and re.match(r"<[/!A-Za-z]", rest[cut:] + "a") else rest)
     close(0)
-    return out
+    _settle(elements, [(text, e) for key, text, _, e in out if not key])
+    return [(key, text, bool(e and e.hides), block, bool(e and e.main)) for key, text, block, e in out]
 
 
 def deduce(pages: list[list[tuple[str, str, bool, bool, bool]]], support: float = SUPPORT) -> list[frozenset[str]]:

@@ -66,6 +66,23 @@ def test_constant_text_goes_outside_the_article_only():
     assert [c.split("\n")[1:] for c in copies] == [[f"T{i % 2}", f"Content of the page {i % 2}"] for i in range(8)]
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<div class='content has-sidebar'><article><p>a</article></div>", "a"), ("<div id='page' class='with-header'><article><p>a</article></div>", "a"),
+        ("<div class='content with_footer noSidebar'><p>a</div>", "a"), ("<form action=/><header>h</header><div class=x><h1>t</h1><p>a</div><input></form>", "t\na"),
+        ("<form><article><p>a</article></form>", "a"), ("<div class='ad'>buy<article><p>a</article><p>b</body>", "a"), ("<nav><a>home</a><main><p>a</main></nav>", "a"),
+        ("<article>" + "".join(f"<p class='{c}'>{c}</p>" for c in "legal byline tags share alert search disclaimer".split()) + "</article>", "legal\nbyline\ntags\nshare\nalert\nsearch\ndisclaimer"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds", "so x=1 holds"), ("<article><header><h1>t</h1></header><p>a</article>", "t\na"),
+        ("<article><p>first</p></article><div class='ad'>buy<article><p>next</article>", "first\nnext"), ("<div class='sidebar'><article><p>only one</article></div>", "only one"),
+        ("<article><p>the main text</p><nav>n</nav></article><aside><article>teaser</article></aside><section id='comments'><article>nice</article></section>", "the main text"),
+        ("<div class='SiteHeader'>h</div><div id=main-nav>n</div><div role=search>s</div><form>f</form><p>a", "a"), ("<body class='search'><p>a", "a"),
+    ],
+)
+def test_beside_is_by_whole_names_and_not_around_the_article(html, text):
+    assert template.extract([html]) == [text]
+
+
 def test_equivalence_classes_are_nested_and_ordered():
     pages = [template.parse(f"<html><body><ul>{'<li>x</li>' * n}</ul><div><h1>t</h1></div></body></html>") for n in (1, 2, 3)]
     classes = template.deduce(pages)
