@@ -4,10 +4,12 @@ A seed is a fixed mask over consecutive words that ignores the positions marked
 0, so a substituted word there doesn't hide a copy. Every window of every item
 is hashed under every mask; so is every window of every document; where the
 hashes meet, item and document are aligned and the overlap is verified word by
-word: the best stretch of each alignment (+1 for an equal word, -1 for a
-different one) counts if it has ``LEAST_STRETCH`` equal words. A document holds
-a passage of an item if its stretches have ``LEAST_EQUAL`` of the item's words,
-or ``LEAST_SHARE`` of them if that is fewer.
+word. A document holds a passage of an item if it has ``LEAST_EQUAL`` of the
+item's words, or ``LEAST_SHARE`` of them if that is fewer, either in one
+alignment (equal words within ``NEAR`` words of a window of ``WINDOW`` words of
+which ``LEAST_STRETCH`` are equal) or in the stretches of several (all of those,
++1 for an equal word and -1 for a different one, that have ``LEAST_STRETCH``
+equal words). What is missed has no window that a mask fits.
 
 The test side is read in blocks of at most ``BLOCK_WORDS`` words, each of which
 is sent to the executors as one index; documents are only scanned, never
@@ -37,6 +39,8 @@ from loomspan.llm import tokens as tk
 #: Weight 5: one substitution anywhere within six words, and two within seven to nine, leave a hit of some mask.
 MASKS = ("11111", "101111", "110111", "111011", "111101", "1110011", "1100111", "10110101", "101001011")
 LEAST_EQUAL, LEAST_SHARE, LEAST_STRETCH, SHORT_WORDS, SIDE = 13, 0.8, 5, 8, 4
+#: The longest mask; equal words so near to a window of that length count with it.
+WINDOW, NEAR = 9, 32
 BLOCK_WORDS = 500_000
 _FILTER_BITS = 22
 _WORD = r"[A-Za-z0-9\x{80}-\x{10FFFF}]+"
@@ -117,29 +121,72 @@ def _matches(w: tk.Words, index: Index) -> Iterator[tuple[int, int, int, int, in
         found.append(np.stack([np.repeat(row, n), index.item[k][entry], np.repeat(at - w.first[row], n) - index.place[k][entry]], 1))
     if not found:
         return
-    best: dict[tuple[int, int], tuple[set[int], int, int]] = {}
+    best: dict[tuple[int, int], tuple[set[int], int, int]] = {}  # of stretches
+    alone: dict[tuple[int, int], tuple[set[int], int, int]] = {}  # of alignments that hold a passage by themselves
     for r, i, shift in np.unique(np.concatenate(found), axis=0).tolist():
         item = index.words[index.first[i] : index.first[i + 1]]
         doc = w.hash[w.first[r] : w.first[r + 1]]
         a, b = max(0, -shift), min(len(item), len(doc) - shift)
         equal = item[a:b] == doc[a + shift : b + shift]
-        sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -1))])
-        rise = sums - np.minimum.accumulate(sums)
-        end = int(rise.argmax())
-        begin = end - int(np.flatnonzero(rise[: end + 1][::-1] == 0)[0])
-        if equal[begin:end].sum() >= min(len(item), LEAST_STRETCH):
-            # A substitution next to the stretch's end must not hide the equal words beyond it.
+        least = min(len(item), LEAST_STRETCH)
+        if equal.sum() < least:
+            continue
+        # Words inserted or left out shift the alignment; equal words of its parts count together.
+        for begin, end in _stretches(equal, least):
             begin, end = max(0, begin - SIDE), min(b - a, end + SIDE)
-            same = (np.flatnonzero(equal[begin:end]) + a + begin).tolist()
-            # Words inserted or left out shift the alignment; equal words of its parts count together.
-            held, low, high = best.get((r, i), (set(), a + shift + begin, 0))
-            best[r, i] = held | set(same), min(low, a + shift + begin), max(high, a + shift + end)
-    for (r, i), (same, start, end) in best.items():
+            _add(best, (r, i), np.flatnonzero(equal[begin:end]) + begin + a, shift)
+        at = _near(equal, least)
+        if len(at) >= _needed(len(item)):
+            _add(alone, (r, i), at + a, shift)
+    for r, i in best.keys() | alone.keys():
         n = int(index.first[i + 1] - index.first[i])
-        if len(same) >= (n if n < SHORT_WORDS else min(LEAST_EQUAL, math.ceil(n * LEAST_SHARE))):
+        same, start, end = best.get((r, i), (set(), 0, 0))
+        if (r, i) in alone:
+            more, low, high = alone[r, i]
+            start, end = (min(low, start), max(high, end)) if same else (low, high)
+            same = same | more
+        if len(same) >= _needed(n):
             yield r, i, len(same), end - start, start
 
 
+def _needed(n: int) -> int:
+    return n if n < SHORT_WORDS else min(LEAST_EQUAL, math.ceil(n * LEAST_SHARE))
+
+
+def _add(to: dict, pair: tuple[int, int], words: np.ndarray, shift: int) -> None:
+    """Add equal words of an item, and the span of the document that they are in."""
+    held, low, high = to.get(pair, (set(), int(words[0]) + shift, 0))
+    to[pair] = held | set(words.tolist()), min(low, int(words[0]) + shift), max(high, int(words[-1]) + shift + 1)
+
+
+def _stretches(equal: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+    """Every stretch of ``least`` equal words: from where the sum (+1 equal, -1 different) leaves its floor to its peak."""
+    if equal.all():
+        yield 0, len(equal)
+        return
+    sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -1))])
+    rise = sums - np.minimum.accumulate(sums)
+    floor = np.flatnonzero(rise == 0)
+    for begin, after in zip(floor.tolist(), [*floor[1:].tolist(), len(rise)]):
+        if after - begin > least:
+            end = begin + int(rise[begin:after].argmax())
+            if equal[begin:end].sum() >= least:
+                yield begin, end
+
+
+def _near(equal: np.ndarray, least: int) -> np.ndarray:
+    """The equal words that are near a window with ``least`` equal words."""
+    if equal.all():
+        return np.arange(len(equal))
+    size = min(WINDOW, len(equal))
+    sums = np.concatenate([[0], np.cumsum(equal)])
+    dense = np.flatnonzero(sums[size:] - sums[:-size] >= least)
+    edges = np.zeros(len(equal) + 1, np.int64)
+    np.add.at(edges, np.maximum(dense - NEAR, 0), 1)
+    np.add.at(edges, np.minimum(dense + size + NEAR, len(equal)), -1)
+    return np.flatnonzero(equal & (np.cumsum(edges[:-1]) > 0))
+
+
 def blocks(benchmark: DataFrame, most_words: int = BLOCK_WORDS) -> Iterator[Index]:
     """Indexes over all items, each of about ``most_words`` words at most (one item may have more)."""
     items = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))

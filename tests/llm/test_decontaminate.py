@@ -63,6 +63,46 @@ def test_substitutions_are_tolerated_as_by_brute_force():
     assert wanted > 140 and found >= 0.98 * wanted
 
 
+def seeded(doc, item):
+    """Whether a mask fits an alignment that has enough equal words."""
+    for shift in range(-len(item) + 1, len(doc)):
+        equal = [0 <= j + shift < len(doc) and doc[j + shift] == item[j] for j in range(len(item))]
+        if sum(equal) >= min(d.LEAST_EQUAL, -(-4 * len(item) // 5)) and any(
+            all(equal[p + k] for k, c in enumerate(m) if c == "1") for m in d.MASKS for p in range(len(item) - len(m) + 1)
+        ):
+            return True
+    return False
+
+
+def held(doc, item):
+    return bool(list(d._matches(d._words(pa.array([" ".join(doc)])), d.build([1], [" ".join(item)]))))
+
+
+@pytest.mark.parametrize("rate", [0.2, 0.25, 0.3, 0.35])
+def test_nothing_is_lost_in_verification(rate):
+    rng = random.Random(int(rate * 100))
+    vocabulary = [f"v{i}" for i in range(3000)]
+    wanted = with_seed = 0
+    for _ in range(300):
+        item = rng.choices(vocabulary, k=rng.randrange(15, 26))
+        copy = [w if rng.random() >= rate else "other" for w in item]
+        doc = rng.choices(vocabulary, k=20) + copy + rng.choices(vocabulary, k=20)
+        wanted += brute(doc, item, None)
+        if seeded(doc, item):
+            with_seed += 1
+            assert held(doc, item)
+        elif not brute(doc, item, None):
+            assert not held(doc, item)
+    assert wanted >= 20 and with_seed >= (1 if rate == 0.2 else 0.97) * wanted
+
+
+@pytest.mark.parametrize("put_in", range(9, 16))
+def test_a_middle_that_is_replaced(put_in):
+    item = [f"v{i}" for i in range(36)]
+    assert held(["a"] * 10 + item[:12] + ["other"] * put_in + item[24:] + ["b"] * 10, item)
+    assert not held(["a"] * 10 + item[:6] + ["other"] * put_in + item[30:] + ["b"] * 10, item)
+
+
 @pytest.mark.parametrize("items", [[], [(1, None)], [(1, " "), (2, "!!")]])
 def test_no_items(spark, items):
     bench = spark.createDataFrame(items, ITEMS)
