@@ -2,8 +2,11 @@
 
 Lines that begin with ">" are quotes; the number of ">" is their level. Runs of
 lines of one level are passages. Passages, and the messages' own text, are cut
-into units (the passage, and each of its sentences), normalised (lower case,
-letters and digits only, single spaces) and hashed. A quoted unit belongs to the
+into units (the passage, each of its sentences, each line and each run of
+consecutive lines), normalised (lower case, letters and digits only, single
+spaces) and hashed, so a quote may be part of a list or wrapped in another way.
+Runs of more words than the longest passage of the other side in the
+conversation can't meet anything and aren't made. A quoted unit belongs to the
 original message: the first message of the conversation whose own text has that
 unit, if it is earlier. A message answers the message that most of its units of
 the outermost matched level come from (ties: the latest); without any, it
@@ -20,7 +23,7 @@ any length is many small ranges; messages of a conversation are never collected.
 Defined results: null text is empty text. Messages without conv_id or turn have
 no parent and are branch 0, place 0. Messages of the same turn share parent,
 branch and place. Units of fewer than ``UNIT_WORDS`` words are only compared as
-whole passages.
+whole passages and whole lines.
 """
 
 from __future__ import annotations
@@ -87,13 +90,29 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def lines_of(text: Column) -> Column:
+    """A passage's lines, normalised, without those that have no words."""
+    return F.filter(F.transform(F.split(text, "\n"), normalised), lambda s: s != "")
+
+
 def units(text: Column) -> Column:
-    """Distinct hashes of a passage's units."""
+    """Distinct hashes of a passage's units but its runs of lines."""
     sentences = F.filter(
         F.transform(F.split(text, r"(?<=[.!?])\s+|\n\s*\n"), normalised), lambda s: F.size(F.split(s, " ")) >= UNIT_WORDS
     )
     whole = F.filter(F.array(normalised(text)), lambda s: s != "")
-    return F.array_distinct(F.transform(F.concat(sentences, whole), lambda s: F.xxhash64(s)))
+    return F.array_distinct(F.transform(F.concat(sentences, whole, lines_of(text)), lambda s: F.xxhash64(s)))
+
+
+def runs_from(lines: Column, words: Column, start: Column, most: Column) -> Column:
+    """Hashes of the runs of two lines or more, ``UNIT_WORDS`` words or more and ``most`` words at most that begin at a line (from 0).
+
+    ``words``: the number of words up to the end of each line.
+    """
+    before = F.when(start > 0, F.get(words, start - 1)).otherwise(0)
+    last = F.least(F.size(lines) - start, most)  # every line has a word
+    counts = F.filter(F.when(last >= 2, F.sequence(F.lit(2), last)).otherwise(F.array().cast("array<int>")), lambda n: (F.get(words, start + n - 1) - before).between(UNIT_WORDS, most))
+    return F.transform(counts, lambda n: F.xxhash64(F.array_join(F.slice(lines, start + 1, n), " ")))
 
 
 def body(text: Column) -> Column:
@@ -106,6 +125,25 @@ def chat_form(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), F.coalesce(role, F.lit("user")), F.lit("|>\n"), text, F.lit("\n<|end|>\n"))
 
 
+def _runs(parts: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, unit) of the runs of lines that the other side's passages are long enough for."""
+    lined = parts.select("conv_id", "turn", "level", F.explode(F.array(lines_of(F.col("text")))).alias("lines"))
+    total = F.aggregate("lines", F.lit(0), lambda n, s: n + F.size(F.split(s, " ")))
+    longest = lined.groupBy("conv_id").agg(
+        F.max(F.when(F.col("level") == 0, total)).alias("own"), F.max(F.when(F.col("level") > 0, total)).alias("quoted")
+    )
+    most = F.when(F.col("level") == 0, F.col("quoted")).otherwise(F.col("own"))
+    several = lined.where(F.size("lines") > 1).join(longest, "conv_id").withColumn("most", most).where(F.col("most") >= UNIT_WORDS)
+    none = F.array().cast("array<int>")
+    ends = F.aggregate(
+        "lines", none, lambda at, s: F.concat(at, F.array(F.coalesce(F.element_at(F.when(F.size(at) > 0, at), -1), F.lit(0)) + F.size(F.split(s, " "))))
+    )
+    starts = several.select("conv_id", "turn", "level", "lines", "most", F.explode(F.array(ends)).alias("words"))
+    starts = starts.select("*", F.explode(F.sequence(F.lit(0), F.size("lines") - 2)).alias("start"))
+    runs = runs_from(F.col("lines"), F.col("words"), F.col("start"), F.col("most"))
+    return starts.select("conv_id", "turn", "level", F.explode(runs).alias("unit"))
+
+
 def links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, origin): the earlier turn that a turn's quotes come from."""
     known = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
@@ -113,7 +151,7 @@ def links(messages: DataFrame) -> DataFrame:
     # Only conversations with a quote are read for origins.
     asked = known.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")
     parts = asked.select("conv_id", "turn", F.explode(passages(F.col("text"))).alias("p")).select("conv_id", "turn", "p.level", "p.text")
-    hashed = parts.select("conv_id", "turn", "level", F.explode(units(F.col("text"))).alias("unit"))
+    hashed = parts.select("conv_id", "turn", "level", F.explode(units(F.col("text"))).alias("unit")).unionByName(_runs(parts))
     origins = hashed.where("level = 0").groupBy("conv_id", "unit").agg(F.min("turn").alias("origin"))
     quoted = hashed.where("level > 0").groupBy("conv_id", "turn", "level", "unit").agg(F.lit(1).alias("one")).drop("one")
     met = quoted.join(origins, ["conv_id", "unit"]).where("origin < turn")

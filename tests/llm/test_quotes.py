@@ -49,5 +49,26 @@ def test_long_conversations_are_ranked_over_ranges(spark):
         assert (got[t].parent_turn, got[t].branch, got[t].place) == (parents[t], branch, place)
 
 
+def test_lines_and_runs_of_lines_are_found(spark):
+    listed = "buy two apples\nbuy three oranges\nbuy some pears\nno"
+    quotes_of = [
+        "> buy three oranges\nno", "> buy two apples\n> buy three oranges\nno", "> buy three oranges buy some\n> pears\nyes", "> see this\n> buy two\n> apples\nyes",
+        "> he said\n> buy three oranges buy\n> some pears\n> right?\nyes", "> buy three\n> oranges buy some pears\n> no\nyes", "> no\nshort",
+    ]
+    rows = [(c, t, "user", x) for c, q in enumerate(quotes_of) for t, x in enumerate([listed, "anything else", q])]
+    rows += [(50, 0, "user", listed), (50, 1, "user", "else"), (50, 2, "user", "> buy three pears\nno"), (51, 0, "user", "one\n\n> x y z\ntwo"), (51, 1, "user", "else"), (51, 2, "user", "> one two\nno")]
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.linked) for r in out(spark, rows)}
+    assert [got[c, 2] for c in range(len(quotes_of))] == [(0, True)] * len(quotes_of)
+    assert got[50, 2] == (1, False) and got[51, 2] == (1, False)
+
+
+def test_long_lists_are_found_wrapped_in_another_way(spark):
+    words = [f"w{i}" for i in range(900)]
+    listed = "\n".join(" ".join(words[i : i + 3]) for i in range(0, 900, 3))
+    quote = "> intro\n" + "\n".join("> " + " ".join(words[i : i + 7]) for i in range(300, 300 + 7 * 60, 7))
+    got = {r.turn: r.parent_turn for r in out(spark, [(1, 0, "user", listed), (1, 1, "user", "else"), (1, 2, "user", quote)])}
+    assert got == {0: None, 1: 0, 2: 0}
+
+
 def test_empty_table(spark):
     assert out(spark, []) == []
