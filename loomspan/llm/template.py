@@ -10,7 +10,7 @@ are the template, and what stands between consecutive template tokens is a slot.
 A slot is boilerplate if the page itself says so: it lies inside a menu, header,
 footer, sidebar, form, advert, cookie notice or comments, by its tag, its role or
 a whole name of its class or id (``has-sidebar`` is no sidebar); or its text
-is the same on every page of the group. Text inside an article or main element
+is the same on a share of ``SUPPORT`` of the group's pages, two at least. Text inside an article or main element
 is never dropped for being the same everywhere. Pages with the same text outside
 menus and so on are copies and count as one page, whatever their markup. If a
 page without article and main would lose half of its text or more, that text is
@@ -26,7 +26,8 @@ form but the page. Headers inside article and main are theirs, not the page's.
 Pages of a host are dealt into groups of about ``GROUP_PAGES`` by a hash of the
 page, so a host of any size is many small groups and no page is left out. A
 page whose group gives no template (a host with a single page) is read by the
-tags alone: its slots are its text nodes.
+tags alone: its slots are its text nodes. A single page, or copies of one, can't
+show which text of unnamed elements is the host's, so all of it stays.
 
 Defined results: null or empty html gives the empty text. A page without url
 belongs to the group of pages without a host. Malformed html is read as far as
@@ -47,10 +48,8 @@ from pyspark.sql import functions as F
 from loomspan.llm.storage import materialise
 
 GROUP_PAGES = 64
-#: A token must occur on this share of the group's pages to be part of the template.
+#: A token, or text outside article and main, must occur on this share of the group's pages to be part of the template.
 SUPPORT = 0.6
-#: Pages from which on text that is the same everywhere counts as part of the template.
-SAME_PAGES = 4
 #: Hosts of more than one group whose list may be broadcast (a name and a number each).
 BROADCAST_HOSTS = 100_000
 
@@ -310,7 +309,7 @@ def extract(htmls: list[str]) -> list[str]:
     same: dict[tuple[str, tuple[str, ...]], int] = Counter()
     for page in bodies.values():
         same.update({(n, b) for n, outside, main, b in page if not outside and not main})
-    constant = {x for x, n in same.items() if n >= len(bodies)} if len(bodies) >= SAME_PAGES else frozenset()
+    constant = {x for x, n in same.items() if n >= max(2, SUPPORT * len(bodies))}
     texts = []
     for page in cut:
         own = [(main, (name, b) in constant and not main, b) for name, outside, main, b in page if not outside]

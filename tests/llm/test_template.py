@@ -63,7 +63,7 @@ def test_constant_text_goes_outside_the_article_only():
     # Copies of one page don't make up the number of pages.
     pages = [f"<html><body><!-- {i} --><p>Shared words.</p><div class='x1'><h1>T{i % 2}</h1><p>Content of the page {i % 2}</p></div></body></html>" for i in range(8)]
     copies = template.extract(pages)
-    assert [c.split("\n")[1:] for c in copies] == [[f"T{i % 2}", f"Content of the page {i % 2}"] for i in range(8)]
+    assert [c.split("\n")[-2:] for c in copies] == [[f"T{i % 2}", f"Content of the page {i % 2}"] for i in range(8)]
 
 
 @pytest.mark.parametrize(
@@ -83,6 +83,19 @@ def test_beside_is_by_whole_names_and_not_around_the_article(html, text):
     assert template.extract([html]) == [text]
 
 
+@pytest.mark.parametrize("n", [2, 3, 64])
+@pytest.mark.parametrize("wrap", ["article", "div"])
+def test_a_notice_goes_from_two_pages_on_and_if_some_pages_lack_it(n, wrap):
+    notice = "<div class='x1'>We close at six.</div>"
+    pages = [f"<html><body>{notice}<{wrap}><h1>Page {i}</h1><p>Content number {i} of the host</p></{wrap}></body></html>" for i in range(n)]
+    texts = [f"Page {i}\nContent number {i} of the host" for i in range(n)]
+    assert template.extract(pages) == texts
+    assert template.extract(pages[:1]) == ["We close at six.\n" + texts[0]]
+    if n > 3:
+        assert template.extract([*pages[:-1], "<html><body><p>404: there is no such page</p></body></html>"]) == [*texts[:-1], "404: there is no such page"]
+        assert template.extract([*pages[:-1], pages[-1].replace(notice, "")]) == texts
+
+
 def test_equivalence_classes_are_nested_and_ordered():
     pages = [template.parse(f"<html><body><ul>{'<li>x</li>' * n}</ul><div><h1>t</h1></div></body></html>") for n in (1, 2, 3)]
     classes = template.deduce(pages)
