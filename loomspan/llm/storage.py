@@ -1,8 +1,9 @@
 """Where operators put what must outlive a stage.
 
 The cluster names a folder that the driver and all executors share in
-``spark.checkpoint.dir``. Only where it is unset, as in tests, a temporary
-folder is made. ``localCheckpoint`` is never used.
+``spark.checkpoint.dir``. Where it is unset a temporary folder is made if all
+runs on this machine, as in tests; elsewhere that is an error, as executors
+would write to folders that nobody else sees. ``localCheckpoint`` is never used.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder as a URI or path; also Spark's checkpoint folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="loomspan-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -30,8 +33,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def new_table(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df through a Parquet table in the shared folder: smaller than a checkpoint."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = path or new_table(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
