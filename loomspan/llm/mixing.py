@@ -12,9 +12,14 @@ the documents from the front of the order up to the target's rest: a document
 is taken if its middle lies before that cut, so a source misses its target by
 half of one document at most.
 
+The key hashes doc_id and text, so rows without an id, or of one id, are dealt
+over all ranges as well; the number of ranges follows the number of rows. One
+task holds a row for each source, and one the ranges of each.
+
 Defined results: null text has no words; documents without words are taken 0
-words. A null source is a source of its own. Equal keys are ordered by size;
-fully equal rows are interchangeable. An empty table gives no rows.
+words. A null source is a source of its own. Rows of the same id, source and
+text that differ in other columns are ordered by a hash of the whole row; fully
+equal rows are interchangeable. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,12 +27,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.llm import rows as r
 from loomspan.llm.storage import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = 3
 MOST_EPOCHS = 3
 SEED = "mix"
+#: Rows of a range, at most about.
+RANGE_ROWS = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -51,25 +59,36 @@ def source_targets(sources: DataFrame, epochs: int = MOST_EPOCHS) -> DataFrame:
     return w.select("source", "sk", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, digits: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
+def digits_for(n: int) -> int:
+    """Hexadecimal digits that name ranges of RANGE_ROWS of n rows at most; 3 at least."""
+    digits = 3
+    while 16**digits * RANGE_ROWS < n:
+        digits += 1
+    return digits
+
+
+def mix(docs: DataFrame, seed: str = SEED, digits: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """A row for each document: doc_id, size, source_size, target, copies (times the mix takes it), and the columns ``keys``.
 
     ``digits``: hexadecimal digits of the key that name its range; results don't depend on it.
     """
+    text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        *(["doc_id"] if "doc_id" not in keys else []), *keys, "source",
+        *(["doc_id"] if "doc_id" not in keys else []), *keys, *(["source"] if "source" not in keys else []),
         F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("sk"),
         n_words(F.col("text")).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text))).alias("key"),
     )
-    rows = materialise(rows.withColumn("range", F.substring("key", 1, digits)))
+    rows = materialise(rows)
+    rows = rows.withColumn("range", F.substring("key", 1, digits or digits_for(rows.count())))
     ranges = rows.groupBy("sk", "range").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
     before = Window.partitionBy("sk").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0)))
     sources = ranges.groupBy("sk").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
     ranges = ranges.select("sk", "range", "offset").join(source_targets(sources).drop("source"), "sk")
-    within = Window.partitionBy("sk", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.join(ranges, ["sk", "range"]).withColumn("end", F.col("offset") + F.sum("size").over(within))
+    within = Window.partitionBy("sk", "range").orderBy("key", *(k for k in keys if k not in ("doc_id", "source")))
+    running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.join(ranges, ["sk", "range"]).withColumn("end", F.col("offset") + F.sum("size").over(running))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     placed = placed.withColumn("epochs", epochs)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
@@ -87,20 +106,20 @@ def mixed_words(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document with all its columns, as often as it is taken."""
-    text = F.coalesce("text", F.lit(""))
-    hashed = docs.withColumn("__hash", F.xxhash64(F.col("doc_id"), "source", text)).withColumn(
-        "__key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))
+    hashed = docs.select(
+        r.packed(docs).alias("whole"), r.row_hash(docs).alias("hash_1"), r.row_hash(docs, 1).alias("hash_2"), "doc_id", "source", "text"
     )
-    copies = mix(hashed, keys=("__hash", "__key")).where("copies > 0").groupBy("__hash", "__key").agg(F.sum("copies").alias("__copies"))
-    once = hashed.join(copies, ["__hash", "__key"]).dropDuplicates(["__hash", "__key"])
-    repeated = once.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))))
-    return repeated.select(*docs.columns)
+    copies = mix(hashed, keys=("hash_1", "hash_2")).where("copies > 0").groupBy("hash_1", "hash_2").agg(F.sum("copies").alias("copies"))
+    # Rows of one hash are equal in all columns: one of them stands for all, as often as they are taken together.
+    once = hashed.select("whole", "hash_1", "hash_2").join(copies, ["hash_1", "hash_2"]).dropDuplicates(["hash_1", "hash_2"])
+    repeated = once.select("whole", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("nth"))
+    return repeated.select("whole.*")
 
 
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key
+         md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS rank FROM s),
@@ -116,7 +135,7 @@ t AS (
     (SELECT level FROM l WHERE level * weight <= most ORDER BY most / weight, rank LIMIT 1)) AS target FROM l),
 p AS (
   SELECT doc_id, d.source, size, source_size, target,
-         sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS place,
+         sum(size) OVER (PARTITION BY d.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS place,
          CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,

@@ -69,3 +69,25 @@ def test_the_mix_repeats_whole_documents(spark):
     got = Counter((r.doc_id, r.source, len(words(r.text))) for r in mixed.collect())
     assert got == +want
     assert spark.createDataFrame([], DOCS).transform(mixing.mixed_documents).count() == 0
+
+
+def test_rows_that_differ_in_other_columns_are_all_there(spark):
+    """Equal ids and texts, null ids, equal sizes, odd names: no row is lost or stands for another, and reruns agree."""
+    rows = [(1, "a b c", lang, "s", n) for lang in ("en", "fr", None) for n in (1, 2, None)]
+    rows += [(None, f"w{i} x", "en", "s", 0) for i in range(400)] + [(7, f"v{i} y", "en", "t", 0) for i in range(50)]
+    docs = frame(spark, rows).withColumn("a.b", mixing.F.lit(1)).withColumn("__hash", mixing.F.col("n_chars")).withColumn("whole", mixing.F.lit(2)).withColumn("hash_1", mixing.F.lit("x"))
+    docs = docs.withColumn("m", mixing.F.create_map(mixing.F.lit(1), mixing.F.lit(2)))
+    got = [Counter((r.doc_id, r.text, r.lang, r.n_chars, r["a.b"], r["__hash"]) for r in mixing.mixed_documents(d).collect()) for d in (docs, docs.orderBy("text", ascending=False).repartition(5))]
+    assert got[0] == got[1]
+    copies = Counter()
+    size, target = expected_targets(rows)
+    for (_, text, *_), n in got[0].items():
+        copies["s" if text[0] in "aw" else "t"] += n * len(text.split())
+    assert all(abs(copies[s] - target[s]) <= 1.5 for s in target)
+    most = {s: -(-target[s] // size[s]) for s in size}
+    assert all(n <= most["t" if k[1][0] == "v" else "s"] for k, n in got[0].items())
+    assert mixing.mixed_documents(docs).columns == docs.columns
+
+
+def test_ranges_follow_the_number_of_rows():
+    assert [mixing.digits_for(n) for n in (0, 10**6, 16**3 * mixing.RANGE_ROWS, 16**3 * mixing.RANGE_ROWS + 1, 3 * 10**10)] == [3, 3, 3, 4, 5]
