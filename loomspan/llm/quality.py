@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm.rows import packed
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -217,6 +219,5 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns."""
     rules = learned_rules(docs, labels)
-    marked = docs.withColumn("__all", F.struct(*docs.columns)).select("__all", "text")
-    m = measured(marked, "__all").withColumn("rule", verdict(rules))
-    return m.where(~F.col("base_failed") & (F.col("rule") == 0)).select("__all.*")
+    m = measured(docs.select(packed(docs).alias("whole"), "text"), "whole").withColumn("rule", verdict(rules))
+    return m.where(~F.col("base_failed") & (F.col("rule") == 0)).select("whole.*")

@@ -76,3 +76,9 @@ def test_covering_needs_more_than_one_rule():
 def test_without_two_classes_the_base_rules_decide(spark, labels):
     assert quality.learned_rules(frame(spark), spark.createDataFrame(labels, LABELS)) == []
     assert quality.quality(frame(spark, []), spark.createDataFrame(labels, LABELS)).count() == 0
+
+
+def test_odd_column_names_stay(spark):
+    docs = frame(spark).withColumn("a.b", quality.F.lit(1)).withColumn("whole", quality.F.lit(2)).withColumn("__all", quality.F.lit(3))
+    kept = quality.kept_documents(docs, spark.createDataFrame([], LABELS))
+    assert kept.columns == docs.columns and kept.count() == sum(not base(r[1])[-1] for r in odd_rows())
