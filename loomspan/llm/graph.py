@@ -10,7 +10,8 @@ from loomspan.llm.storage import materialise
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    # Written first: the join's sides then have shuffles of their own, so the edges of a centre of very many are split.
+    least = materialise(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 

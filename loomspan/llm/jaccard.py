@@ -4,16 +4,25 @@ Two texts are linked if the Jaccard similarity of their sets of five-word
 shingles is 0.8 or more.
 
 1. One pass over the text gives each document its shingle set's 128-bit name
-   and, for each tree of the forest, its label: a prefix of MinHash values.
+   and its signature: ``DEPTH`` MinHash values for each of ``TREES`` trees.
    Documents with the same set form one class, counted once with its size.
-2. In each tree a node is a run of labels with a common prefix. The prefix is
-   shortened, one value at a time, until a pair at the threshold meets in some
-   tree with the target recall; the members of every node are tied to its least
-   member (a star, never all pairs) and the stars give candidate components.
+2. The labels of each tree are range-sorted, which is the tree's prefix trie in
+   order; a label's longest prefix shared with a neighbour is its matched prefix.
+   A trie node is the run of labels with one prefix. Members of a node are tied
+   to its least member if their signatures are alike (a star, never all pairs);
+   those that aren't nearly its copies are tied to the least of their own kind as
+   well. By the triangle inequality of Jaccard distance all links of a node lie
+   within the components of these ties.
 3. Each component is verified exactly: its shingle sets meet in one group, or,
    if it is large, in the groups of pairs of its blocks, where an inverted index
    counts common shingles. A group returns the number of links of each class
    and a spanning forest of them, never the pairs.
+4. The search begins with whole labels. For texts of each order of length the
+   verified links say how unlike linked texts are: prefixes are shortened to the
+   longest at which the least alike pair seen would meet in some tree with the
+   target recall, and only for the lengths that need it. Too few links seen, or
+   pairs seen at the threshold, lead to the prefix at which any pair at the
+   threshold meets with the target recall, where it ends.
 
 Defined results: null text is empty text. A text of one to four words has one
 shingle, of all of them. A text without words has no shingles, no links, and is
@@ -29,29 +38,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm import rows as r
 from loomspan.llm import tokens as tk
 from loomspan.llm.graph import components
-from loomspan.llm.storage import materialise
+from loomspan.llm.storage import materialise, written
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, MAX_DEPTH, RECALL = 24, 6, 0.9999
+TREES, DEPTH, RECALL = 24, 8, 0.9999
+#: Similarity by signature from which a member of a trie node counts as a copy of the node's head, and from which it is tied to it.
+#: With 192 values the estimate is within 0.1 of the truth (three standard errors), so a link of a copy is tied to the head as well.
+COPY, TIED = 0.85, 0.45
+#: Stars of a node whose ties are chosen by signature; what is left then is tied without a look.
+STARS = 2
 #: Shingles that meet in one verifying group, about.
 GROUP_SHINGLES = 1_000_000
 _A_WORD = r"[^\x20\x09-\x0D]"
 
 
-def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, longest: int = MAX_DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair at the threshold is met with the target recall (1 if none reaches it)."""
+def missed(similarity: float, depth: int, trees: int = TREES) -> float:
+    """The chance that a pair shares no prefix of ``depth`` values in any tree."""
+    return (1 - similarity**depth) ** trees
+
+
+def prefix_depth(similarity: float = THRESHOLD, trees: int = TREES, longest: int = DEPTH, recall: float = RECALL) -> int:
+    """The longest prefix at which a pair is met with the target recall (1 if none reaches it)."""
     depth = longest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1 and missed(similarity, depth, trees) > 1 - recall:
         depth -= 1
     return depth
 
 
+def needed_depth(n_seen: int, least: float | None, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The depth that ``n_seen`` texts with links, of which the least alike pair has similarity ``least``, call for.
+
+    With so many seen that a single pair at the threshold, unseen at full depth, is no more than the
+    target leaves open, the least alike pair stands for all; else the threshold does.
+    """
+    enough = n_seen * (1 - recall) >= missed(threshold, DEPTH)
+    return prefix_depth(max(threshold, least) if enough and least is not None else threshold, recall=recall)
+
+
 def _sketcher(n: int, trees: int, depth: int):
     rng = np.random.Generator(np.random.PCG64(7))
-    flips = rng.integers(0, 1 << 63, (trees, depth), dtype=np.uint64) * tk.U(2)
-    odds = rng.integers(0, 1 << 63, (trees, depth), dtype=np.uint64) * tk.U(2) + tk.U(1)
+    flips = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64) * tk.U(2)
+    odds = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64) * tk.U(2) + tk.U(1)
 
     def sketch(batches):
         for batch in batches:
@@ -61,30 +91,100 @@ def _sketcher(n: int, trees: int, depth: int):
                 size = np.diff(begin)
                 name = np.stack([tk.row_sums(tk.mix(unique), begin), tk.row_sums(tk.mix(unique ^ tk.U(0xA5A5A5A5)), begin)], 1)
                 name = [x.tobytes() if k else None for x, k in zip(name, size.tolist())]
-                nodes = np.zeros((len(size), trees), np.uint64)
-                for t in range(trees):
-                    label = np.full(len(size), t, np.uint64)
-                    for d in range(depth):
-                        label = tk.mix(label * tk.U(31) + tk.row_minima((unique ^ flips[t, d]) * odds[t, d], begin))
-                    nodes[:, t] = label
-                flat = pa.array(nodes.view(np.int64).ravel())
-                offsets = np.arange(0, trees * len(size) + 1, trees, dtype=np.int32)
+                signature = np.empty((len(size), trees * depth), ">u2")
+                for k in range(trees * depth):
+                    signature[:, k] = tk.mix(tk.row_minima((unique ^ flips[k]) * odds[k], begin)) >> tk.U(48)
+                signature = [x.tobytes() for x in signature]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("row_hash"), pa.array(name, pa.binary()), pa.array(size), pa.ListArray.from_arrays(offsets, flat)],
-                    ["doc_id", "row_hash", "node", "n_shingles", "labels"],
+                    [part.column("doc_id"), part.column("row_hash"), pa.array(name, pa.binary()), pa.array(size), pa.array(signature, pa.binary())],
+                    ["doc_id", "row_hash", "node", "n_shingles", "signature"],
                 )
 
     return sketch
 
 
-def sketches(docs: DataFrame, n: int = WORDS, trees: int = TREES, depth: int | None = None) -> DataFrame:
-    """A row for each document: doc_id, row_hash, node (its set's name), n_shingles and the prefix label of each tree."""
+def sketches(docs: DataFrame, n: int = WORDS) -> DataFrame:
+    """A row for each document: doc_id, row_hash, node (its set's name), n_shingles and the signature: the labels of all trees, one after the other."""
     return _keyed(docs).drop("doc_key").mapInArrow(
-        _sketcher(n, trees, depth or prefix_depth(trees=trees)),
-        "doc_id bigint, row_hash bigint, node binary, n_shingles bigint, labels array<bigint>",
+        _sketcher(n, TREES, DEPTH), "doc_id bigint, row_hash bigint, node binary, n_shingles bigint, signature binary"
     )
 
 
+def _fixed(column: pa.Array, width: int) -> np.ndarray:
+    """A binary column of values of one width as a matrix of 16-bit numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(len(column), width // 2)
+
+
+def _matcher(least: int):
+    def matched(batches):
+        """Adds the longest prefix that a label shares with a neighbour in its sorted partition, and leaves out those that share less than ``least``.
+
+        The neighbours of a partition's first and last label are unknown; these count as wholly shared.
+        """
+
+        def out(rows: pa.RecordBatch, longest: np.ndarray):
+            keep = longest >= least
+            rows = rows.append_column("matched", pa.array(longest.astype(np.int32)))
+            return rows.filter(pa.array(keep))
+
+        held, before = None, DEPTH
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            label, tree = _fixed(rows.column("label"), 2 * DEPTH), rows.column("tree").to_numpy()
+            same = (label[1:] == label[:-1]) & (tree[1:] == tree[:-1])[:, None]
+            ahead = np.cumprod(same, axis=1).sum(1)
+            if rows.num_rows > 1:
+                yield out(rows.slice(0, rows.num_rows - 1), np.maximum(np.concatenate([[before], ahead[:-1]]), ahead))
+                before = int(ahead[-1])
+            held = rows.slice(rows.num_rows - 1, 1)
+        if held is not None:
+            yield out(held, np.full(1, DEPTH))
+
+    return matched
+
+
+def tries(classes: DataFrame, least: int) -> DataFrame:
+    """tree, label, node, scale and matched (the longest shared prefix) of the labels that share ``least`` values or more, each tree in order."""
+    labels = classes.select(
+        "node", F.floor(F.log2("n_shingles")).cast("int").alias("scale"), "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    )
+    cut = F.substr("signature", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH))
+    labels = labels.select("tree", cut.alias("label"), "node", "scale")
+    # The node is part of the order, so that one label of very many members is many ranges.
+    ordered = labels.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    return ordered.mapInArrow(_matcher(least), "tree int, label binary, node binary, scale int, matched int")
+
+
+def _alike(batches):
+    """node, head and the share of equal values of their signatures."""
+    for batch in batches:
+        if batch.num_rows:
+            a, b = (_fixed(batch.column(x), 2 * TREES * DEPTH) for x in ("own", "other"))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("head"), pa.array((a == b).mean(1))], ["node", "head", "alike"])
+
+
+def _ties(members: DataFrame, signatures: DataFrame) -> list[DataFrame]:
+    """(a, b): ties that hold all links within the nodes (tree, prefix) of ``members`` together."""
+    ties = []
+    for star in range(STARS + 1):
+        # Written first, so that the join below may split the members of a node of very many.
+        heads = materialise(members.groupBy("tree", "prefix").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"))
+        held = members.join(heads, ["tree", "prefix"]).where("node <> head")
+        pairs = held.select("node", "head").distinct()
+        if star == STARS:
+            ties.append(pairs.select(F.col("node").alias("a"), F.col("head").alias("b")))
+            break
+        own, other = signatures.select("node", F.col("signature").alias("own")), signatures.select(F.col("node").alias("head"), F.col("signature").alias("other"))
+        alike = materialise(pairs.join(own, "node").join(other, "head").mapInArrow(_alike, "node binary, head binary, alike double"))
+        ties.append(alike.where(F.col("alike") >= TIED).select(F.col("node").alias("a"), F.col("head").alias("b")))
+        members = materialise(held.join(alike.where(F.col("alike") < COPY), ["node", "head"]).select("tree", "prefix", "node"))
+        if members.isEmpty():
+            break
+    return ties
+
+
 def _verifier(threshold: float):
     def verify(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """Links in one group. Columns: node, comp, block, size, shingles; key: (bin, block, other block)."""
@@ -109,6 +209,7 @@ def _verifier(threshold: float):
         end[by] = np.append(change[1:], len(value))[run]
         at = np.concatenate([[0], np.cumsum(length)])
         links, tied = np.zeros(len(blob), np.int64), np.arange(len(blob))
+        least = np.ones(len(blob))
         edges = []
 
         for i in range(len(blob)):
@@ -128,7 +229,10 @@ def _verifier(threshold: float):
                 found = np.flatnonzero(near) + base
             else:  # the other block only: pairs within a block have a group of their own
                 found = np.flatnonzero(near & (block[base:top] != block[i])) + base
+            if not len(found):
+                continue
             links[i] += size[found].sum()
+            least[i] = (common[found - base] / union[found - base]).min()
             others, where = np.unique(tied[found], return_index=True)
             for q, j in zip(others.tolist(), found[where].tolist()):
                 if q != tied[i]:
@@ -140,6 +244,8 @@ def _verifier(threshold: float):
                 "a": pa.array([node[i] for i in some] + [node[i] for i, _ in edges], pa.binary()),
                 "b": pa.array([None] * len(some) + [node[j] for _, j in edges], pa.binary()),
                 "links": pa.array(links[some].tolist() + [None] * len(edges), pa.int64()),
+                "scale": pa.array([int(length[i]).bit_length() - 1 for i in some] + [None] * len(edges), pa.int32()),
+                "least": pa.array(least[some].tolist() + [None] * len(edges), pa.float64()),
             }
         )
 
@@ -164,25 +270,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("row_hash", F.xxhash64("doc_id", "text")).withColumn("doc_key", F.coalesce("doc_id", F.lit(0)))
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """(node, comp): classes that share a trie node with another, and their candidate component."""
-    members = classes.select("node", F.explode("labels").alias("label"))
-    heads = members.groupBy("label").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = members.join(heads, "label").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    tied = components(stars)
+def _components(ties: DataFrame) -> DataFrame:
+    """(node, comp) of all nodes of the ties."""
+    tied = components(ties)
     return tied.select(F.col("a").alias("node"), F.col("root").alias("comp")).unionByName(
         tied.select(F.col("root").alias("node"), F.col("root").alias("comp")).distinct()
     )
 
 
-def linked(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The sketch rows (doc_id, row_hash, node), links (node, links of its class beyond its own copies), and groups (node, root)."""
-    sketch = materialise(sketches(docs, n))
-    spare = F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_key"), "row_hash")
-    classes = sketch.where("node is not null").groupBy("node").agg(
-        F.min(spare).alias("one"), F.count("*").alias("size"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels")
-    )
-    chosen = materialise(_candidates(classes).join(classes.drop("labels"), "node"))
+def _verified(chosen: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links within the components of ``chosen`` (node, comp): see the verifier."""
+    chosen = chosen.join(sets.select("node", "n_shingles"), "node")
     comps = chosen.groupBy("comp").agg(F.sum("n_shingles").alias("total"))
     bins = max(1, -(-(chosen.agg(F.sum("n_shingles")).first()[0] or 0) // GROUP_SHINGLES))
     # A large component gets a bin of its own, cut into blocks; small ones share bins.
@@ -193,19 +291,69 @@ def linked(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> tup
         F.when(F.col("total") > GROUP_SHINGLES, F.hex("comp")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(bins)).cast("string")).alias("bin"),
     )
     wanted = chosen.join(placed, "comp").select(
-        "node", F.col("comp_hash").alias("comp"), "size", "bin", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
-        "one.*",
-    )
-    texts = wanted.join(_keyed(docs).select("row_hash", "doc_key", "text"), ["row_hash", "doc_key"]).dropDuplicates(["row_hash", "doc_key"])
-    sets = texts.drop("row_hash", "doc_key").mapInArrow(
-        _sets(n), "node binary, comp bigint, size bigint, bin string, blocks int, block int, shingles binary"
-    )
-    paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "node", "comp", "size", "block", "shingles", "bin", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+        "node", F.col("comp_hash").alias("comp"), "bin", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
     )
-    found = materialise(
-        paired.groupBy("bin", "low", "high").applyInArrow(_verifier(threshold), "a binary, b binary, links bigint")
+    paired = wanted.join(sets.select("node", "size", "shingles"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = paired.select("node", "comp", "size", "block", "shingles", "bin", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return materialise(
+        paired.groupBy("bin", "low", "high").applyInArrow(_verifier(threshold), "a binary, b binary, links bigint, scale int, least double")
     )
+
+
+def linked(
+    docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, depths: list | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketch rows (doc_id, row_hash, node), links (node, links of its class beyond its own copies), and groups (node, root).
+
+    ``depths``, if given, gets the prefix lengths searched, with the orders of length (None: all) that they were searched for.
+    """
+    sketch = written(sketches(docs, n))
+    spare = F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_key"), "row_hash")
+    classes = materialise(sketch.where("node is not null").groupBy("node").agg(
+        F.min(spare).alias("one"), F.count("*").alias("size"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
+    ))
+    shortest = prefix_depth(threshold)
+    trie = written(tries(classes, shortest))
+    kept = classes.join(trie.select("node").distinct(), "node", "left_semi")
+    signatures = materialise(kept.select("node", "signature"))
+    texts = kept.select("node", "size", "n_shingles", "one.*").join(_keyed(docs).select("row_hash", "doc_key", "text"), ["row_hash", "doc_key"])
+    sets = written(
+        texts.dropDuplicates(["row_hash", "doc_key"]).select("node", "size", "n_shingles", "text")
+        .mapInArrow(_sets(n), "node binary, size bigint, n_shingles bigint, shingles binary")
+    )
+    depth, scales, ties, tied, found = DEPTH, None, [], None, None
+    while True:
+        members = trie.where(F.col("matched") >= depth).select("tree", F.substr("label", F.lit(1), F.lit(2 * depth)).alias("prefix"), "node", "scale")
+        if scales is not None:
+            asked = members.where(F.col("scale").isin(scales)).select("tree", "prefix").distinct()
+            members = members.join(asked, ["tree", "prefix"], "left_semi")
+        if depths is not None:
+            depths.append((depth, scales))
+        for more in _ties(members.drop("scale"), signatures):
+            ties.append(more)
+        joined = ties[0]
+        for more in ties[1:]:
+            joined = joined.unionByName(more)
+        now = materialise(_components(joined))
+        if found is None:
+            found = _verified(now, sets, threshold)
+        else:
+            # What the shorter prefixes have joined is verified again, the rest stays.
+            before = now.join(tied.withColumnRenamed("comp", "was"), "node", "left")
+            same = before.groupBy("comp").agg((F.count("was") == F.count("*")).alias("known"), (F.min("was") == F.max("was")).alias("one")).where("known and one")
+            stay = now.join(same.select("comp"), "comp", "left_semi").select(F.col("node").alias("a"))
+            found = materialise(found.join(stay, "a", "left_semi").unionByName(_verified(now.join(same.select("comp"), "comp", "left_anti"), sets, threshold)))
+        tied = now
+        seen = found.where("b is null").groupBy("scale").agg(F.count_distinct("a").alias("n"), F.min("least").alias("least")).collect()  # a row for each order of length
+        want = {x.scale: min(depth, needed_depth(x.n, x.least, threshold)) for x in seen}
+        if depth == shortest:
+            break
+        if scales is None:  # orders of length without any link yet
+            scales = [x.scale for x in trie.select("scale").distinct().collect()]
+        scales = [x for x in scales if want.get(x, shortest) < depth]
+        if not scales:
+            break
+        depth = max(want.get(x, shortest) for x in scales)
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(found.where("b is not null").select("a", "b"))
     return sketch.select("doc_id", "row_hash", "node"), links, roots.select(F.col("a").alias("node"), "root")
@@ -235,9 +383,10 @@ def one_of_each(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("doc_key"), "row_hash")
     kept = tied.groupBy("root").agg(F.min(order).alias("one")).select("one.doc_key", "one.row_hash")
     text = F.coalesce("text", F.lit(""))
-    marked = docs.withColumn("__hash", F.xxhash64(F.col("doc_id").cast("bigint"), text)).withColumn(
-        "__key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))
-    )
-    kept = kept.select(F.col("row_hash").alias("__hash"), F.col("doc_key").alias("__key"))
-    once = marked.where(text.rlike(_A_WORD)).join(kept, ["__hash", "__key"], "left_semi").dropDuplicates(["__hash", "__key"])
-    return once.unionByName(marked.where(~text.rlike(_A_WORD))).drop("__hash", "__key")
+    marked = docs.select(
+        r.packed(docs).alias("whole"), r.row_hash(docs).alias("tie"), text.rlike(_A_WORD).alias("worded"),
+        F.xxhash64(F.col("doc_id").cast("bigint"), text).alias("row_hash"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("doc_key"),
+    )
+    # Of rows of one id and text that differ in other columns, the one with the least hash stays.
+    once = marked.where("worded").join(kept, ["row_hash", "doc_key"], "left_semi").groupBy("row_hash", "doc_key").agg(F.min_by("whole", "tie").alias("whole"))
+    return once.select("whole").unionByName(marked.where("not worded").select("whole")).select("whole.*")

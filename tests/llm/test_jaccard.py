@@ -1,6 +1,9 @@
+import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loomspan.llm import jaccard
 
@@ -38,8 +41,6 @@ def test_links_and_classes_equal_brute_force(spark):
 
 
 def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
-    import random
-
     rng = random.Random(9)
     base = prose(rng, 300).split()
     rows = []
@@ -71,6 +72,52 @@ def test_depth_shortens_until_the_recall_is_met():
     assert jaccard.prefix_depth(0.8, 24, 6, 0.9) == 6
     assert jaccard.prefix_depth(0.8, 24, 6, 0.9999) == 5
     assert jaccard.prefix_depth(0.2, 4, 6, 0.9999) == 1
+    # Few links seen, or unlike ones, call for the threshold's depth; many alike ones for whole labels.
+    assert jaccard.needed_depth(0, None) == jaccard.needed_depth(10, 0.99) == jaccard.needed_depth(10_000, 0.8) == 5
+    assert jaccard.needed_depth(10_000, 0.95) == 8 and 5 < jaccard.needed_depth(10_000, 0.86) < 8
+
+
+def test_depth_follows_the_links_of_each_length_and_near_pairs_are_met(spark):
+    """Long texts are linked by near copies only: whole labels do. Short ones are linked near the threshold."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(130):
+        w = [f"u{rng.randrange(10**9)}" for _ in range(300)]
+        rows += [(10 * i, " ".join(w), "en", "s", 1), (10 * i + 1, " ".join([*w[:-1], "other"]), "en", "s", 1)]
+    near = []
+    for i in range(300):
+        w = [f"u{rng.randrange(10**9)}" for _ in range(50)]
+        # One word changed in the middle changes five of 46 shingles: similarity 41 / 51; at the end it changes fewer.
+        rows += [(100_000 + 10 * i, " ".join(w), "en", "s", 1), (100_001 + 10 * i, " ".join([*w[:20], "other", *w[21:]]), "en", "s", 1)]
+        near.append(100_000 + 10 * i)
+    searched = []
+    docs = frame(spark, rows)
+    sketch, links, _ = jaccard.linked(docs, depths=searched)
+    assert searched[0] == (jaccard.DEPTH, None) and [d for d, _ in searched][1:] == [5]
+    assert 8 not in searched[1][1] and 5 in searched[1][1]  # 296 shingles are of order 8, 46 of order 5
+    found = {x.doc_id for x in sketch.join(links, "node").select("doc_id").collect()}
+    assert len([x for x in near if x in found]) >= 0.99 * len(near)
+    assert all(10 * i in found for i in range(130))
+
+
+def test_matched_prefixes_of_the_sorted_trie(spark):
+    rng = random.Random(3)
+    labels = sorted(bytes(b for _ in range(jaccard.DEPTH) for b in (0, rng.randrange(2))) for _ in range(60))
+    batches = [pa.RecordBatch.from_pydict({"tree": pa.array([0] * len(x), pa.int32()), "label": pa.array(x, pa.binary())}) for x in (labels[:20], labels[20:21], [], labels[21:])]
+    out = [(r["label"], r["matched"]) for b in jaccard._matcher(0)(batches) for r in b.to_pylist()]
+    assert [x for x, _ in out] == labels
+    for i, (x, n) in enumerate(out[1:-1], 1):
+        assert n == max(next((k for k in range(8) if x[2 * k : 2 * k + 2] != y[2 * k : 2 * k + 2]), 8) for y in (labels[i - 1], labels[i + 1]))
+
+
+def test_rows_of_one_id_and_text_keep_one_whatever_the_layout(spark):
+    text = prose(random.Random(4), 30)
+    rows = [(1, text, lang, "s", n) for lang in ("en", "fr") for n in (1, 2, None)]
+    kept = [jaccard.one_of_each(frame(spark, x)).collect() for x in (rows, rows[::-1])]
+    assert len(kept[0]) == 1 and kept[0] == kept[1]
+    odd = frame(spark, rows[:1]).withColumn("a.b", F.lit(1)).withColumn("__hash", F.lit(2)).withColumn("whole", F.lit(3)).withColumn("tie", F.create_map(F.lit(1), F.lit(2)))
+    out = jaccard.one_of_each(odd)
+    assert out.columns == odd.columns and out.collect() == odd.collect()
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None, None)], [(1, "", "", "", 0), (1, "", "", "", 0)]])
