@@ -5,40 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.storage import materialise
+from loomspan.llm.storage import materialise, release
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("a").agg(F.min("b").alias("m"))
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    """Edges lead from the greater node to the lesser; each now leads to the least that its end leads to."""
     # Written first: the join's sides then have shuffles of their own, so the edges of a centre of very many are split.
-    least = materialise(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = materialise(_least(edges)).withColumnRenamed("a", "b")
+    return edges.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = _least(edges)
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether no node leads to two, or both leads to one and is led to."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("out")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("out")))
+    return ends.groupBy("x").agg(F.sum("out").alias("out"), F.count("*").alias("n")).where("out > 1 or out = 1 and n > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, root) for every node of ``edges`` (a, b) that isn't itself its root.
 
     The root is the least node of the component. Loops and repeated edges do no
-    harm; no edges give no rows. Edge lists stay distributed; only two figures
-    of each round (a count and a checksum) reach the driver.
+    harm; no edges give no rows. Edge lists stay distributed; only a yes or no
+    of each round reaches the driver.
     """
     current = materialise(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    seen = None
-    while True:
+    while not _are_stars(current):
         current = materialise(_small(_large(current).distinct()).distinct())
-        now = tuple(
-            current.agg(
-                F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 20)), F.sum(F.shiftright(F.xxhash64("b", "a"), 20))
-            ).first()
-        )
-        if now == seen or not now[0]:
-            return current.select("a", F.col("b").alias("root"))
-        seen = now
+        release(current.sparkSession)
+    return current.select("a", F.col("b").alias("root"))

@@ -13,16 +13,16 @@ shingles is 0.8 or more.
    those that aren't nearly its copies are tied to the least of their own kind as
    well. By the triangle inequality of Jaccard distance all links of a node lie
    within the components of these ties.
-3. Each component is verified exactly: its shingle sets meet in one group, or,
+3. The search begins with whole labels. For texts of each order of length the
+   pairs met so far say, by their signatures, how unlike linked texts are:
+   prefixes are shortened to the longest at which the least alike of them would
+   meet in some tree with the target recall, and only for the lengths that need
+   it. Few pairs, or pairs at the threshold, lead to the prefix at which any pair
+   at the threshold meets with the target recall, where it ends.
+4. Each component is verified exactly: its shingle sets meet in one group, or,
    if it is large, in the groups of pairs of its blocks, where an inverted index
    counts common shingles. A group returns the number of links of each class
    and a spanning forest of them, never the pairs.
-4. The search begins with whole labels. For texts of each order of length the
-   verified links say how unlike linked texts are: prefixes are shortened to the
-   longest at which the least alike pair seen would meet in some tree with the
-   target recall, and only for the lengths that need it. Too few links seen, or
-   pairs seen at the threshold, lead to the prefix at which any pair at the
-   threshold meets with the target recall, where it ends.
 
 Defined results: null text is empty text. A text of one to four words has one
 shingle, of all of them. A text without words has no shingles, no links, and is
@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm import rows as r
@@ -48,8 +48,8 @@ TREES, DEPTH, RECALL = 24, 8, 0.9999
 #: Similarity by signature from which a member of a trie node counts as a copy of the node's head, and from which it is tied to it.
 #: With 192 values the estimate is within 0.1 of the truth (three standard errors), so a link of a copy is tied to the head as well.
 COPY, TIED = 0.85, 0.45
-#: Stars of a node whose ties are chosen by signature; what is left then is tied without a look.
-STARS = 2
+#: Pairs so much below the threshold by signature (two standard errors) may be linked all the same.
+NOISE = 0.06
 #: Shingles that meet in one verifying group, about.
 GROUP_SHINGLES = 1_000_000
 _A_WORD = r"[^\x20\x09-\x0D]"
@@ -69,7 +69,7 @@ def prefix_depth(similarity: float = THRESHOLD, trees: int = TREES, longest: int
 
 
 def needed_depth(n_seen: int, least: float | None, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The depth that ``n_seen`` texts with links, of which the least alike pair has similarity ``least``, call for.
+    """The depth that ``n_seen`` texts in pairs, of which the least alike has similarity ``least``, call for.
 
     With so many seen that a single pair at the threshold, unseen at full depth, is no more than the
     target leaves open, the least alike pair stands for all; else the threshold does.
@@ -145,10 +145,15 @@ def _matcher(least: int):
     return matched
 
 
+def _scale() -> Column:
+    """A text's order of length."""
+    return F.floor(F.log2("n_shingles")).cast("int").alias("scale")
+
+
 def tries(classes: DataFrame, least: int) -> DataFrame:
     """tree, label, node, scale and matched (the longest shared prefix) of the labels that share ``least`` values or more, each tree in order."""
     labels = classes.select(
-        "node", F.floor(F.log2("n_shingles")).cast("int").alias("scale"), "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+        "node", _scale(), "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     )
     cut = F.substr("signature", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH))
     labels = labels.select("tree", cut.alias("label"), "node", "scale")
@@ -158,31 +163,34 @@ def tries(classes: DataFrame, least: int) -> DataFrame:
 
 
 def _alike(batches):
-    """node, head and the share of equal values of their signatures."""
+    """node, head, scale and the share of equal values of their signatures."""
     for batch in batches:
         if batch.num_rows:
             a, b = (_fixed(batch.column(x), 2 * TREES * DEPTH) for x in ("own", "other"))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("head"), pa.array((a == b).mean(1))], ["node", "head", "alike"])
-
-
-def _ties(members: DataFrame, signatures: DataFrame) -> list[DataFrame]:
-    """(a, b): ties that hold all links within the nodes (tree, prefix) of ``members`` together."""
-    ties = []
-    for star in range(STARS + 1):
-        # Written first, so that the join below may split the members of a node of very many.
-        heads = materialise(members.groupBy("tree", "prefix").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"))
-        held = members.join(heads, ["tree", "prefix"]).where("node <> head")
-        pairs = held.select("node", "head").distinct()
-        if star == STARS:
-            ties.append(pairs.select(F.col("node").alias("a"), F.col("head").alias("b")))
-            break
-        own, other = signatures.select("node", F.col("signature").alias("own")), signatures.select(F.col("node").alias("head"), F.col("signature").alias("other"))
-        alike = materialise(pairs.join(own, "node").join(other, "head").mapInArrow(_alike, "node binary, head binary, alike double"))
-        ties.append(alike.where(F.col("alike") >= TIED).select(F.col("node").alias("a"), F.col("head").alias("b")))
-        members = materialise(held.join(alike.where(F.col("alike") < COPY), ["node", "head"]).select("tree", "prefix", "node"))
-        if members.isEmpty():
-            break
-    return ties
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("node", "head", "scale")), pa.array((a == b).mean(1))], ["node", "head", "scale", "alike"])
+
+
+def _ties(members: DataFrame, signatures: DataFrame, scales: list[int] | None, threshold: float) -> tuple[list[DataFrame], dict[int, int]]:
+    """Ties (a, b) that hold all links within the nodes (tree, prefix) of ``members`` together, and the depth that each order of length needs.
+
+    With ``scales`` only nodes with a member of these orders of length count.
+    """
+    asked = F.lit(True) if scales is None else F.max(F.col("scale").isin(scales))
+    heads = members.groupBy("tree", "prefix").agg(F.min("node").alias("head"), F.count("*").alias("n"), asked.alias("asked")).where("n > 1 and asked")
+    # Written first, so that the join may split the members of a node of very many.
+    held = members.join(materialise(heads.select("tree", "prefix", "head")), ["tree", "prefix"]).where("node <> head").drop("scale")
+    own = signatures.select("node", F.col("signature").alias("own"), "scale")
+    other = signatures.select(F.col("node").alias("head"), F.col("signature").alias("other"), F.col("scale").alias("other_scale"))
+    pairs = held.select("node", "head").distinct().join(own, "node").join(other, "head")
+    alike = materialise(
+        pairs.select("node", "head", "own", "other", F.least("scale", "other_scale").alias("scale")).mapInArrow(_alike, "node binary, head binary, scale int, alike double")
+    )
+    ties = [alike.where(F.col("alike") >= TIED).select(F.col("node").alias("a"), F.col("head").alias("b"))]
+    rest = held.join(alike.where(F.col("alike") < COPY), ["node", "head"]).select("tree", "prefix", "node")
+    least = materialise(rest.groupBy("tree", "prefix").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    ties.append(rest.join(least, ["tree", "prefix"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    seen = alike.where(F.col("alike") >= threshold - NOISE).groupBy("scale").agg(F.count_distinct("node").alias("n"), F.min("alike").alias("least"))
+    return ties, {x.scale: needed_depth(x.n, x.least, threshold) for x in seen.collect()}  # a row for each order of length
 
 
 def _verifier(threshold: float):
@@ -209,8 +217,6 @@ def _verifier(threshold: float):
         end[by] = np.append(change[1:], len(value))[run]
         at = np.concatenate([[0], np.cumsum(length)])
         links, tied = np.zeros(len(blob), np.int64), np.arange(len(blob))
-        least = np.ones(len(blob))
-        edges = []
 
         for i in range(len(blob)):
             a, b = begin[at[i] : at[i + 1]], end[at[i] : at[i + 1]]
@@ -232,20 +238,19 @@ def _verifier(threshold: float):
             if not len(found):
                 continue
             links[i] += size[found].sum()
-            least[i] = (common[found - base] / union[found - base]).min()
-            others, where = np.unique(tied[found], return_index=True)
-            for q, j in zip(others.tolist(), found[where].tolist()):
+            for q in np.unique(tied[found]).tolist():
                 if q != tied[i]:
-                    edges.append((i, j))
                     tied[base:top][tied[base:top] == q] = tied[i]
         some = np.flatnonzero(links)
+        heads: dict[int, bytes] = {}
+        for i in some.tolist():
+            heads[int(tied[i])] = min(node[i], heads.get(int(tied[i]), node[i]))
+        edges = [(node[i], heads[int(tied[i])]) for i in some.tolist() if node[i] != heads[int(tied[i])]]
         return pa.table(
             {
-                "a": pa.array([node[i] for i in some] + [node[i] for i, _ in edges], pa.binary()),
-                "b": pa.array([None] * len(some) + [node[j] for _, j in edges], pa.binary()),
+                "a": pa.array([node[i] for i in some] + [a for a, _ in edges], pa.binary()),
+                "b": pa.array([None] * len(some) + [b for _, b in edges], pa.binary()),
                 "links": pa.array(links[some].tolist() + [None] * len(edges), pa.int64()),
-                "scale": pa.array([int(length[i]).bit_length() - 1 for i in some] + [None] * len(edges), pa.int32()),
-                "least": pa.array(least[some].tolist() + [None] * len(edges), pa.float64()),
             }
         )
 
@@ -284,19 +289,20 @@ def _verified(chosen: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     comps = chosen.groupBy("comp").agg(F.sum("n_shingles").alias("total"))
     bins = max(1, -(-(chosen.agg(F.sum("n_shingles")).first()[0] or 0) // GROUP_SHINGLES))
     # A large component gets a bin of its own, cut into blocks; small ones share bins.
-    placed = comps.select(
+    # Written first, so that the join may split a component of very many.
+    placed = materialise(comps.select(
         "comp",
         F.ceil(F.col("total") / GROUP_SHINGLES).cast("int").alias("blocks"),
         F.xxhash64("comp").alias("comp_hash"),
         F.when(F.col("total") > GROUP_SHINGLES, F.hex("comp")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(bins)).cast("string")).alias("bin"),
-    )
+    ))
     wanted = chosen.join(placed, "comp").select(
         "node", F.col("comp_hash").alias("comp"), "bin", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
     )
     paired = wanted.join(sets.select("node", "size", "shingles"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select("node", "comp", "size", "block", "shingles", "bin", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     return materialise(
-        paired.groupBy("bin", "low", "high").applyInArrow(_verifier(threshold), "a binary, b binary, links bigint, scale int, least double")
+        paired.groupBy("bin", "low", "high").applyInArrow(_verifier(threshold), "a binary, b binary, links bigint")
     )
 
 
@@ -315,45 +321,29 @@ def linked(
     shortest = prefix_depth(threshold)
     trie = written(tries(classes, shortest))
     kept = classes.join(trie.select("node").distinct(), "node", "left_semi")
-    signatures = materialise(kept.select("node", "signature"))
+    signatures = materialise(kept.select("node", _scale(), "signature"))
     texts = kept.select("node", "size", "n_shingles", "one.*").join(_keyed(docs).select("row_hash", "doc_key", "text"), ["row_hash", "doc_key"])
     sets = written(
         texts.dropDuplicates(["row_hash", "doc_key"]).select("node", "size", "n_shingles", "text")
         .mapInArrow(_sets(n), "node binary, size bigint, n_shingles bigint, shingles binary")
     )
-    depth, scales, ties, tied, found = DEPTH, None, [], None, None
+    depth, scales, joined = DEPTH, None, None
     while True:
-        members = trie.where(F.col("matched") >= depth).select("tree", F.substr("label", F.lit(1), F.lit(2 * depth)).alias("prefix"), "node", "scale")
-        if scales is not None:
-            asked = members.where(F.col("scale").isin(scales)).select("tree", "prefix").distinct()
-            members = members.join(asked, ["tree", "prefix"], "left_semi")
         if depths is not None:
             depths.append((depth, scales))
-        for more in _ties(members.drop("scale"), signatures):
-            ties.append(more)
-        joined = ties[0]
-        for more in ties[1:]:
-            joined = joined.unionByName(more)
-        now = materialise(_components(joined))
-        if found is None:
-            found = _verified(now, sets, threshold)
-        else:
-            # What the shorter prefixes have joined is verified again, the rest stays.
-            before = now.join(tied.withColumnRenamed("comp", "was"), "node", "left")
-            same = before.groupBy("comp").agg((F.count("was") == F.count("*")).alias("known"), (F.min("was") == F.max("was")).alias("one")).where("known and one")
-            stay = now.join(same.select("comp"), "comp", "left_semi").select(F.col("node").alias("a"))
-            found = materialise(found.join(stay, "a", "left_semi").unionByName(_verified(now.join(same.select("comp"), "comp", "left_anti"), sets, threshold)))
-        tied = now
-        seen = found.where("b is null").groupBy("scale").agg(F.count_distinct("a").alias("n"), F.min("least").alias("least")).collect()  # a row for each order of length
-        want = {x.scale: min(depth, needed_depth(x.n, x.least, threshold)) for x in seen}
-        if depth == shortest:
+        members = trie.where(F.col("matched") >= depth).select("tree", F.substr("label", F.lit(1), F.lit(2 * depth)).alias("prefix"), "node", "scale")
+        ties, want = _ties(members, signatures, scales, threshold)
+        for more in ties:
+            joined = more if joined is None else joined.unionByName(more)
+        if depth <= shortest:
             break
-        if scales is None:  # orders of length without any link yet
-            scales = [x.scale for x in trie.select("scale").distinct().collect()]
+        if scales is None:
+            scales = [x.scale for x in trie.select("scale").distinct().collect()]  # at most one for each power of two
         scales = [x for x in scales if want.get(x, shortest) < depth]
         if not scales:
             break
-        depth = max(want.get(x, shortest) for x in scales)
+        depth = max(max(want.get(x, shortest) for x in scales), shortest)
+    found = _verified(_components(joined), sets, threshold)
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(found.where("b is not null").select("a", "b"))
     return sketch.select("doc_id", "row_hash", "node"), links, roots.select(F.col("a").alias("node"), "root")

@@ -8,8 +8,10 @@ would write to folders that nobody else sees. ``localCheckpoint`` is never used.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def local_folder(spark: SparkSession) -> str:
+    """The shared folder as a path that all machines can map."""
+    where = urlparse(shared_dir(spark))
+    if where.scheme not in ("", "file"):
+        raise ValueError(f"memory-mapped files need a mounted folder, not {where.scheme}://")
+    return where.path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """df, written once to reliable storage and cut from its lineage."""
     shared_dir(df.sparkSession)
@@ -49,3 +59,9 @@ def removed(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that are no longer used; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
