@@ -8,16 +8,21 @@ counts). Every capture is then joined, as of its fetch day, with the entries
 active on that day.
 
 A pattern is a host with all its subdomains ("ads.example") or a host and the
-beginning of its path, at a "/" ("example.com/spam"). A capture has one
-candidate key for each suffix of its host and each prefix of its path, so the
-join is an equality of keys; intervals are cut at spans of ``SPAN_DAYS`` days
-and captures carry their span, so a pattern listed and delisted any number of
-times meets a capture with a few intervals only. Hot hosts meet a short list
-side and Spark may split them.
+beginning of its path, at a "/" ("example.com/spam"). Patterns are made
+canonical first: no scheme, the host in lower case without leading "*." or "."
+and without a "." at its end, no empty path segments. An address (IPv4, or IPv6
+in brackets) has no subdomains. A capture has one candidate key for each suffix
+of its host and each prefix of its path, so the join is an equality of keys;
+intervals are cut at spans of ``SPAN_DAYS`` days and captures carry their span,
+so a pattern listed and delisted any number of times meets a capture with a few
+intervals only. Suffixes of a number of labels that no pattern has aren't made
+("com" is a key only if a list holds a whole top-level domain), and if the
+patterns are few enough to broadcast, keys that none has go before the shuffle.
+Hot hosts meet a short list side and Spark may split them.
 
 Defined results: a capture without url, host or day is not listed. Entries
-with a null are not used. The verdict names the longest pattern,
-then the least list. Repeated captures are each reported.
+with a null, or without a host, are not used. The verdict names the longest
+pattern, then the least list. Repeated captures are each reported.
 """
 
 from __future__ import annotations
@@ -25,13 +30,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.llm.storage import materialise
+
 SPAN_DAYS = 64
 OPEN_END = 1_000_000
+#: Patterns that may be broadcast, to leave out other keys before the shuffle.
+BROADCAST_PATTERNS = 500_000
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
+_HOST = _SCHEME + r"(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
+_ADDRESS = r"^(?:\d+(?:\.\d+){3}|\[.*)$"
+
+
+def canonical(pattern: Column) -> Column:
+    """The form in which patterns meet keys; null without a host."""
+    bare = F.regexp_replace(F.trim(pattern), _SCHEME, "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[^/]*", 0)), r"^(?:\*?\.)+|\.+$", "")
+    steps = F.filter(F.split(F.regexp_extract(bare, "/.*", 0), "/"), lambda x: x != "")
+    return F.when(host != "", F.concat_ws("/", F.array(host), steps))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, pattern, day, listed) to (list, pattern, valid_from, valid_to), days whole numbers, valid_to exclusive."""
-    known = entries.where("list is not null and pattern is not null and day is not null and listed is not null")
+    known = entries.select("list", canonical(F.col("pattern")).alias("pattern"), "day", "listed")
+    known = known.where("list is not null and pattern is not null and day is not null and listed is not null")
     daily = known.groupBy("list", "pattern", "day").agg(F.min("listed").alias("listed"))  # a removal wins its day
     order = Window.partitionBy("list", "pattern").orderBy("day")
     changed = daily.withColumn("was", F.coalesce(F.lag("listed").over(order), F.lit(False))).where("listed <> was")
@@ -42,18 +63,21 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def host_of(url: Column) -> Column:
-    return F.rtrim(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("."))
+    return F.rtrim(F.lower(F.regexp_extract(url, _HOST, 1)), F.lit("."))
 
 
 def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def candidate_keys(url: Column, segments: int) -> Column:
-    """Host suffixes, and the host with each path prefix of up to ``segments`` segments."""
-    labels = F.split(host_of(url), r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+def candidate_keys(url: Column, segments: int, labels: list[int] | None = None) -> Column:
+    """Host suffixes (of a number of labels in ``labels``, if given), and the host with each path prefix of up to ``segments`` segments."""
+    parts = F.split(host_of(url), r"\.")
+    wanted = F.sequence(F.lit(1), F.size(parts))
+    if labels is not None:
+        wanted = F.filter(wanted, lambda i: (F.size(parts) - i + 1).isin(labels) if labels else F.lit(False))
+    suffixes = F.when(host_of(url).rlike(_ADDRESS), F.array(host_of(url))).otherwise(
+        F.transform(wanted, lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     )
     steps = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
     prefixes = F.when(
@@ -66,9 +90,14 @@ def candidate_keys(url: Column, segments: int) -> Column:
     return F.when(F.length(host_of(url)) > 0, F.array_distinct(F.concat(suffixes, prefixes))).otherwise(F.array().cast("array<string>"))
 
 
-def listed_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
+def listed_captures(captures: DataFrame, entries: DataFrame, broadcast_patterns: int = BROADCAST_PATTERNS) -> DataFrame:
     """(page_id, url, day) to page_id, url, day, n_active (entries active on that day), list and pattern (of the verdict), blocked."""
-    spans = intervals(entries).select(
+    valid = materialise(intervals(entries))
+    shape = valid.agg(
+        F.max(F.size(F.split("pattern", "/")) - 1).alias("deepest"), F.count("*").alias("n"),
+        F.collect_set(F.when(~F.col("pattern").contains("/"), F.size(F.split("pattern", r"\.")))).alias("labels"),  # a host has 127 at most
+    ).first()
+    spans = valid.select(
         "list", F.col("pattern").alias("key"), "valid_from", "valid_to",
         # An interval without end is listed under its spans up to the last capture; see below.
         F.floor(F.col("valid_from") / SPAN_DAYS).alias("first_span"), F.floor((F.col("valid_to") - 1) / SPAN_DAYS).alias("last_span"),
@@ -77,9 +106,11 @@ def listed_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     spans = spans.where(F.col("first_span") <= most).withColumn(
         "span", F.explode(F.sequence("first_span", F.least("last_span", F.lit(most).cast("bigint"))))
     )
-    deepest = entries.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
     once = captures.where("url is not null and day is not null").select("url", "day").distinct()
-    asked = once.select("url", "day", F.floor(F.col("day") / SPAN_DAYS).alias("span"), F.explode(candidate_keys(F.col("url"), deepest)).alias("key"))
+    keys = F.explode(candidate_keys(F.col("url"), shape.deepest or 0, list(shape.labels)))
+    asked = once.select("url", "day", F.floor(F.col("day") / SPAN_DAYS).alias("span"), keys.alias("key"))
+    if shape.n <= broadcast_patterns:
+        asked = asked.join(F.broadcast(valid.select(F.col("pattern").alias("key")).distinct()), "key", "left_semi")
     active = asked.join(spans, ["key", "span"]).where("valid_from <= day and day < valid_to")
     best = F.struct(-F.length("key"), "list", "key")
     found = active.groupBy("url", "day").agg(F.count("*").alias("n_active"), F.min_by(F.struct("list", "key"), best).alias("best"))
@@ -123,7 +154,7 @@ def derived_entries(pages: DataFrame) -> DataFrame:
 
 SQL = r"""
 WITH host AS (SELECT page_id, url, (page_id * 37) % 730 + 19700 AS day,
-    rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host,
+    rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1)), '.') AS host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path FROM pages),
 h AS (SELECT DISTINCT host, ('0x' || substr(md5(host), 1, 6))::BIGINT AS n,
     CASE WHEN len(string_split(host, '.')) > 3 THEN array_to_string(string_split(host, '.')[2:], '.') ELSE host END AS domain FROM host WHERE host <> ''),
@@ -143,8 +174,9 @@ valid AS (
 steps AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg, string_split(host, '.') AS labels FROM host),
 asked AS (
   SELECT page_id, url, day, unnest(list_distinct(list_concat(
-    list_transform(range(1, len(labels) + 1), lambda i: array_to_string(labels[i:], '.')),
-    list_transform(range(1, least(len(seg), 4) + 1), lambda i: host || '/' || array_to_string(seg[1:i], '/'))))) AS key
+    CASE WHEN regexp_matches(host, '^(\d+(\.\d+){3}|\[.*)$') THEN [host]
+         ELSE list_transform(range(1, len(labels) + 1), lambda i: array_to_string(labels[i:], '.')) END,
+    list_transform(range(1, len(seg) + 1), lambda i: host || '/' || array_to_string(seg[1:i], '/'))))) AS key
   FROM steps WHERE host <> ''),
 best AS (
   SELECT page_id, url, count(*) AS n_active,
