@@ -26,7 +26,7 @@ def world(seed=1):
     return items, rows, want | {(3000, 102), (3002, 104)}
 
 
-@pytest.mark.parametrize("block", [d.BLOCK_WORDS, 200])
+@pytest.mark.parametrize("block", [d.BLOCK_WORDS, 200, 30])
 def test_planted_passages_are_found_and_nothing_else(spark, block):
     items, rows, want = world()
     docs, bench = frame(spark, rows, clashing=True), spark.createDataFrame(items, ITEMS)
@@ -103,6 +103,20 @@ def test_a_middle_that_is_replaced(put_in):
     assert not held(["a"] * 10 + item[:6] + ["other"] * put_in + item[30:] + ["b"] * 10, item)
 
 
+@pytest.mark.parametrize("kind", ["smallint", "string", "decimal(10,2)", "date"])
+@pytest.mark.parametrize("block", [d.BLOCK_WORDS, 20])
+def test_items_of_any_type_and_documents_of_any_columns(spark, kind, block):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    ids = {"smallint": "7", "string": "é'7", "decimal(10,2)": "7.25", "date": "2024-02-29"}
+    bench = spark.createDataFrame([(ids[kind], text), (ids[kind], text + " " + prose(random.Random(1), 30))], "item_id string, text string")
+    bench = bench.withColumn("item_id", bench.item_id.cast(kind))
+    docs = frame(spark, [(1, "x " + text, "en", "s", 0), (2, "y", "en", "s", 0)]).withColumn("a.b", d.F.lit(1)).withColumn("whole", d.F.lit(2))
+    got = d.passages(docs, bench, block).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, bench.first().item_id)}
+    clean = d.clean_documents(docs, bench, block)
+    assert clean.columns == docs.columns and [r.doc_id for r in clean.collect()] == [2]
+
+
 @pytest.mark.parametrize("items", [[], [(1, None)], [(1, " "), (2, "!!")]])
 def test_no_items(spark, items):
     bench = spark.createDataFrame(items, ITEMS)
