@@ -1,4 +1,4 @@
-"""Cutting the lineage of loops in the shared folder that spark.checkpoint.dir names."""
+"""Tables in the shared folder that spark.checkpoint.dir names: they cut the lineage of loops and are computed once."""
 
 from __future__ import annotations
 
@@ -9,22 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder; one of its own is made only where none is set, as in tests."""
+    """The shared folder; one of its own is made only where none is set and all runs on this machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="loomspan-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def new_path(spark: SparkSession) -> str:
-    """A path in the shared folder that nothing has yet."""
-    return f"{shared_folder(spark)}/loomspan-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has yet; what is written there goes when the application ends."""
+    path = f"{shared_folder(spark)}/loomspan-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df from a Parquet table: computed once, of a known size, and without its lineage."""
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

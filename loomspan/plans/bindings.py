@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomspan.functions.storage import materialise
 from loomspan.plans.targets import Catalogue
 
 _ARG_TYPE = """CASE p_type WHEN 'ECONOMY' THEN 'int' WHEN 'STANDARD' THEN 'String' WHEN 'LARGE' THEN 'List<String>'
@@ -171,7 +172,7 @@ class Tables:
     """The driver's tables of a folder, and the catalogue tables bound to them, each made once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self.made = spark, sf_dir, {}
+        self.spark, self.sf_dir, self.made, self.kept = spark, sf_dir, {}, set()
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.made:
@@ -182,6 +183,13 @@ class Tables:
                 self.made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.made[name]
 
+    def keep(self, *names: str) -> None:
+        """Write these tables, in this order, as a query is to read them more than once."""
+        for name in names:
+            if name not in self.kept:
+                self.made[name] = materialise(self[name])
+                self.kept.add(name)
+
     def catalogue(self) -> Catalogue:
         return Catalogue(*(self[n] for n in ("args_data", "return_data", "dto_data", "field_data", "object_data", "enum_data", "importlist_data", "lang_data_models")))
 

@@ -24,8 +24,10 @@ def y_applies(y_id: Column) -> Column:
 
 
 def y_pairs(targets: DataFrame, y: DataFrame) -> DataFrame:
-    """Every (target, applicable rule): the rule list is a small catalogue, sent to all executors."""
-    return targets.where("targetKind <> 'METHOD'").join(F.broadcast(y), y_applies(F.col("y_id")))
+    """Every (target, applicable rule): the rule list travels with every row as one array and is filtered in place."""
+    rules = y.agg(F.collect_list(F.struct(*y.columns)).alias("__y"))  # one row
+    fit = F.explode(F.filter("__y", lambda r: y_applies(r["y_id"]))).alias("__r")
+    return targets.where("targetKind <> 'METHOD'").crossJoin(F.broadcast(rules)).select(*targets.columns, fit).select(*targets.columns, "__r.*")
 
 
 def _lists(x: DataFrame, prefix: str, *details: str) -> DataFrame:
@@ -79,10 +81,17 @@ def ai_input(attached: DataFrame) -> DataFrame:
     return attached.select(target_id().alias("targetId"), "*")
 
 
-def explode_ids(inputs: DataFrame, strict: bool = True) -> DataFrame:
-    """(targetId, axis, mirrorId), distinct: one scan for all three axes."""
-    axes = F.explode(F.create_map(*(v for a in "XYZ" for v in (F.lit(a), F.col(f"{a.lower()}CandidateIds"))))).alias("axis", "ids")
-    return inputs.select("targetId", axes).select("targetId", "axis", F.explode(unpack(F.col("ids"), strict)).alias("mirrorId")).dropDuplicates()
+def lists_by_target(inputs: DataFrame, axes: str = "XYZ") -> DataFrame:
+    """targetId and the packed ids of each axis (columns X, Y, Z), one row for each target; rows of one target join their lists."""
+    ids = {a: F.col(f"{a.lower()}CandidateIds") for a in axes}
+    return inputs.groupBy("targetId").agg(*(F.array_join(F.collect_set(ids[a]), " / ").alias(a) for a in axes))
+
+
+def explode_ids(inputs: DataFrame, strict: bool = True, axes: str = "XYZ") -> DataFrame:
+    """(targetId, axis, mirrorId), distinct: one scan for all axes asked for, and a shuffle of packed lists instead of single ids."""
+    lists = lists_by_target(inputs, axes)
+    pairs = F.explode(F.create_map(*(v for a in axes for v in (F.lit(a), F.col(a))))).alias("axis", "ids")
+    return lists.select("targetId", pairs).select("targetId", "axis", F.explode(F.array_distinct(unpack(F.col("ids"), strict))).alias("mirrorId"))
 
 
 def known_targets(inputs: DataFrame) -> DataFrame:

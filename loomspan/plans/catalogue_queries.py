@@ -116,20 +116,27 @@ def rec(names: list[str], ctes: str, select: str) -> str:
 def inputs(t: Tables) -> DataFrame:
     """The AI input of the bound catalogue, made once for each query."""
     if "ai_input" not in t.made:
-        t.made["ai_input"] = candidates.ai_input(candidates.attach(targets.all_targets(t.catalogue()), t["mirror_x_axis"], t["mirror_y_axis"], t["mirror_z_axis"]))
+        t.made["ai_input"] = candidates.ai_input(candidates.attach(everything(t), t["mirror_x_axis"], t["mirror_y_axis"], t["mirror_z_axis"]))
     return t.made["ai_input"]
 
 
+def everything(t: Tables) -> DataFrame:
+    """All targets; the tables that their plan reads many times are written first."""
+    t.keep("args_data", "field_data", "return_data", "object_data")
+    return targets.all_targets(t.catalogue())
+
+
 def good_rows(t: Tables) -> DataFrame:
     """The accepted rows; they and the AI input are written once, since instructions read both more than once."""
     if "accepted" not in t.made:
         t.made["ai_input"] = materialise(inputs(t))
+        t.keep("test_spec")
         t.made["accepted"] = materialise(validate.accepted(t["test_spec"], inputs(t)))
     return t.made["accepted"]
 
 
-def exploded(t: Tables) -> DataFrame:
-    return candidates.explode_ids(inputs(t))
+def exploded(t: Tables, axes: str = "XYZ") -> DataFrame:
+    return candidates.explode_ids(inputs(t), axes=axes)
 
 
 # --- the domain views -------------------------------------------------------------------------------------------
@@ -137,12 +144,12 @@ def exploded(t: Tables) -> DataFrame:
 
 @query("q01_all_targets", rec(CATALOGUE, TARGETS, "SELECT * FROM all_targets"))
 def _(t):
-    return targets.all_targets(t.catalogue())
+    return everything(t)
 
 
 @query("q02_mirror_candidates", rec([*CATALOGUE, *AXES], CANDIDATES, "SELECT * FROM offered"))
 def _(t):
-    return candidates.attach(targets.all_targets(t.catalogue()), t["mirror_x_axis"], t["mirror_y_axis"], t["mirror_z_axis"])
+    return candidates.attach(everything(t), t["mirror_x_axis"], t["mirror_y_axis"], t["mirror_z_axis"])
 
 
 @query("q03_ai_input", rec([*CATALOGUE, *AXES], CANDIDATES, "SELECT * FROM ai_input"))
@@ -178,28 +185,30 @@ def _ng(number: int, rule: str, make) -> None:
 _ng(6, "required", lambda t: validate.ng_required(t["test_spec"]))
 _ng(7, "target", lambda t: validate.ng_target(t["test_spec"], candidates.known_targets(inputs(t))))
 _ng(8, "generator_target", lambda t: validate.ng_generator_target(t["test_spec"]))
-_ng(9, "x", lambda t: validate.ng_axis(t["test_spec"], exploded(t), "X"))
-_ng(10, "y", lambda t: validate.ng_axis(t["test_spec"], exploded(t), "Y"))
-_ng(11, "z", lambda t: validate.ng_axis(t["test_spec"], exploded(t), "Z"))
+_ng(9, "x", lambda t: validate.ng_axis(t["test_spec"], exploded(t, "X"), "X"))
+_ng(10, "y", lambda t: validate.ng_axis(t["test_spec"], exploded(t, "Y"), "Y"))
+_ng(11, "z", lambda t: validate.ng_axis(t["test_spec"], exploded(t, "Z"), "Z"))
 _ng(12, "generator_rule", lambda t: validate.ng_generator_rule(t["test_spec"]))
 _ng(13, "case_no_duplicate", lambda t: validate.ng_duplicate(t["test_spec"], ["CaseNo"]))
 _ng(14, "case_duplicate", lambda t: validate.ng_duplicate(t["test_spec"], validate.LOGICAL_KEY))
-_ng(15, "y_coverage", lambda t: validate.ng_y_coverage(t["test_spec"], exploded(t)))
+_ng(15, "y_coverage", lambda t: validate.ng_y_coverage(t["test_spec"], exploded(t, "Y")))
 
 
 @query("q16_accepted", rec(SPEC, JUDGED, "SELECT * EXCLUDE (reasons) FROM judged WHERE len(reasons) = 0"))
 def _(t):
+    t.keep("test_spec")
     return validate.accepted(t["test_spec"], inputs(t))
 
 
 @query("q16_rejected", rec(SPEC, JUDGED, "SELECT * REPLACE (array_to_string(reasons, ',') AS reasons) FROM judged WHERE len(reasons) > 0"))
 def _(t):
+    t.keep("test_spec")
     return validate.rejected(t["test_spec"], inputs(t)).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("q17_missing_y", rec(SPEC, JUDGED, "SELECT * FROM gap"))
 def _(t):
-    return validate.missing_y(t["test_spec"], exploded(t))
+    return validate.missing_y(t["test_spec"], exploded(t, "Y"))
 
 
 @query("q18_direct_instructions", rec(SPEC, INSTRUCTIONS, "SELECT * EXCLUDE (kind) FROM instruction WHERE kind = 'd'"))
@@ -329,7 +338,7 @@ def _(t):
 
 @query("prj08_constant_rows", rec(CATALOGUE, TARGETS, "SELECT filePath, className, methodName, targetKind, arg_n, dtoName, effectiveMin FROM all_targets WHERE targetKind = 'METHOD'"))
 def _(t):
-    return targets.all_targets(t.catalogue()).where("targetKind = 'METHOD'").select("filePath", "className", "methodName", "targetKind", "arg_n", "dtoName", "effectiveMin")
+    return everything(t).where("targetKind = 'METHOD'").select("filePath", "className", "methodName", "targetKind", "arg_n", "dtoName", "effectiveMin")
 
 
 @query("prj09_row_id", "SELECT row_number() OVER (ORDER BY o_custkey, o_orderkey) AS row_id, o_orderkey, o_custkey, o_orderstatus FROM orders")
@@ -424,7 +433,7 @@ def _(t):
 
 @query("jn09_theta", rec([*CATALOGUE, *AXES], CANDIDATES, "SELECT targetId, unnest(string_split(yCandidateIds, ' / ')) AS rule FROM ai_input WHERE yCandidateIds <> '-'"))
 def _(t):
-    pairs = candidates.y_pairs(targets.all_targets(t.catalogue()), t["mirror_y_axis"])
+    pairs = candidates.y_pairs(everything(t), t["mirror_y_axis"])
     return pairs.select(candidates.target_id().alias("targetId"), joined(F.col("n"), F.col("y_id")).alias("rule"))
 
 
@@ -563,12 +572,13 @@ def _(t):
 
 @query("set03_broken_rules", rec(SPEC, JUDGED, "SELECT unnest(reasons) AS reason, count(*) AS n FROM judged GROUP BY 1"))
 def _(t):
+    t.keep("test_spec")
     return validate.judged(t["test_spec"], inputs(t)).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("set04_union_all", rec(CATALOGUE, TARGETS, "SELECT targetKind, count(*) AS n FROM all_targets GROUP BY ALL"))
 def _(t):
-    return targets.all_targets(t.catalogue()).groupBy("targetKind").agg(F.count("*").alias("n"))
+    return everything(t).groupBy("targetKind").agg(F.count("*").alias("n"))
 
 
 @query("set07_edge_kinds", rec(SPEC, INSTRUCTIONS, "SELECT from_id, from_ref, suffix, id, conv, ref FROM edge"))

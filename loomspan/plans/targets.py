@@ -118,7 +118,7 @@ def _with_model(df: DataFrame, objects: DataFrame, models: DataFrame) -> DataFra
     """Adds the model of the root's base type, or of the raw type if there is no root."""
     roots = objects.select(F.col("objectId").alias("objectRootId"), F.col("baseType").alias("rootType"))
     typed = df.join(roots, "objectRootId", "left").withColumn("modelLookupType", F.when(F.col("objectRootId") > 0, F.coalesce("rootType", "rawType")).otherwise(F.col("rawType")))
-    model = F.broadcast(models.withColumnRenamed("data_model", "modelLookupType"))  # a language's model list
+    model = models.withColumnRenamed("data_model", "modelLookupType")
     out = typed.join(model, "modelLookupType", "left")
     return out.withColumn("modelMin", or_number(F.col("min_value"))).withColumn("modelMax", or_number(F.col("max_value")))
 
@@ -132,7 +132,7 @@ def all_targets(cat: Catalogue, language: str = "java") -> DataFrame:
         args.select("objectRootId").unionByName(cat.returns.select("objectRootId")).unionByName(cat.fields.select("objectRootId"))
         .where("objectRootId > 0").select(F.col("objectRootId").alias("rootObjectId")).distinct()
     )
-    trees = materialise(structures(cat.objects, roots))
+    trees = materialise(structures(cat.objects, roots))  # read for the targets and for the returns
     parent = [F.col("n").alias("arg_n"), "argIndex", "argName", "argRaw"]
     field_rows = wide.select(
         *METHOD, F.lit("FIELD").alias("targetKind"), *parent, args["rawType"].alias("parentArgRawType"), args["rawAnnotations"].alias("parentArgRawAnnotations"),

@@ -85,23 +85,22 @@ def ng_y_coverage(spec: DataFrame, candidates: DataFrame) -> DataFrame:
 def judged(spec: DataFrame, inputs: DataFrame, strict: bool = True) -> DataFrame:
     """spec with ``reasons``: the names of all rules that a row breaks, in order, from one pass.
 
-    A row meets its target's candidate lists by one join, so X, Y and Z need no exploded candidate
-    table; duplicates are counted by one aggregate for each key.
+    A row meets its target's candidate lists, packed as they are, by one join, so X, Y and Z need no
+    exploded candidate table; duplicates are counted by one aggregate for each key.
     """
     from loomspan.functions.packed import unpack
+    from loomspan.plans.candidates import lists_by_target
 
-    lists = inputs.groupBy("targetId").agg(
-        *(F.array_distinct(F.flatten(F.collect_set(unpack(F.col(f"{a}CandidateIds"), strict)))).alias(f"__{a}") for a in "xyz"), F.lit(True).alias("__known")
-    )
     used = spec.groupBy("targetId").agg(F.collect_set(q(Y)).alias("__used"))  # as many as Y rules, at most a handful
-    covered = lists.select("targetId", "__y", "__x", "__z", "__known").join(used, "targetId", "left")
-    covered = covered.withColumn("__gap", F.size(F.array_except("__y", F.coalesce("__used", F.array().cast("array<string>")))) > 0).drop("__used")
+    lists = lists_by_target(inputs).select("targetId", *(F.col(a).alias(f"__{a.lower()}") for a in "XYZ"), F.lit(True).alias("__known"))
+    gap = F.size(F.array_except(unpack(F.col("__y"), strict), F.coalesce("__used", F.array().cast("array<string>")))) > 0
+    covered = lists.join(used, "targetId", "left").withColumn("__gap", gap).drop("__used")
     out = spec.join(covered, "targetId", "left")
     out = out.join(duplicate_keys(spec, ["CaseNo"]).withColumnRenamed("duplicateCount", "__cases"), "CaseNo", "left")
     out = out.join(duplicate_keys(spec, LOGICAL_KEY).withColumnRenamed("duplicateCount", "__copies"), LOGICAL_KEY, "left")
 
     def off(column: str, a: str) -> Column:
-        known = F.coalesce(F.array_contains(F.col(f"__{a}"), q(column)), F.lit(False))
+        known = F.coalesce(F.array_contains(unpack(F.col(f"__{a}"), strict), q(column)), F.lit(False))
         return (q(column) != "-") & ~known
 
     broken = {
