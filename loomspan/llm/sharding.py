@@ -9,6 +9,9 @@ a group of equal texts moves to the group's nearer edge if the group is small
 (``hold`` of a shard's bytes at most); a larger group is cut, so that shards
 stay balanced however large a group is.
 
+Equal texts of one doc_id are ordered by a hash of the whole row, and fully equal
+rows by their number in the input, so that very many of them are many ranges.
+
 Defined results: null text has no bytes, its size is 1 and its CRC that of no
 bytes. Fully equal rows are interchangeable. An empty table gives no rows. With
 fewer documents than shards some shards are empty.
@@ -20,8 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomspan.llm.storage import materialise
+from loomspan.llm import rows as r
+from loomspan.llm.storage import written
 
 SHARDS = 8
 #: Rows of a partition of the sorted layout, about.
@@ -47,28 +52,26 @@ def _running(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends), pa.array(rows)], [*batch.schema.names, "end", "row"])
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, hold: float = HOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each document: doc_id, size, text_crc32, shard, slot (its place in the shard), and the columns ``keep``."""
+def shard(docs: DataFrame, shards: int = SHARDS, hold: float = HOLD, whole: bool = False) -> DataFrame:
+    """A row for each document: doc_id, size, text_crc32, shard, slot (its place in the shard), and with ``whole`` the row itself as a struct of that name."""
     text = F.coalesce("text", F.lit(""))
+    order = ["text_hash", "text_crc32", "doc_id", "tie", "nth"]
     rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), *(k for k in keep if k != "doc_id"),
+        F.col("doc_id").cast("bigint").alias("doc_id"), *([r.packed(docs).alias("whole")] if whole else []),
         (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"),
+        (r.row_hash(docs) if whole else F.lit(0).cast("bigint")).alias("tie"), F.monotonically_increasing_id().alias("nth"),
     )
-    rows = materialise(rows)
-    parts = max(1, -(-rows.count() // PARTITION_ROWS), rows.sparkSession.sparkContext.defaultParallelism)
-    laid = rows.repartitionByRange(parts, "text_hash", "text_crc32", "doc_id").sortWithinPartitions("text_hash", "text_crc32", "doc_id")
-    laid = materialise(laid.withColumn("part", F.spark_partition_id()))
-    extra = [f for f in laid.schema.fields if f.name in keep and f.name != "doc_id"]
-    fields = ["doc_id bigint", *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra), "size bigint", "text_crc32 bigint", "text_hash bigint", "part int"]
-    placed = laid.mapInArrow(_running, ", ".join([*fields, "end bigint", "row bigint"]))
+    parts = max(1, -(-docs.count() // PARTITION_ROWS), docs.sparkSession.sparkContext.defaultParallelism)
+    laid = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).drop("tie", "nth")
+    # Written with the number of its partition, so the layout stays as it is whatever is computed again.
+    schema = T.StructType([*laid.schema.fields, T.StructField("end", T.LongType()), T.StructField("row", T.LongType())])
+    laid = written(laid.mapInArrow(_running, schema))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     offsets = laid.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     offsets = offsets.select(
         "part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before")
     )
-    placed = placed.join(F.broadcast(offsets), "part").select(
-        *(f.split(" ")[0].strip("`") for f in fields if f != "part int"), (F.col("end") + F.col("bytes_before")).alias("end"), (F.col("row") + F.col("n_before")).alias("row")
-    )
+    placed = laid.join(F.broadcast(offsets), "part").withColumn("end", F.col("end") + F.col("bytes_before")).withColumn("row", F.col("row") + F.col("n_before"))
     total = laid.agg(F.sum("size")).first()[0] or 0
     placed = placed.withColumn("middle", F.col("end") * 2 - F.col("size"))  # doubled, to stay with whole numbers
     cuts = _cuts(placed, total, shards, hold)
@@ -78,7 +81,18 @@ def shard(docs: DataFrame, shards: int = SHARDS, hold: float = HOLD, keep: tuple
     placed = placed.withColumn("shard", number)
     first = placed.groupBy("shard").agg(F.min("row").alias("first_row"))  # a row for each shard
     placed = placed.join(F.broadcast(first), "shard").withColumn("slot", F.col("row") - F.col("first_row"))
-    return placed.select("doc_id", *(f.name for f in extra), "size", "text_crc32", "shard", "slot")
+    return placed.select("doc_id", *(["whole"] if whole else []), "size", "text_crc32", "shard", "slot")
+
+
+def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The documents with all their columns, and ``shard`` and ``slot`` (with "_" behind a name that the documents have)."""
+    names = {}
+    for new in ("shard", "slot"):
+        names[new] = new
+        while names[new].lower() in (c.lower() for c in docs.columns):
+            names[new] += "_"
+    out = shard(docs, shards, whole=True)
+    return out.select("whole.*", F.col("shard").cast("int").alias(names["shard"]), F.col("slot").cast("bigint").alias(names["slot"]))
 
 
 def _cuts(placed: DataFrame, total: int, shards: int, hold: float) -> list[int]:

@@ -17,15 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder as a URI or path; also Spark's checkpoint folder."""
+    """The shared folder as a URI or path."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="loomspan-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
@@ -37,24 +35,24 @@ def local_folder(spark: SparkSession) -> str:
     return where.path
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """df, written once to reliable storage and cut from its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_table(spark: SparkSession) -> str:
-    """A path in the shared folder that nothing has yet."""
-    return f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has yet; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df through a Parquet table in the shared folder: smaller than a checkpoint."""
+    """df through a Parquet table in the shared folder: computed once (a checkpoint computes it twice), cut from its lineage, of a known size."""
     path = path or new_table(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+materialise = written
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

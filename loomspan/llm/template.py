@@ -4,8 +4,9 @@ Pages of a host share a template. Each page is read as a sequence of tags, each
 together with the path of its open ancestors, and the texts between them. Tags
 that occur equally often on every page of the group (the same occurrence
 vector) form an equivalence class. A class is valid if its tokens come in the same order on
-every page and its spans nest with the other classes'; valid classes, nested,
-are the template, and what stands between consecutive template tokens is a slot.
+every page and each of its instances lies within one gap of the classes around
+it. Valid classes, nested, are the template; what stands between its tokens is a
+slot, named by the path of gaps down to it.
 
 A slot is boilerplate if the page itself says so: it lies inside a menu, header,
 footer, sidebar, form, advert, cookie notice or comments, by its tag, its role or
@@ -41,6 +42,7 @@ import re
 from collections import Counter
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,8 +80,10 @@ BESIDE = frozenset(
 _OF_PAGE = frozenset("header masthead site-header page-header".split())
 #: What a form holds only if it is wrapped around the page.
 _STRUCTURE = frozenset("article main h1 header footer nav aside".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
-_NAMES = re.compile(r"(?:^|[\s\"'])(role|class|id|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: A quote opens a value only after "=".
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_ASKED = frozenset(["role", "class", "id", "hidden", "aria-hidden"])
 _WORDS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 #: An open element of the key is closed when one of the value begins.
@@ -87,14 +91,22 @@ _CLOSES = {"p": frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 pre blockquote
            "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
 
-def _beside(tag: str, attributes: str, main: bool) -> str:
+def _attributes(text: str) -> dict[str, str]:
+    """The attributes that matter here; of repeated ones the first."""
+    out: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(text) if text.strip() else ():
+        if name.lower() in _ASKED:
+            out.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1 else value)
+    return out
+
+
+def _beside(tag: str, attributes: dict[str, str], main: bool) -> str:
     """Why an element is beside the main text: its tag, role or name; "" if it isn't."""
     if tag in OUTSIDE and not (main and tag in _OF_PAGE):
         return tag
     if tag in ("html", "body", "main", "article"):
         return ""
-    for name, value in _NAMES.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+    for name, value in attributes.items():
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return "hidden"
         for x in value.split() if name != "aria-hidden" else ():
@@ -104,8 +116,8 @@ def _beside(tag: str, attributes: str, main: bool) -> str:
     return ""
 
 
-def _main(tag: str, attributes: str) -> bool:
-    return tag in MAIN or any(k.lower() == "role" and v.strip("\"'").lower() in MAIN for k, v in _NAMES.findall(attributes))
+def _main(tag: str, attributes: dict[str, str]) -> bool:
+    return tag in MAIN or attributes.get("role", "").strip().lower() in MAIN
 
 
 class _Element:
@@ -192,9 +204,10 @@ def parse(html: str) -> list[tuple[str, str, bool, bool, bool]]:
             if stack[n].tag not in INLINE and stack[n].tag not in _CLOSES:
                 break
         parent = stack[-1] if stack else None
-        names = " ".join(v.strip("\"'") for k, v in _NAMES.findall(m[3]) if k.lower() == "class") if m[3] else ""
+        attributes = _attributes(m[3])
+        names = attributes.get("class", "")
         path = (parent.path if parent else "") + f">{tag}" + (f".{names}" if names and tag not in INLINE else "")
-        element = _Element(tag, path, parent, _beside(tag, m[3], bool(parent and parent.main)), _main(tag, m[3]))
+        element = _Element(tag, path, parent, _beside(tag, attributes, bool(parent and parent.main)), _main(tag, attributes))
         elements.append(element)
         if forms and (tag in _STRUCTURE or element.starts):
             for form in forms:
@@ -220,58 +233,89 @@ def parse(html: str) -> list[tuple[str, str, bool, bool, bool]]:
     return [(key, text, bool(e and e.hides), block, bool(e and e.main)) for key, text, block, e in out]
 
 
-def deduce(pages: list[list[tuple[str, str, bool, bool, bool]]], support: float = SUPPORT) -> list[frozenset[str]]:
-    """The valid equivalence classes of tags over the pages, outermost first.
+Page = list[tuple[str, str, bool, bool, bool]]
+
+
+def nested(pages: list[Page], support: float = SUPPORT) -> tuple[list[tuple[str, ...]], list[dict[int, tuple]]]:
+    """The valid equivalence classes of tags over the pages, outermost first, and the names of each page's template tokens by their places.
 
     Tokens with the same occurrence vector form a class. A class is valid if its
-    tokens keep one order on every page and it doesn't cross a class before it.
+    tokens lie in slots of one kind of the classes before it (else it is split by
+    these kinds), keep one order on every page, and if every instance lies within
+    one slot. The slots of an instance are the gaps between its tokens. A token's name is the path of slots
+    down to it: (class, number of the instance within its slot, token) of each.
     """
-    counts = [Counter(k for k, *_ in page if k) for page in pages]
+    where: list[dict[str, list[int]]] = []
+    for page in pages:
+        places: dict[str, list[int]] = {}
+        for i, (key, *_) in enumerate(page):
+            if key:
+                places.setdefault(key, []).append(i)
+        where.append(places)
     vectors: dict[tuple[int, ...], list[str]] = {}
-    for key in dict.fromkeys(k for c in counts for k in c):
-        vector = tuple(c[key] for c in counts)
+    for key in dict.fromkeys(k for places in where for k in places):
+        vector = tuple(len(places.get(key, ())) for places in where)
         if sum(v > 0 for v in vector) >= max(2, support * len(pages)):
             vectors.setdefault(vector, []).append(key)
-    valid: list[frozenset[str]] = []
-    spans: list[list[tuple[int, int]]] = []
+    slot = [np.zeros(len(page), np.int64) for page in pages]  # the innermost slot of each place; 0 is the page
+    kinds: list[tuple[int, int]] = [(-1, 0)]  # (class, gap) of each slot
+    paths: list[tuple] = [()]
+    named: list[dict[int, tuple]] = [{} for _ in pages]
+    classes: list[tuple[str, ...]] = []
     # Large classes that occur once a page come first: they are the outermost.
-    for vector, keys in sorted(vectors.items(), key=lambda x: (max(x[0]), -len(x[1]), x[1][0])):
+    queue = sorted(vectors.items(), key=lambda x: (max(x[0]), -len(x[1]), x[1][0]))
+    while queue:
+        vector, together = queue.pop(0)
+        # Of tokens that occur equally often, those in slots of one kind belong together.
+        by_kind: dict[tuple[int, int], list[str]] = {}
+        for k in together:
+            of = {kinds[s] for p, places in enumerate(where) if k in places for s in slot[p][places[k]].tolist()}
+            if len(of) == 1:
+                by_kind.setdefault(of.pop(), []).append(k)
+        if len(by_kind) > 1:
+            queue[:0] = [(vector, keys) for keys in by_kind.values()]
+            continue
+        keys = next(iter(by_kind.values()), [])
         if len(keys) < 2:
             continue
-        members, order, fits = frozenset(keys), None, True
-        where: list[tuple[int, int]] = []
-        for page, times in zip(pages, vector):
-            seen = [(k, i) for i, (k, *_) in enumerate(page) if k in members]
-            where.append((seen[0][1], seen[-1][1]) if seen else (-1, -1))
-            for t in range(times):
-                part = [k for k, _ in seen[t * len(keys) : (t + 1) * len(keys)]]
-                if order is None and len(set(part)) == len(keys):
-                    order = part
-                if part != order:
-                    fits = False
-                    break
-            if not fits:
-                break
-        if not fits:
+        found = [sorted(i for k in keys for i in places.get(k, ())) for places in where]
+        order = next([pages[p][i][0] for i in at[: len(keys)]] for p, at in enumerate(found) if at)
+        fits = all([page[i][0] for i in at] == order * times for page, at, times in zip(pages, found, vector))
+        inside = [slot[p][at].reshape(-1, len(keys)) for p, at in enumerate(found) if at] if fits else []
+        if not fits or not all((x == x[:, :1]).all() for x in inside):
             continue
-        crossing = any(
-            a < c <= b < d or c < a <= d < b for other in spans for (a, b), (c, d) in zip(where, other) if a >= 0 and c >= 0
-        )
-        if not crossing:
-            valid.append(members)
-            spans.append(where)
-    return valid
+        c = len(classes)
+        classes.append(tuple(order))
+        for p, at in enumerate(found):
+            nth: Counter = Counter()
+            for begin in range(0, len(at), len(keys)):
+                places = at[begin : begin + len(keys)]
+                above = int(slot[p][places[0]])
+                for gap, i in enumerate(places):
+                    named[p][i] = (*paths[above], (c, nth[above], gap))
+                    if gap + 1 < len(places):
+                        part = slot[p][i + 1 : places[gap + 1]]
+                        part[part == above] = len(kinds)
+                        kinds.append((c, gap))
+                        paths.append(named[p][i])
+                nth[above] += 1
+    return classes, named
+
+
+def deduce(pages: list[Page], support: float = SUPPORT) -> list[frozenset[str]]:
+    """The tags of each valid class, outermost first."""
+    return [frozenset(c) for c in nested(pages, support)[0]]
 
 
 def extract(htmls: list[str]) -> list[str]:
     """The main text of each page of a group."""
     pages = [parse(h) for h in htmls]
-    distinct = list({h: p for h, p in zip(htmls, pages) if h}.values())
-    template = frozenset().union(*deduce(distinct)) if len(distinct) > 1 else frozenset()
+    distinct = {h: p for h, p in zip(htmls, pages) if h}
+    tokens = dict(zip(distinct, nested(list(distinct.values()))[1])) if len(distinct) > 1 else {}
 
-    def slots(page):
-        """(name, outside, main, blocks) of every slot in order; a slot's name is the template token before it and the tags since."""
-        name, nth, blocks, text, out = "", Counter(), [], [], []
+    def slots(page, named):
+        """(name, outside, main, blocks) of every slot in order; a slot's name is that of the template token before it."""
+        name, blocks, text, out = (), [], [], []
         place = None
 
         def flush():
@@ -286,11 +330,10 @@ def extract(htmls: list[str]) -> list[str]:
                 out.append((name, *place, tuple(blocks)))
             blocks.clear()
 
-        for key, words, outside, block, main in page:
-            if key in template and block:
+        for i, (key, words, outside, block, main) in enumerate(page):
+            if block and i in named:
                 end()
-                nth[key] += 1
-                name, place = f"{key}#{nth[key]}", None
+                name, place = named[i], None
                 continue
             if key and block:
                 flush()
@@ -302,11 +345,11 @@ def extract(htmls: list[str]) -> list[str]:
         end()
         return out
 
-    cut = [slots(page) for page in pages]
+    cut = [slots(page, tokens.get(html, {})) for html, page in zip(htmls, pages)]
     # Pages of the same text are copies, whatever their markup: they count once.
     bodies = {tuple(b for _, outside, _, b in page if not outside): page for page in cut}
     bodies.pop((), None)
-    same: dict[tuple[str, tuple[str, ...]], int] = Counter()
+    same: dict[tuple[tuple, tuple[str, ...]], int] = Counter()
     for page in bodies.values():
         same.update({(n, b) for n, outside, main, b in page if not outside and not main})
     constant = {x for x, n in same.items() if n >= max(2, SUPPORT * len(bodies))}

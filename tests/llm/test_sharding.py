@@ -48,6 +48,30 @@ def test_reruns_agree_and_shards_are_contiguous(spark):
     assert set(sharding.shard_digest(frame(spark, rows)).columns) == {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
 
 
+def test_layout_equals_brute_force(spark):
+    """Places, sizes and shards by sorting all rows at once; hashes of texts taken from Spark."""
+    rows = odd_rows()
+    docs = frame(spark, rows)
+    hashed = docs.select("doc_id", "text", sharding.F.xxhash64(sharding.F.coalesce("text", sharding.F.lit(""))).alias("h")).collect()
+    order = sorted(((r.h, zlib.crc32((r.text or "").encode()), r.doc_id is not None, r.doc_id or 0, len((r.text or "").encode()) + 1) for r in hashed))
+    total, end, want = sum(r[-1] for r in order), 0, []
+    even = [2 * total * k / 8 for k in range(1, 8)]
+    for h, crc, known, doc_id, size in order:
+        end += size
+        want.append((doc_id if known else None, crc, sum(2 * end - size >= c for c in even)))
+    out = sharding.shard(docs, hold=0.0).orderBy("shard", "slot").collect()
+    assert [(r.doc_id, r.text_crc32, r.shard) for r in out] == want
+
+
+def test_documents_keep_their_columns_and_rows(spark):
+    rows = odd_rows() + [(7, "the same", lang, "s", n) for lang in ("en", "fr") for n in range(50)] + [(None, "x", None, None, None)] * 500
+    docs = frame(spark, rows, clashing=True).withColumn("a.b", sharding.F.lit(1)).withColumn("whole", sharding.F.lit(2))
+    out = sharding.sharded_documents(docs)
+    assert out.columns == [*docs.columns, "shard_", "slot_"]
+    assert Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in out.collect()) == Counter(rows)
+    assert {r.shard_ for r in out.select("shard_").distinct().collect()} <= set(range(8))
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None, None)], [(1, "a", "", "", 0)] * 3])
 def test_fewer_documents_than_shards(spark, rows):
     assert sharding.shard_digest(frame(spark, rows)).count() == len(rows)

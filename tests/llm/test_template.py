@@ -103,6 +103,66 @@ def test_equivalence_classes_are_nested_and_ordered():
     assert any({">html>body>ul>li", "/>html>body>ul>li"} <= c for c in classes)
 
 
+def brute_classes(pages, support):
+    """Classes by the definition, token by token, without slots: instances of a later class must not be cut by a token of an earlier one."""
+    keys = sorted({k for page in pages for k, *_ in page if k})
+    vector = {k: tuple(sum(x == k for x, *_ in page) for page in pages) for k in keys}
+    out = []
+    for v in sorted({v for v in vector.values() if sum(map(bool, v)) >= max(2, support * len(pages))}):
+        members = {k for k in keys if vector[k] == v}
+        runs = [tuple(x for x, *_ in page if x in members) for page in pages]
+        n = len(members)
+        instances = {run[i : i + n] for run in runs for i in range(0, len(run), n)}
+        if n > 1 and len(instances) == 1 and len(set(next(iter(instances)))) == n:
+            out.append(frozenset(members))
+    return out
+
+
+def test_classes_equal_brute_force_on_nested_pages():
+    """Generated pages without crossing markup: all ordered classes are valid, and names tell instances apart."""
+    rng = random.Random(12)
+    lost = seen = 0
+    for _ in range(30):
+        tags = rng.sample(["ul", "div", "section", "table", "dl", "pre", "blockquote"], 4)
+        def made(depth):
+            return "".join(f"<{t}{depth}>" + (made(depth + 1) if depth < 2 and rng.random() < 0.7 else "x") * 1 + f"</{t}{depth}>" for t in tags[: rng.randrange(1, 4)])
+        pages = [template.parse(f"<html><body>{made(0)}</body></html>") for _ in range(rng.randrange(2, 6))]
+        classes, named = template.nested(pages)
+        want = brute_classes(pages, template.SUPPORT)
+        assert all(any(set(c) <= w for w in want) for c in classes)  # split by the slots they lie in
+        lost += len({k for w in want for k in w} - {k for c in classes for k in c})
+        seen += sum(map(len, want))
+        for names in named:
+            assert len(set(names.values())) == len(names)
+    assert lost <= 0.02 * seen  # a tag whose end lies in another slot than its beginning
+
+
+def test_crossing_and_unordered_tokens_are_no_class():
+    a = [("x", "", False, True, False), ("y", "", False, True, False), ("p", "", False, True, False), ("q", "", False, True, False)]
+    b = [a[1], a[0], a[2], a[3]]
+    assert template.deduce([a, b]) == []  # one vector, two orders
+    one = [[(k, "", False, True, False) for k in ks] for ks in ("apbq", "apbq", "ab")]
+    assert [set(c) for c in template.deduce(one)] == [{"a", "b"}]  # p and q cross a and b
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<p class='a' b's>Text one</p><p>it's here</p><p>end</p>", "Text one\nit's here\nend"), ("<p title='what is hidden or class=ad here'>a</p>", "a"), ("<p title=\"x > y\">a</p>", "a"),
+        ("<div class='post social-science'><p>a</div>", "a"), ("<div class='article-tags-and-body'>a</div>", "a"), ("<div id='search-results'>a</div>", "a"), ("<p class=\"open>a</p><p>b</p>", "a\nb"),
+        ("<div id=x class = 'ad'>a</div><p>b", "b"), ("<p hidden>a</p><p data-hidden=1>b", "b"), ("<p class='x' class='ad'>a", "a"),
+    ],
+)
+def test_attributes_are_read_by_the_rules(html, text):
+    assert template.extract([html]) == [text]
+
+
+@pytest.mark.parametrize("n", [3, 4, 5])
+def test_near_copies_keep_their_article(n):
+    pages = [f"<html><body><!-- {i} --><article><h1>T</h1><p>The same words.</p></article></body></html>" for i in range(n)]
+    assert template.extract(pages) == ["T\nThe same words."] * n
+
+
 @pytest.mark.parametrize(
     "html,text",
     [
