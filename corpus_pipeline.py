@@ -1,10 +1,10 @@
 """The corpus pipeline: documents to a deduplicated, clean, weighted and sharded training set.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before
-kept; its result is written as Parquet and read again. All stages but the last
-return the columns of ``documents``; the last returns a row for each document of
-the mix with its shard and slot. A document that the mix takes more than once
-occurs as often.
+kept; its result is written as Parquet and read again, and what the stage before
+wrote is deleted. All stages but the last return the columns of ``documents``; the
+last returns the documents of the mix, text and all, with their shard and slot. A
+document that the mix takes more than once occurs as often.
 
 Empty tables pass through all stages as empty tables. Nulls, repeated rows and
 further columns are handled as each operator says.
@@ -36,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard(docs)
+    return sharding.sharded_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -53,6 +53,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES:
-        docs = storage.written(stage(spark, docs, sf_dir))
+        path = storage.new_table(spark)
+        docs = storage.written(stage(spark, docs, sf_dir), path)
+        if before:
+            storage.removed(spark, before)
+        before = path
     return docs
