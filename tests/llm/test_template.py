@@ -134,7 +134,7 @@ def test_classes_equal_brute_force_on_nested_pages():
         seen += sum(map(len, want))
         for names in named:
             assert len(set(names.values())) == len(names)
-    assert lost <= 0.02 * seen  # a tag whose end lies in another slot than its beginning
+    assert lost <= 0.1 * seen, (lost, seen)  # a tag whose end lies in another slot than its beginning
 
 
 def test_crossing_and_unordered_tokens_are_no_class():
