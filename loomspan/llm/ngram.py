@@ -14,13 +14,20 @@ Its trie has three levels:
    than ids. Each has a quantised probability.
 
 All sequences are Elias-Fano coded and looked up by successor search. Levels are
-cut into shards by the hash of their first word, each built in one task from
-counts that were summed before the shuffle, and written as plain files into the
-shared folder. Executors memory-map them; nothing of the model passes through
-the driver but a few figures for each shard.
+cut into shards of about as many tokens, each built in one task from counts that
+were summed before the shuffle, and written as plain files into the shared
+folder. Words are cut by their hash, pairs and triples at the words and pairs
+that the shards of the level above begin with; a word or pair that has more
+tokens than a shard (``SHARD_TOKENS``) is cut further, at even steps of what may
+follow it. A shard's keys are relative to its first context and packed with the
+shard's number into 64 bits, or side by side if they don't fit. Executors
+memory-map the levels; the driver sees a few figures for each shard, and puts
+them into the folder as well.
 
 Tokens are words (A-Z in lower case) and one end for each text. Weights and
-probabilities are kept in steps of ``STEP`` of their decimal logarithm.
+probabilities are kept in steps of ``STEP`` of their decimal logarithm, or, if
+the most frequent word asks for it, in wider ones that reach the least
+probability.
 
 Defined results: null text has the end only. A null doc_id is read as the empty
 text and so is held out. With no training document every token has probability
@@ -30,20 +37,20 @@ occur.
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm import tokens as tk
 from loomspan.llm.eliasfano import EliasFano, save
-from loomspan.llm.storage import shared_dir
+from loomspan.llm.storage import local_folder
 
 U = np.uint64
 HELD_OUT = 10
@@ -55,7 +62,8 @@ SHARD_BYTES = 16 << 20
 SUMMED_KEYS = 6_000_000
 END = tk.mix(np.array([0x0E0D], np.uint64))[0]
 STEP = 0.03
-_VALUE = np.concatenate([[0.0], 10.0 ** (-STEP * np.arange(255))])
+#: Bytes of text for each token that a shard may have, about; a word or pair with more tokens than that is cut.
+TOKEN_BYTES = 8
 _CACHE_BITS = 20
 
 
@@ -63,11 +71,16 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % HELD_OUT == 0
 
 
-def codes(p: np.ndarray) -> np.ndarray:
+def step_for(most: int) -> float:
+    """The step at which no probability is out of reach, with ``most`` tokens after one context at most."""
+    return max(STEP, math.log10(max(most, 1) / (1 - DISCOUNT)) / 253)
+
+
+def codes(p: np.ndarray, step: float = STEP) -> np.ndarray:
     """Quantised probabilities: 1 to 255; 0 means none."""
     with np.errstate(divide="ignore"):
-        step = np.rint(-np.log10(p) / STEP)
-    return np.where(p > 0, np.clip(step, 0, 254) + 1, 0).astype(np.uint8)
+        steps = np.rint(-np.log10(p) / step)
+    return np.where(p > 0, np.clip(steps, 0, 254) + 1, 0).astype(np.uint8)
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,18 +96,73 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """Where the levels are, and the figures that all tasks need."""
+    """Where the levels are, and the figures that all tasks need; what grows with the shards is in the folder."""
 
     folder: str
-    bits: int  # there are 2 ** bits shards
-    first: tuple[int, ...] = ()  # id of each shard's first word, and the number of words
+    bits: int  # words have 2 ** bits shards
+    levels: int = 0  # that exist
+    n_words: int = 0
     n_tokens: int = 0
-    pairs: tuple[int, ...] = ()  # number of pairs in each shard
     degree: int = 1  # one more than the most successors of a word
-
-    @property
-    def n_words(self) -> int:
-        return self.first[-1] if self.first else 0
+    step: float = STEP
+    pack: int = 64  # bits of a packed key
+
+
+class Keys:
+    """Shard and key as one sortable value: packed if both fit, else side by side."""
+
+    def __init__(self, shards: int, most: int, pack: int = 64):
+        self.shift = int(most).bit_length()
+        self.packs = self.shift + (shards - 1).bit_length() <= pack
+        if self.shift > 64:
+            raise ValueError(f"keys up to {most} don't fit into 64 bits; use smaller shards")
+
+    def join(self, shard: np.ndarray, key: np.ndarray) -> np.ndarray:
+        if self.packs:
+            return key if self.shift >= 64 else (shard.astype(np.uint64) << U(self.shift)) | key
+        out = np.empty(len(key), [("shard", "<u8"), ("key", "<u8")])
+        out["shard"], out["key"] = shard, key
+        return out
+
+    def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.packs:
+            return keys["shard"].astype(np.int64), keys["key"]
+        if self.shift >= 64:
+            return np.zeros(len(keys), np.int64), keys
+        return (keys >> U(self.shift)).astype(np.int64), keys & U((1 << self.shift) - 1)
+
+
+class Cuts:
+    """Shards of (context, item) keys. Shard s begins at context lo[s]; a context with parts[s] > 1 has as many shards, each a share of the items up to span[s]."""
+
+    def __init__(self, lo: np.ndarray, parts: np.ndarray, span: np.ndarray, end: int, width: int, pack: int):
+        self.lo, self.parts, self.span, self.width = lo, parts, span, width
+        self.contexts = np.maximum(np.diff(np.append(lo, end)), 1)
+        self.keys = Keys(len(lo), int(self.contexts.max()) * width - 1, pack)
+        self.cut = bool((parts > 1).any())
+
+    @staticmethod
+    def at(begins: list[int], hot: dict[int, tuple[int, int]], most: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """lo, parts and span for shards that begin at ``begins`` and a shard of its own, or several, for each hot context (its tokens and items)."""
+        rows = []
+        for c in sorted({*begins, *hot, *(c + 1 for c in hot if c + 1 < end)}):
+            n, items = hot.get(c, (0, 1))
+            k = max(1, min(-(-n // most), items))
+            rows += [(c, k, items)] * k
+        return tuple(np.array(x, np.int64) for x in zip(*rows))
+
+    def of(self, context: np.ndarray, item: np.ndarray | int) -> np.ndarray:
+        shard = np.searchsorted(self.lo, context, "right") - 1
+        if self.cut:
+            many = np.flatnonzero(self.parts[shard] > 1)
+            last = shard[many]
+            some = item[many] if isinstance(item, np.ndarray) else item
+            shard[many] = last - (self.parts[last] - 1) + some * self.parts[last] // self.span[last]
+        return shard
+
+    def join(self, context: np.ndarray, item: np.ndarray) -> np.ndarray:
+        shard = self.of(context, item)
+        return self.keys.join(shard, ((context - self.lo[shard]) * self.width + item).astype(np.uint64))
 
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -110,11 +178,24 @@ class Trie:
 
     def __init__(self, model: Model):
         self.m, self.open = model, {}
-        self.first = np.array(model.first, np.int64)
+        self.value = np.concatenate([[0.0], 10.0 ** (-model.step * np.arange(255))])
+        self.first = self._table("first") if model.levels else np.zeros(1, np.int64)
+        self.pairs = self._cuts("pairs", model.n_words, model.n_words) if model.levels and model.n_words else None
+        if model.levels > 1:
+            self.base, self.hot_word, self.hot_start, self.hot_weight = (self._table(x) for x in ("base", "hot_word", "hot_start", "hot_weight"))
+            self.triples = self._cuts("triples", int(self.base[-1]), model.degree)
+        if model.levels > 2:
+            self.hot_pair, self.hot_pair_weight = self._table("hot_pair"), self._table("hot_pair_weight")
         slots = 1 << _CACHE_BITS
         self.key, self.id = np.zeros(slots, np.uint64), np.full(slots, -1, np.int64)
         self.count, self.start, self.weight = np.zeros(slots, np.int64), np.zeros(slots, np.int64), np.zeros(slots, np.uint8)
 
+    def _table(self, name: str) -> np.ndarray:
+        return np.load(f"{self.m.folder}/{name}.npy", mmap_mode="r").view(np.ndarray)
+
+    def _cuts(self, level: str, end: int, width: int) -> Cuts:
+        return Cuts(*(self._table(f"{level}_{x}") for x in ("lo", "parts", "span")), end, width, self.m.pack)
+
     def _sequence(self, name: str, shard: int) -> EliasFano:
         if (name, shard) not in self.open:
             self.open[name, shard] = EliasFano.mapped(f"{self.m.folder}/{name}-{shard}")
@@ -122,12 +203,26 @@ class Trie:
 
     def _array(self, name: str, shard: int) -> np.ndarray:
         if (name, shard) not in self.open:
-            self.open[name, shard] = np.load(f"{self.m.folder}/{name}-{shard}.npy", mmap_mode="r").view(np.ndarray)
+            self.open[name, shard] = self._table(f"{name}-{shard}")
         return self.open[name, shard]
 
     def shard_of(self, h: np.ndarray) -> np.ndarray:
         return (h >> U(64 - self.m.bits)).astype(np.int64) if self.m.bits else np.zeros(len(h), np.int64)
 
+    def successors(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the first pair of each word, the weight of its back-off, and the number of its successors."""
+        starts, weights, degrees = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.uint8), np.zeros(len(ids), np.int64)
+        for s, part in _by_shard(self.pairs.of(ids, 0)):
+            local, sequence = ids[part] - self.pairs.lo[s], self._sequence("starts", s)
+            begin = sequence[local].astype(np.int64)
+            starts[part], weights[part] = begin + self.base[s], self._array("weights", s)[local]
+            degrees[part] = sequence[local + 1].astype(np.int64) - begin
+        if len(self.hot_word):
+            place = np.minimum(np.searchsorted(self.hot_word, ids), len(self.hot_word) - 1)
+            hot = np.flatnonzero(self.hot_word[place] == ids)
+            starts[hot], weights[hot], degrees[hot] = self.hot_start[place[hot]], self.hot_weight[place[hot]], self._table("hot_degree")[place[hot]]
+        return starts, weights, degrees
+
     def words(self, h: np.ndarray, whole: bool) -> tuple[np.ndarray, ...]:
         """id (-1 if unknown) and count of each token, and if ``whole`` its first successor and its back-off weight."""
         slot = (h >> U(64 - _CACHE_BITS)).astype(np.int64)
@@ -142,8 +237,9 @@ class Trie:
                 place, known = self._sequence("words", s).successor(missing[part] & self._rest())
                 part, place = part[known], place[known]
                 ids[part], counts[part] = place + self.first[s], self._array("counts", s)[place]
-                if whole:
-                    starts[part], weights[part] = self._sequence("starts", s)[place].astype(np.int64), self._array("weights", s)[place]
+            known = np.flatnonzero(ids >= 0)
+            if whole and len(known):
+                starts[known], weights[known], _ = self.successors(ids[known])
             mine = (missing >> U(64 - _CACHE_BITS)).astype(np.int64)
             self.key[mine], self.id[mine], self.count[mine], self.start[mine], self.weight[mine] = missing, ids, counts, starts, weights
             lost = np.flatnonzero(self.key[slot] != h)  # words that share a slot with another of this batch
@@ -170,36 +266,50 @@ class Trie:
     def _rest(self) -> np.uint64:
         return U((1 << (64 - self.m.bits)) - 1)
 
-    def pair_keys(self, shard: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return ((a - self.first[shard]) * self.m.n_words + b).astype(np.uint64)
-
-    def find(self, level: str, shard: np.ndarray, keys: np.ndarray, *values: str) -> list[np.ndarray]:
-        """Place of each key in its shard's level (-1 if it isn't there), and the quantised values at the places (0 if not there).
+    def find(self, level: str, context: np.ndarray, item: np.ndarray, *values: str) -> list[np.ndarray]:
+        """Place of each key in its level (-1 if it isn't there), and the quantised values at the places (0 if not there).
 
         Keys are looked up once each and in order, so that neighbouring queries read neighbouring memory.
         """
-        shift = U(64 - self.m.bits)
-        both = (shard.astype(np.uint64) << shift) | keys if self.m.bits else keys
+        cuts = self.pairs if level == "pairs" else self.triples
+        both = cuts.join(context, item)
         order = np.argsort(both)
         both = both[order]
         new = np.ones(len(both), bool)
         new[1:] = both[1:] != both[:-1]
-        asked = both[new]
-        cuts = np.searchsorted(asked >> shift, np.arange(1 << self.m.bits, dtype=np.uint64)).tolist() if self.m.bits else [0]
-        place = np.full(len(asked), -1, np.int64)
-        got = [np.zeros(len(asked), np.uint8) for _ in values]
-        for s, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(asked)])):
+        shard, keys = cuts.keys.split(both[new])
+        place = np.full(len(keys), -1, np.int64)
+        got = [np.zeros(len(keys), np.uint8) for _ in values]
+        edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(keys)]
+        for a, b in zip(edges, edges[1:]):
             if a == b:
                 continue
-            at, known = self._sequence(level, s).successor(asked[a:b] & self._rest())
-            at[~known] = -1
-            place[a:b] = at
+            s = int(shard[a])
+            at, known = self._sequence(level, s).successor(keys[a:b])
+            place[a:b] = np.where(known, at + (self.base[s] if level == "pairs" and self.m.levels > 1 else 0), -1)
             for g, name in zip(got, values):
-                g[a:b][known] = self._array(name, s)[at[known]]
+                if name != "pair_w" and known.any():
+                    g[a:b][known] = self._array(name, s)[at[known]]
+        if "pair_w" in values:
+            known = np.flatnonzero(place >= 0)
+            got[values.index("pair_w")][known] = self._pair_weights(place[known])
         back = np.empty(len(order), np.int64)
         back[order] = np.cumsum(new) - 1
         return [place[back], *(g[back] for g in got)]
 
+    def _pair_weights(self, place: np.ndarray) -> np.ndarray:
+        """Back-off weights of the pairs at ``place``, in order; they are kept with the triples."""
+        out, shard = np.zeros(len(place), np.uint8), self.triples.of(place, 0)
+        edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(place)]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                out[a:b] = self._array("pair_w", int(shard[a]))[place[a:b] - self.triples.lo[shard[a]]]
+        if len(self.hot_pair):
+            at = np.minimum(np.searchsorted(self.hot_pair, place), len(self.hot_pair) - 1)
+            hot = self.hot_pair[at] == place
+            out[hot] = self.hot_pair_weight[at[hot]]
+        return out
+
 
 _tries: dict[Model, Trie] = {}
 
@@ -212,8 +322,8 @@ def trie(model: Model) -> Trie:
     return _tries[model]
 
 
-def _summing(keys_of: Callable[[pa.RecordBatch], np.ndarray], bits: int):
-    """Counts keys (the shard in the top bits) and sends, for each shard, its keys coded and their counts."""
+def _summing(keys_of: Callable[[pa.RecordBatch], np.ndarray], keys_for: Callable[[], Keys]):
+    """Counts keys and sends, for each shard, its keys coded and their counts."""
 
     def run(batches):
         kept: list[np.ndarray] = []
@@ -221,9 +331,8 @@ def _summing(keys_of: Callable[[pa.RecordBatch], np.ndarray], bits: int):
         def flush():
             unique, counts = np.unique(np.concatenate(kept), return_counts=True)
             kept.clear()
-            shard = (unique >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(unique), np.int64)
+            shard, rest = keys_for().split(unique)
             cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(unique)]
-            rest = unique & U((1 << (64 - bits)) - 1)
             parts = [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
             return pa.RecordBatch.from_pydict(
                 {
@@ -253,44 +362,44 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return keys[new], np.add.reduceat(counts, new)
 
 
-def _summary(shard: int, n: int, total: int, most: int) -> pa.Table:
-    return pa.table({"shard": pa.array([shard], pa.int32()), "n": [n], "total": [total], "most": [most]})
-
-
 _COUNTED = "shard int, keys binary, counts binary"
-_BUILT = "shard int, n bigint, total bigint, most bigint"
+_BUILT = "shard int, n bigint, total bigint, most bigint, hot array<bigint>, hot_n array<bigint>, hot_item array<bigint>"
 
 
-def _build(train: DataFrame, bits: int, keys_of, builder) -> dict:
+def _build(train: DataFrame, keys_of, keys_for, builder) -> dict:
     """Runs one level: count, sum before and after the shuffle, build each shard in a task. A summary of each shard."""
-    counted = train.mapInArrow(_summing(keys_of, bits), _COUNTED)
+    counted = train.mapInArrow(_summing(keys_of, keys_for), _COUNTED)
 
     def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return _summary(key[0].as_py(), *builder(key[0].as_py(), *_merged(table)))
+        n, total, most, *hot = builder(key[0].as_py(), *_merged(table))
+        lists = {f"hot{x}": pa.array([v.tolist()], pa.list_(pa.int64())) for x, v in zip(("", "_n", "_item"), hot)}
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": [n], "total": [total], "most": [most], **lists})
 
     return {r.shard: r for r in counted.groupBy("shard").applyInArrow(build, _BUILT).collect()}
 
 
+def _hot(keys: np.ndarray, counts: np.ndarray, most: int, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, counts and items of the keys with more tokens than a shard."""
+    hot = np.flatnonzero(counts > most)
+    return hot, counts[hot], items[hot].astype(np.int64)
+
+
 def _pairs(t: Trie, h: np.ndarray, at: np.ndarray, whole: bool):
-    """For each token: shard, id, count, start, weight; and the key's shard and place of the pair that ends at it (-1: none)."""
-    shard = t.shard_of(h)
+    """For each token: id, count, start, weight, whether it has one before it; and the tokens that end a pair of known words."""
     ids, counts, starts, weights = t.words(h, whole)
     inner = np.ones(len(h), bool)
     inner[at[:-1]] = False
     second = np.flatnonzero(inner & (ids >= 0))
     second = second[ids[second - 1] >= 0]
-    return shard, ids, counts, starts, weights, inner, second
+    return ids, counts, starts, weights, inner, second
 
 
-def local_folder(spark: SparkSession) -> str:
-    """The shared folder as a path that all machines can map."""
-    where = urlparse(shared_dir(spark))
-    if where.scheme not in ("", "file"):
-        raise ValueError(f"memory-mapped levels need a mounted folder, not {where.scheme}://; pass folder=")
-    return where.path
+def _put(folder: str, **tables: list | np.ndarray) -> None:
+    for name, values in tables.items():
+        save(f"{folder}/{name}", np.asarray(values))
 
 
-def fit(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> Model:
+def fit(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES, pack: int = 64) -> Model:
     """Builds the model of the training documents among docs (doc_id, text) in a new folder below ``folder``."""
     spark = docs.sparkSession
     folder = f"{folder or local_folder(spark)}/ngrams-{uuid.uuid4().hex}"
@@ -298,83 +407,115 @@ def fit(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYT
     train = docs.where(~held_out(F.col("doc_id"))).select(F.coalesce("text", F.lit("")).alias("text"))
     size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, (-(-size // shard_bytes) - 1).bit_length())
-    shards = 1 << bits
-    model = Model(folder, bits)
+    shards, most = 1 << bits, max(1, shard_bytes // TOKEN_BYTES)
+    model = Model(folder, bits, pack=pack)
 
     def word_keys(part):
         return tokens(part.column("text"))[0]
 
+    def of_words():
+        return Keys(shards, (1 << 64 - bits) - 1)
+
     def build_words(shard, keys, counts):
         EliasFano.of(keys).save(f"{folder}/words-{shard}")
         save(f"{folder}/counts-{shard}", counts)
-        return len(keys), int(counts.sum()), 0
-
-    got = _build(train, bits, word_keys, build_words)
-    sizes = [got[s].n if s in got else 0 for s in range(shards)]
-    model = Model(folder, bits, tuple(np.concatenate([[0], np.cumsum(sizes)]).tolist()), sum(r.total for r in got.values()))
-    if not model.n_words:
+        followed = np.where((keys == END & U((1 << 64 - bits) - 1)) & (shard == int(END) >> 64 - bits), 0, counts)  # nothing follows the end
+        return len(keys), int(counts.sum()), int(counts.max()), *_hot(keys, followed, most, keys * U(0))
+
+    got = _build(train, word_keys, of_words, build_words)
+    first = np.concatenate([[0], np.cumsum([got[s].n if s in got else 0 for s in range(shards)])]).astype(np.int64)
+    n_words = int(first[-1])
+    _put(folder, first=first)
+    step = step_for(max([1, *(r.most for r in got.values())]))
+    model = Model(folder, bits, 1, n_words, sum(r.total for r in got.values()), 1, step, pack)
+    if not n_words:
         return model
+    hot_words = {int(first[r.shard]) + w: n for r in got.values() for w, n in zip(r.hot, r.hot_n)}
+    lo, parts, span = Cuts.at(first[:-1][np.diff(first) > 0].tolist(), {w: (n, n_words) for w, n in hot_words.items()}, most, n_words)
+    _put(folder, pairs_lo=lo, pairs_parts=parts, pairs_span=span)
+    words_in = np.maximum(np.diff(np.append(lo, n_words)), 1)
 
     def pair_keys(part, model=model):
         t = trie(model)
         h, at = tokens(part.column("text"))
-        shard, ids, *_, second = _pairs(t, h, at, False)
-        first = shard[second - 1]
-        keys = t.pair_keys(first, ids[second - 1], ids[second])
-        return keys | (first.astype(np.uint64) << U(64 - bits)) if bits else keys
-
-    def build_pairs(shard, keys, counts, model=model):
-        n = model.first[shard + 1] - model.first[shard]
-        word = (keys // U(model.n_words)).astype(np.int64)
+        ids, *_, second = _pairs(t, h, at, False)
+        return t.pairs.join(ids[second - 1], ids[second])
+
+    def of_pairs(model=model):
+        return trie(model).pairs.keys
+
+    def build_pairs(shard, keys, counts):
+        n, word = int(words_in[shard]), (keys // U(n_words)).astype(np.int64)
         total, degree = np.bincount(word, counts, n), np.bincount(word, minlength=n)
+        if parts[shard] > 1:
+            total[:] = hot_words[int(lo[shard])]
         EliasFano.of(keys).save(f"{folder}/pairs-{shard}")
         EliasFano.of(np.concatenate([[0], np.cumsum(degree)])).save(f"{folder}/starts-{shard}")
-        save(f"{folder}/pair_p-{shard}", codes((counts - DISCOUNT) / total[word]))
-        save(f"{folder}/weights-{shard}", codes(DISCOUNT * degree / np.maximum(total, 1)))
-        return len(keys), int(counts.sum()), int(degree.max())
-
-    got = _build(train, bits, pair_keys, build_pairs)
-    _fill(model, shards, got)
-    model = Model(
-        folder, bits, model.first, model.n_tokens, tuple(got[s].n if s in got else 0 for s in range(shards)), 1 + max([0, *(r.most for r in got.values())])
-    )
+        save(f"{folder}/pair_p-{shard}", codes((counts - DISCOUNT) / total[word], step))
+        save(f"{folder}/weights-{shard}", codes(DISCOUNT * degree / np.maximum(total, 1), step))
+        return len(keys), int(counts.sum()), int(degree.max()), *_hot(keys, counts, most, keys % U(n_words))
+
+    got = _build(train, pair_keys, of_pairs, build_pairs)
+    for s in set(range(len(lo))) - set(got):  # words without successors
+        EliasFano.of(np.zeros(0, np.uint64)).save(f"{folder}/pairs-{s}")
+        EliasFano.of(np.zeros(int(words_in[s]) + 1, np.uint64)).save(f"{folder}/starts-{s}")
+        save(f"{folder}/weights-{s}", np.zeros(int(words_in[s]), np.uint8))
+    base = np.concatenate([[0], np.cumsum([got[s].n if s in got else 0 for s in range(len(lo))])]).astype(np.int64)
+    n_pairs = int(base[-1])
+    cut = sorted(w for w in hot_words if parts[np.searchsorted(lo, w)] > 1)
+    begin, end = np.searchsorted(lo, cut, "left"), np.searchsorted(lo, cut, "right")
+    degrees = base[end] - base[begin]
+    totals = np.array([hot_words[w] for w in cut], np.float64)
+    _put(folder, base=base, hot_word=np.array(cut, np.int64), hot_start=base[begin], hot_degree=degrees, hot_weight=codes(DISCOUNT * degrees / np.maximum(totals, 1), step))
+    if not n_pairs:
+        return model
+    degree = 1 + max([0, *(r.most for r in got.values()), *degrees.tolist()])
+    _put(folder, triples_lo=np.zeros(1, np.int64), triples_parts=np.ones(1, np.int64), triples_span=np.ones(1, np.int64))
+    model = Model(folder, bits, 2, n_words, model.n_tokens, degree, step, pack)
+    hot = [(int(base[r.shard]) + p, n, w) for r in got.values() for p, n, w in zip(r.hot, r.hot_n, r.hot_item)]
+    follow = Trie(model).successors(np.array([w for *_, w in hot], np.int64))[2].tolist()
+    hot_pairs = {p: (n, k) for (p, n, _), k in zip(hot, follow) if k}
+    lo3, parts3, span3 = Cuts.at(base[:-1][np.diff(base) > 0].tolist(), hot_pairs, most, n_pairs)
+    _put(folder, triples_lo=lo3, triples_parts=parts3, triples_span=span3)
+    pairs_in = np.maximum(np.diff(np.append(lo3, n_pairs)), 1)
 
     def triple_keys(part, model=model):
         t = trie(model)
         h, at = tokens(part.column("text"))
-        _, third, first, keys = _triples(t, h, at)[:4]
-        return keys | (first.astype(np.uint64) << U(64 - bits)) if bits else keys
+        _, _, context, rank = _triples(t, h, at)
+        return t.triples.join(context, rank)
+
+    def of_triples(model=model):
+        return trie(model).triples.keys
 
-    def build_triples(shard, keys, counts, model=model):
-        n = model.pairs[shard]
-        pair = (keys // U(model.degree)).astype(np.int64)
-        total, degree = np.bincount(pair, counts, n), np.bincount(pair, minlength=n)
+    def build_triples(shard, keys, counts):
+        n, pair = int(pairs_in[shard]), (keys // U(degree)).astype(np.int64)
+        total, different = np.bincount(pair, counts, n), np.bincount(pair, minlength=n)
+        if parts3[shard] > 1:
+            total[:] = hot_pairs[int(lo3[shard])][0]
         EliasFano.of(keys).save(f"{folder}/triples-{shard}")
-        save(f"{folder}/triple_p-{shard}", codes((counts - DISCOUNT) / total[pair]))
-        save(f"{folder}/pair_w-{shard}", codes(DISCOUNT * degree / np.maximum(total, 1)))
-        return len(keys), int(counts.sum()), int(degree.max())
+        save(f"{folder}/triple_p-{shard}", codes((counts - DISCOUNT) / total[pair], step))
+        save(f"{folder}/pair_w-{shard}", codes(DISCOUNT * different / np.maximum(total, 1), step))
+        none = np.zeros(0, np.int64)
+        return len(keys), int(counts.sum()), int(different.max()), none, none, none
 
-    got = _build(train, bits, triple_keys, build_triples)
-    for s in set(range(shards)) - set(got):
+    got = _build(train, triple_keys, of_triples, build_triples)
+    for s in set(range(len(lo3))) - set(got):
         EliasFano.of(np.zeros(0, np.uint64)).save(f"{folder}/triples-{s}")
-        save(f"{folder}/pair_w-{s}", np.zeros(model.pairs[s], np.uint8))
-    return model
-
-
-def _fill(model: Model, shards: int, got: dict) -> None:
-    """Shards whose words have no successors."""
-    for s in set(range(shards)) - set(got):
-        n = model.first[s + 1] - model.first[s]
-        EliasFano.of(np.zeros(0, np.uint64)).save(f"{model.folder}/pairs-{s}")
-        EliasFano.of(np.zeros(n + 1, np.uint64)).save(f"{model.folder}/starts-{s}")
-        save(f"{model.folder}/weights-{s}", np.zeros(n, np.uint8))
+        save(f"{folder}/pair_w-{s}", np.zeros(int(pairs_in[s]), np.uint8))
+    cut = sorted(p for p in hot_pairs if parts3[np.searchsorted(lo3, p)] > 1)
+    begin, end = np.searchsorted(lo3, cut, "left"), np.searchsorted(lo3, cut, "right")
+    different = np.array([sum(got[s].n for s in range(a, b) if s in got) for a, b in zip(begin, end)], np.float64)
+    totals = np.array([hot_pairs[p][0] for p in cut], np.float64)
+    _put(folder, hot_pair=np.array(cut, np.int64), hot_pair_weight=codes(DISCOUNT * different / np.maximum(totals, 1), step))
+    return Model(folder, bits, 3, n_words, model.n_tokens, degree, step, pack)
 
 
 def _triples(t: Trie, h: np.ndarray, at: np.ndarray, *values: str):
-    """The words, and the pairs with their values, of the tokens; then the tokens that end a triple of known pairs, with its shard and key."""
-    shard, ids, counts, starts, weights, inner, second = _pairs(t, h, at, True)
+    """The words, and the pairs with their values, of the tokens; then the tokens that end a triple of known pairs, with its context and rank."""
+    ids, counts, starts, weights, inner, second = _pairs(t, h, at, True)
     place = np.full(len(h), -1, np.int64)
-    found = t.find("pairs", shard[second - 1], t.pair_keys(shard[second - 1], ids[second - 1], ids[second]), *values)
+    found = t.find("pairs", ids[second - 1], ids[second], *values)
     place[second] = found[0]
     held = [np.zeros(len(h), np.uint8) for _ in values]
     for v, f in zip(held, found[1:]):
@@ -383,8 +524,7 @@ def _triples(t: Trie, h: np.ndarray, at: np.ndarray, *values: str):
     third = third[(third >= 2)]
     third = third[(place[third - 1] >= 0) & inner[third - 1]]
     rank = place[third] - starts[third - 1]  # among the successors of the second word
-    keys = (place[third - 1] * t.m.degree + rank).astype(np.uint64)
-    return (ids, counts, weights, inner, *held), third, shard[third - 2], keys
+    return (ids, counts, weights, inner, *held), third, place[third - 1], rank
 
 
 def log_probabilities(t: Trie, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -394,16 +534,20 @@ def log_probabilities(t: Trie, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
     if not m.n_words:
         zero = np.full(len(h), np.log10(ADDED / base_total))
         return np.zeros(len(h), bool), zero, zero
-    (ids, counts, weights, inner, pair_p, pair_w), third, first, keys = _triples(t, h, at, "pair_p", "pair_w")
+    if m.levels < 3:  # training texts without words: there are no pairs
+        ids, counts, *_ = t.words(h, False)
+        base = np.log10((counts + ADDED) / base_total)
+        return ids >= 0, base, base
+    (ids, counts, weights, inner, pair_p, pair_w), third, context, rank = _triples(t, h, at, "pair_p", "pair_w")
     base = (counts + ADDED) / base_total
     # By the back-off weight of the word before, and of the pair before; a token without either keeps the shorter context.
     weight = np.zeros(len(h))
-    weight[1:] = _VALUE[weights[:-1]] * (inner[1:] & (ids[:-1] >= 0))
-    p = np.where(weight > 0, _VALUE[pair_p] + weight * base, base)
+    weight[1:] = t.value[weights[:-1]] * (inner[1:] & (ids[:-1] >= 0))
+    p = np.where(weight > 0, t.value[pair_p] + weight * base, base)
     weight[:] = 0
-    weight[1:] = _VALUE[pair_w[:-1]] * inner[1:]
+    weight[1:] = t.value[pair_w[:-1]] * inner[1:]
     held = np.zeros(len(h))
-    held[third] = _VALUE[t.find("triples", first, keys, "triple_p")[1]]
+    held[third] = t.value[t.find("triples", context, rank, "triple_p")[1]]
     p = np.where(weight > 0, held + weight * p, p)
     return ids >= 0, np.log10(base), np.log10(p)
 

@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -45,11 +46,20 @@ def near(x):
     return (x[0] is not None, x[0] or 0, x[2], round(x[5], 6))
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 24, 2000])
-def test_scores_equal_brute_force_up_to_quantisation(spark, shard_bytes):
-    rows = odd_rows()
+def hot_rows():
+    """One word is half of all tokens, and one pair a quarter."""
+    rng = random.Random(17)
+    return [(i, " ".join(w for _ in range(40) for w in ("the", rng.choice(["same", f"w{rng.randrange(60)}"]))), "en", "s", 0) for i in range(60)]
+
+
+@pytest.mark.parametrize("shard_bytes,pack,hot", [(1 << 24, 64, False), (2000, 64, False), (800, 64, True), (800, 8, True), (1 << 24, 64, True)])
+def test_scores_equal_brute_force_up_to_quantisation(spark, shard_bytes, pack, hot):
+    rows = odd_rows() + hot_rows() if hot else odd_rows()
     docs = frame(spark, rows, clashing=True)
-    got = sorted([tuple(r) for r in ngram.score(docs, ngram.fit(docs, shard_bytes=shard_bytes)).collect()], key=near)
+    model = ngram.fit(docs, shard_bytes=shard_bytes, pack=pack)
+    t = ngram.Trie(model)
+    assert (t.pairs.parts.max() > 1 and t.triples.parts.max() > 1) == (hot and shard_bytes == 800)
+    got = sorted([tuple(r) for r in ngram.score(docs, model).collect()], key=near)
     want = sorted(brute(rows), key=near)
     assert len(got) == len(want)
     for g, w in zip(got, want):
@@ -69,3 +79,28 @@ def test_little_or_nothing_to_learn_from(spark, rows):
     assert len(out) == len(rows)
     if rows and rows[0][0] is None:
         assert out[0].train_tokens == 0 and out[0].score == 0 == out[0].base_score
+
+
+def test_cuts_are_even_and_keys_fit_or_fail():
+    import numpy as np
+
+    lo, parts, span = ngram.Cuts.at([0, 10, 20], {12: (100, 50)}, 25, 30)
+    assert lo.tolist() == [0, 10, 12, 12, 12, 12, 13, 20] and parts.tolist() == [1, 1, 4, 4, 4, 4, 1, 1]
+    cuts = ngram.Cuts(lo, parts, span, 30, 50, 64)
+    context, item = np.repeat(np.arange(30), 50), np.tile(np.arange(50), 30)
+    shard = cuts.of(context, item)
+    assert (np.diff(shard) >= 0).all() and np.bincount(shard).tolist() == [500, 100, 13, 12, 13, 12, 350, 500]
+    for pack in (64, 4):
+        cuts = ngram.Cuts(lo, parts, span, 30, 50, pack)
+        joined = cuts.join(context, item)
+        assert len(np.unique(joined)) == 1500 and (cuts.keys.split(np.sort(joined))[0] == shard).all() and cuts.keys.packs == (pack == 64)
+    with pytest.raises(ValueError):
+        ngram.Keys(8, 1 << 64)
+
+
+def test_no_probability_is_out_of_reach():
+    for most in (1, 10**6, 10**9, 10**12):
+        step = ngram.step_for(most)
+        p = (1 - ngram.DISCOUNT) / most
+        code = int(ngram.codes(ngram.np.array([p]), step)[0])
+        assert abs(math.log10(10 ** (-step * (code - 1)) / p)) <= 0.51 * step <= 0.03
