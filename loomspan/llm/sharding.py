@@ -31,6 +31,8 @@ from loomspan.llm.storage import written
 SHARDS = 8
 #: Rows of a partition of the sorted layout, about.
 PARTITION_ROWS = 250_000
+#: The same, if rows carry their whole document.
+PARTITION_DOCUMENTS = 20_000
 HOLD = 0.01
 
 
@@ -61,7 +63,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, hold: float = HOLD, whole: bool
         (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"),
         (r.row_hash(docs) if whole else F.lit(0).cast("bigint")).alias("tie"), F.monotonically_increasing_id().alias("nth"),
     )
-    parts = max(1, -(-docs.count() // PARTITION_ROWS), docs.sparkSession.sparkContext.defaultParallelism)
+    parts = max(1, -(-docs.count() // (PARTITION_DOCUMENTS if whole else PARTITION_ROWS)), docs.sparkSession.sparkContext.defaultParallelism)
     laid = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).drop("tie", "nth")
     # Written with the number of its partition, so the layout stays as it is whatever is computed again.
     schema = T.StructType([*laid.schema.fields, T.StructField("end", T.LongType()), T.StructField("row", T.LongType())])
