@@ -333,3 +333,21 @@ def convertible(reference_type: Column, value: Column) -> Column:
     for name, spark_type in SCALAR_TYPES.items():
         out = F.when(F.regexp_extract(reference_type, r"([^.]*)$", 1) == name, value.try_cast(spark_type).isNotNull() | value.isNull()).otherwise(out)
     return out
+
+
+def built(instructions: DataFrame) -> DataFrame:
+    """CaseNo, dataId, convModel, size and text of each container that can be built from its elements: [a, b] or {key=value}, in element order; NULL for a null one."""
+    sized = containers(instructions).where(F.col("valueState") != "UNSUPPORTED").select("CaseNo", "dataId", "convModel", "size")
+    part = F.regexp_extract("dataId", r"(\[\]|\{key\}|\{value\})$", 1)
+    items = elements(instructions).select(
+        "CaseNo", F.regexp_replace("dataId", r"(?:\[\]|\{key\}|\{value\})$", "").alias("dataId"), "elementIndex", part.alias("part"), F.coalesce("actualValue", F.lit("null")).alias("v")
+    ).where("part <> ''")
+    entry = items.groupBy("CaseNo", "dataId", "elementIndex").agg(
+        F.max(F.when(F.col("part") == "[]", F.col("v"))).alias("item"), F.max(F.when(F.col("part") == "{key}", F.col("v"))).alias("key"), F.max(F.when(F.col("part") == "{value}", F.col("v"))).alias("value")
+    )
+    shown = F.coalesce("item", F.concat("key", F.lit("="), F.coalesce("value", F.lit("null"))))
+    lists = entry.groupBy("CaseNo", "dataId").agg(F.array_sort(F.collect_list(F.struct("elementIndex", shown.alias("v")))).alias("all"))
+    inner = F.array_join(F.transform(F.coalesce("all", F.array().cast("array<struct<elementIndex:bigint,v:string>>")), lambda x: x["v"]), ", ")
+    is_map = F.col("convModel") == "MAP"
+    text = F.concat(F.when(is_map, "{").otherwise("["), inner, F.when(is_map, "}").otherwise("]"))
+    return sized.join(lists, ["CaseNo", "dataId"], "left").select("CaseNo", "dataId", "convModel", "size", F.when(F.col("size") >= 0, text).alias("text"))

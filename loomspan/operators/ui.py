@@ -67,3 +67,43 @@ def interactions(elements: DataFrame, custom: list[tuple[str, str, str, str]] |
 def group_size(df: DataFrame, *keys: str) -> DataFrame:
     """Each row with the number of rows that share its keys."""
     return df.withColumn("groupSize", F.count("*").over(Window.partitionBy(*keys)))
+
+
+# Columns of the element file, in order; screenName is the component.
+ELEMENT_COLUMNS = (
+    "screenName lineNumber tag idAttr nameAttr classNameAttr dataTestId typeAttr roleAttr labelText labelUnresolved placeholder title ariaLabel ariaLabelledBy htmlFor labelProp"
+    " maxLength minLength maxValue minValue step pattern inputMode accept autocomplete href target formAction formId isRequired isDisabled isReadonly isHidden isMultiple isChecked defaultValue tabIndex"
+    " ariaExpanded ariaControls ariaHaspopup ariaSelected ariaChecked isDynamic parentScopeTag parentScopeClass parentScopeId siblingCount scopeGroupId interactionType mirrorAxisX playwrightMethodPrefix"
+).split()
+
+
+def resolved(elements: DataFrame) -> DataFrame:
+    """Scanned elements with labels, scopes and interactions."""
+    return interactions(scopes(labels(elements)))
+
+
+def element_rows(elements: DataFrame) -> DataFrame:
+    """Rows of the element file: texts, '' for what is missing."""
+    rows = elements.withColumn("screenName", F.col("componentName"))
+    return rows.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ELEMENT_COLUMNS))
+
+
+def screens_json(elements: DataFrame, app: str) -> DataFrame:
+    """(screenName, json): a JSON object {appName, screens: {name: [elements]}} for each screen; missing values are null."""
+    whole = F.struct(*(F.regexp_extract(c, r"[^/]*$", 0).alias(c) if c == "filePath" else F.col(c) for c in elements.columns))
+    ordered = elements.groupBy("componentName").agg(F.array_sort(F.collect_list(F.struct("lineNumber", whole.alias("e")))).alias("es"))
+    json = F.to_json(F.struct(F.lit(app).alias("appName"), F.create_map("componentName", F.transform("es", lambda x: x["e"])).alias("screens")), {"ignoreNullFields": "false"})
+    return ordered.select(F.col("componentName").alias("screenName"), json.alias("json"))
+
+
+def screens_markdown(elements: DataFrame) -> DataFrame:
+    """(screenName, markdown): a heading and a table of line, tag, label, interaction and axis for each screen."""
+    cell = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("-")), r"\|", r"\\|")
+    shown = ["lineNumber", "tag", "labelText", "interactionType", "mirrorAxisX"]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(c) for c in shown)), F.lit(" |"))
+    rows = elements.groupBy("componentName").agg(F.array_sort(F.collect_list(F.struct("lineNumber", line.alias("line")))).alias("r"))
+    head = f"| {' | '.join(shown)} |\n|{' --- |' * len(shown)}\n"
+    return rows.select(
+        F.col("componentName").alias("screenName"),
+        F.concat(F.lit("## "), "componentName", F.lit("\n\n" + head), F.array_join(F.transform("r", lambda x: x["line"]), "\n"), F.lit("\n")).alias("markdown"),
+    )

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.coercion import any_blank, clean_int, clean_text, effective_bound, or_number, or_text, sqlite_int
 from loomspan.functions.packed import joined, packed_agg, unpack
-from loomspan.functions.storage import materialise
+from loomspan.functions.storage import materialise, new_path
 from loomspan.operators import trees
 from loomspan.plans import candidates, instruct, targets, validate
 from loomspan.plans.bindings import Tables, with_sql
 from loomspan.plans.registry import query
 from loomspan.plans.validate import X, Y, Z, q
+from loomspan.sources import staging
 
 CATALOGUE = ["args_data", "return_data", "dto_data", "field_data", "object_data", "enum_data", "importlist_data", "lang_data_models"]
 AXES = ["mirror_x_axis", "mirror_y_axis", "mirror_z_axis"]
@@ -634,6 +635,27 @@ def _(t):
     return instruct.instructions(good_rows(t), inputs(t), t.catalogue()).groupBy("dataRole", "convModel").agg(F.count("*").alias("n"))
 
 
-@query("dml05_refresh", rec([*CATALOGUE, *AXES], CANDIDATES, "SELECT axis, count(*) AS n FROM choice GROUP BY ALL"))
+@query("dml05_refresh", rec([*CATALOGUE, *AXES], CANDIDATES, "SELECT axis, count(*) AS n FROM choice GROUP BY ALL UNION ALL SELECT 'target', count(DISTINCT targetId) FROM ai_input"))
 def _(t):
-    return exploded(t).groupBy("axis").agg(F.count("*").alias("n"))
+    store = staging.Store(t.spark, new_path(t.spark))
+    store.refresh({"candidates": exploded(t).limit(1), "targets": candidates.known_targets(inputs(t)).limit(1)})  # what was there before
+    store.refresh({"candidates": exploded(t), "targets": candidates.known_targets(inputs(t))})
+    store.vacuum()
+    axes = store.table("candidates").groupBy("axis").agg(F.count("*").alias("n"))
+    return axes.unionByName(store.table("targets").agg(F.lit("target").alias("axis"), F.count("*").alias("n")))
+
+
+@query("dml07_lifecycle", "SELECT r_regionkey, r_name, 0::BIGINT AS after_reset FROM region")
+def _(t):
+    store = staging.Store(t.spark, new_path(t.spark))
+    store.refresh({"region": t["region"]})
+    store.reset("region")
+    left = store.table("region").count()
+    store.drop()
+    store.refresh({"region": t["region"]})
+    return store.table("region").select("r_regionkey", "r_name", F.lit(left).cast("bigint").alias("after_reset"))
+
+
+@query("rec04_data_paths", rec(SPEC, INSTRUCTIONS, "SELECT filePath, methodName, argIndex, dataId, count(*) AS n FROM node GROUP BY ALL"))
+def _(t):
+    return instruct.expand(t.catalogue()).groupBy("filePath", "methodName", "argIndex", "dataId").agg(F.count("*").alias("n"))

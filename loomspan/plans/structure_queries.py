@@ -11,6 +11,7 @@ from loomspan.operators import dom, generate, graph, trees, ui
 from loomspan.plans.bindings import Tables, with_sql
 from loomspan.plans.registry import query
 from loomspan.sources import code, staging
+from loomspan.streaming import evidence
 
 ROUTES = ["route_nodes", "route_edges"]
 ADJACENCY = """named AS (SELECT *, regexp_extract(sourceFile, '([^/]*)\\.[^.]*$', 1) AS stem FROM route_edges),
@@ -239,10 +240,26 @@ def _(t):
     return ui.interactions(t["ui_elements"]).select("p_partkey", "interactionType", "mirrorAxisX")
 
 
-@query("snk08_elements_json", with_sql(["ui_elements"], "SELECT componentName, count(*) AS n, count(DISTINCT tag) AS tags FROM ui_elements GROUP BY ALL"))
+@query("snk08_elements_csv", """SELECT 'P' || p_partkey AS screenName, tag, line AS lineNumber, if(tag = 'input', p_name, '') AS labelText, 'false' AS labelUnresolved, '3' AS siblingCount, substr(md5('P' || p_partkey || '__form__main'), 1, 8) AS scopeGroupId, kind AS interactionType
+  FROM part, (VALUES ('input', '2', 'binary_input'), ('a', '3', 'navigation_trigger'), ('button', '4', 'navigation_trigger')) AS e(tag, line, kind)""")
 def _(t):
-    rows = ui.interactions(t["ui_elements"])
-    return rows.groupBy("componentName").agg(F.count("*").alias("n"), F.countDistinct("tag").alias("tags"))
+    rows = ui.element_rows(ui.resolved(code.jsx_elements(tsx_files(t))))
+    return staging.by_header(t.spark, staging.written(rows, new_path(t.spark))).select("screenName", "tag", "lineNumber", "labelText", "labelUnresolved", "siblingCount", "scopeGroupId", "interactionType")
+
+
+@query("snk08_elements_json", """SELECT 'P' || p_partkey AS screenName, 'shop' AS app, 3::BIGINT AS n, 'P' || p_partkey || '.tsx' AS file, p_name AS label, 'anchor_link' AS axis FROM part""")
+def _(t):
+    rows = ui.screens_json(ui.resolved(code.jsx_elements(tsx_files(t))), "shop")
+    get = lambda path: F.expr(f"get_json_object(json, concat('$.screens.', screenName, '{path}'))")
+    return rows.select(
+        "screenName", F.get_json_object("json", "$.appName").alias("app"), F.json_array_length(get("")).cast("bigint").alias("n"), get("[0].filePath").alias("file"), get("[0].labelText").alias("label"), get("[1].mirrorAxisX").alias("axis")
+    )
+
+
+@query("snk08_elements_markdown", """SELECT 'P' || p_partkey AS screenName, '## P' || p_partkey || chr(10) || chr(10) || '| lineNumber | tag | labelText | interactionType | mirrorAxisX |' || chr(10) || '| --- | --- | --- | --- | --- |' || chr(10)
+  || '| 2 | input | ' || p_name || ' | binary_input | input_checkbox |' || chr(10) || '| 3 | a | - | navigation_trigger | anchor_link |' || chr(10) || '| 4 | button | - | navigation_trigger | button_normal |' || chr(10) AS markdown FROM part""")
+def _(t):
+    return ui.screens_markdown(ui.resolved(code.jsx_elements(tsx_files(t))))
 
 
 @query("fun_md5_prefix", "SELECT s_suppkey, substr(md5(s_name), 1, 8) AS id FROM supplier")
@@ -327,10 +344,11 @@ def _(t):
     return t["lineitem"].select("l_orderkey", "l_linenumber", generate.convertible(kind, value).alias("fits"))
 
 
-@query("gen12_container_build", "SELECT o_custkey, array_to_string(list(o_orderstatus ORDER BY o_orderkey), '') AS items, count(*) AS n FROM orders GROUP BY ALL")
+@query("gen12_container_build", with_sql(["container_rows"], f"""{SIZES}, item AS (SELECT CaseNo, dataId, convModel, unnest(range(size)) AS i FROM sized WHERE size > 0),
+  shown AS (SELECT CaseNo, dataId, string_agg(CASE convModel WHEN 'MAP' THEN if(i = 0, 'test', 'test_' || i) || '=2000-01-01' WHEN 'ARRAY' THEN (1 + i)::VARCHAR ELSE 'test' END, ', ' ORDER BY i) AS txt FROM item GROUP BY ALL)
+  SELECT CaseNo, dataId, convModel, size, if(convModel = 'MAP', '{{', '[') || coalesce(txt, '') || if(convModel = 'MAP', '}}', ']') AS text FROM sized LEFT JOIN shown USING (CaseNo, dataId) WHERE size IS NOT NULL"""))
 def _(t):
-    rows = t["orders"].groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("r"))
-    return rows.select("o_custkey", F.array_join(F.transform("r", lambda x: x["o_orderstatus"]), "").alias("items"), F.size("r").cast("bigint").alias("n"))
+    return generate.built(t["container_rows"])
 
 
 # --- wide source rows -------------------------------------------------------------------------------------------
@@ -427,11 +445,12 @@ def _(t):
     return staging.evidence(rows)[1]
 
 
-@query("src07_dom_csv", "SELECT s_suppkey, nullif(trim(CASE WHEN s_suppkey % 2 = 0 THEN '  ' ELSE s_name END), '') AS name, CASE WHEN s_suppkey % 3 = 0 THEN 0.0 ELSE s_acctbal END AS depth FROM supplier")
+@query("src07_dom_csv", with_sql(["dom_nodes"], "SELECT screenName, ord::DOUBLE AS ord, tagPath, nullif(trim(textContent), '') AS textContent, nullif(trim(ariaLabel), '') AS ariaLabel, directOperationTagCount::DOUBLE AS directOperationTagCount, 0.0::DOUBLE AS lost FROM dom_nodes"))
 def _(t):
-    name = F.when(F.col("s_suppkey") % 2 == 0, "  ").otherwise(F.col("s_name"))
-    depth = F.when(F.col("s_suppkey") % 3 == 0, "none").otherwise(F.col("s_acctbal").cast("string"))
-    return t["supplier"].select("s_suppkey", staging.blank_to_null(name).alias("name"), staging.finite_or_zero(depth).alias("depth"))
+    raw = t["dom_nodes"].withColumn("textContent", F.concat(F.lit(" "), F.coalesce("textContent", F.lit("")))).withColumn("lost", F.lit("none"))
+    rows = staging.by_header(t.spark, staging.written(raw, new_path(t.spark)))
+    texts, numbers = ("textContent", "ariaLabel"), ("ord", "directOperationTagCount", "lost")
+    return rows.select("screenName", "tagPath", *(staging.blank_to_null(F.col(c)).alias(c) for c in texts), *(staging.finite_or_zero(F.col(c)).alias(c) for c in numbers))
 
 
 @query("src02_constrained_load", with_sql(["test_spec"], """SELECT count(DISTINCT CaseNo) AS accepted, (SELECT count(*) FROM test_spec) - accepted AS rejected FROM test_spec WHERE generatorTarget = targetId AND "確認手順" IS NOT NULL """))
@@ -446,12 +465,14 @@ def _(t):
     return staging.by_header(t.spark, staging.written(t["region"], new_path(t.spark)))
 
 
-@query("snk09_evidence_append", "SELECT event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("snk09_evidence_append", with_sql(["instruction_rows"], f"{VALUES} SELECT valueState, 'GENERATE' AS runMode, count(*) AS n FROM valued GROUP BY ALL"))
 def _(t):
-    path = new_path(t.spark)
-    for kind in ("click", "view", "purchase", "signup", "error"):
-        t["events"].where(F.col("event_type") == kind).write.mode("append").parquet(path)
-    return t.spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"))
+    arriving, path = new_path(t.spark), new_path(t.spark)
+    t["instruction_rows"].write.parquet(arriving)
+    rows = t.spark.readStream.schema(t["instruction_rows"].schema).parquet(arriving)
+    for _ in range(2):  # started again, it finds nothing new and appends nothing twice
+        evidence.append_evidence(rows, path, f"{path}-state").awaitTermination()
+    return t.spark.read.parquet(path).groupBy("valueState", "runMode").agg(F.count("*").alias("n"))
 
 
 # --- source scans: the bound methods, written as source text and scanned again ------------------------------------
@@ -460,7 +481,7 @@ def _(t):
 def java_files(t: Tables):
     """A class for each className of args_data; (path, text)."""
     method = t["args_data"].groupBy("className", "methodName").agg(packed_agg(F.col("argRaw"), F.col("argIndex")).alias("args"))
-    body = F.concat(F.lit("  /** { */ public void "), "methodName", F.lit("("), F.regexp_replace("args", " / ", ", "), F.lit(') { if (x) { y("}"); } return; }\n'))
+    body = F.concat(F.lit("  /** { */ public void "), "methodName", F.lit("("), F.regexp_replace("args", " / ", ", "), F.lit(') { if (x) { y("}"); for (int i = 0; i < 3; i++) z(); } else { w(); } return; }\n'))
     head = F.concat(F.lit("package app;\nimport a.B;\n@Service public class "), "className", F.lit(" {\n  private final int size = 1;\n"))
     return method.groupBy("className").agg(F.array_sort(F.collect_list(body)).alias("m")).select(
         F.concat(F.lit("src/"), "className", F.lit(".java")).alias("path"), F.concat(head, F.array_join("m", ""), F.lit("}\n")).alias("text")
@@ -472,9 +493,14 @@ def _(t):
     return trees.unpivot_arguments(code.method_rows(code.scan(java_files(t)))).select("filePath", "className", "methodName", "argIndex", "argName", "rawType")
 
 
-@query("tre08_control_flow", with_sql(["args_data"], "SELECT className, methodName, unnest(['if (x)', 'y(\"}\")', 'return']) AS processContent FROM (SELECT DISTINCT className, methodName FROM args_data)"))
+_STEPS = """('1', 'if (x)'), ('1.1', 'y("}")'), ('1.2', 'for (int i = 0; i < 3; i++)'), ('1.2.1', 'z()'), ('2', 'else'), ('2.1', 'w()'), ('3', 'return')"""
+
+
+@query("tre08_control_flow", with_sql(["args_data"], f"SELECT className, methodName, place, processContent FROM (SELECT DISTINCT className, methodName FROM args_data), (VALUES {_STEPS}) AS s(place, processContent)"))
 def _(t):
-    return code.scan(java_files(t)).where("kind = 'step'").select("className", "methodName", "processContent")
+    rows = code.method_rows(code.scan(java_files(t))).where(F.col("processContent") != trees.ARGUMENT_ROW)
+    place = F.array_join(F.filter(F.array(*(F.col(f"process{i}") for i in range(2, 10))), lambda x: x != -1), ".")
+    return rows.select("className", "methodName", place.alias("place"), "processContent")
 
 
 @query("ag10_source_counts", with_sql(["args_data"], "SELECT className, count(DISTINCT methodName) AS methodCount, 0::BIGINT AS variableCount, 1::BIGINT AS constantCount, 'import a.B' AS importList FROM args_data GROUP BY ALL"))
@@ -518,11 +544,36 @@ def _(t):
     return code.merged_routes(code.jsx_routes(_app(t)), code.object_route_rows(_app(t))).select("route", "strategy")
 
 
-@query("src15_jsx_elements", "SELECT 'P' || p_partkey AS componentName, 'input' AS tag, p_name AS ariaLabel, 'checkbox' AS typeAttr FROM part UNION ALL SELECT 'P' || p_partkey, 'a', NULL, NULL FROM part")
+_EDGES = "('/n#', 'navigate'), ('__back__', 'navigate.back'), ('/u/', 'location.href'), ('/list', 'Link'), ('/help', 'window.open'), ('/t#', 'Link')"
+
+
+@query("src14_transitions", f"SELECT 'src/N' || n_nationkey || '.tsx' AS sourceFile, if(p LIKE '%#', replace(p, '#', n_nationkey::VARCHAR), p) AS toPath, transitionType FROM nation, (VALUES {_EDGES}) AS e(p, transitionType)")
 def _(t):
-    text = F.concat(F.lit('const X = () => <div><input type="checkbox" aria-label="'), "p_name", F.lit('" disabled={a > b} /><a href="/x">go</a></div>'))
-    files = t["part"].select(F.concat(F.lit("src/P"), F.col("p_partkey").cast("string"), F.lit(".tsx")).alias("path"), text.alias("text"))
-    return code.jsx_elements(files).select("componentName", "tag", "ariaLabel", "typeAttr")
+    n = F.col("n_nationkey").cast("string")
+    text = F.concat(
+        F.lit("function P() { navigate('/n"), n, F.lit("?a=1'); navigate(-1); navigate(x); navigate('relative'); other.navigate('/no'); window.location.href = `/u/${id}?q`; window.open(\"/help?x\", '_blank');"
+        " return <div><Link className=\"l\" to=\"/list\">l</Link><Link to={`/t"), n, F.lit("`}>t</Link><NavLink to=\"/nav\">n</NavLink><Link to={target}>x</Link></div>; }"),
+    )
+    return code.transitions(t["nation"].select(F.concat(F.lit("src/N"), n, F.lit(".tsx")).alias("path"), text.alias("text")))
+
+
+def tsx_files(t: Tables):
+    """A component for each part, with an input, a link and buttons made in a loop."""
+    text = F.concat(
+        F.lit('const X = () => <form id="f1" className="main">\n<input type="checkbox" aria-label="'), "p_name", F.lit('" disabled={a > b} required maxLength={20} min="1" defaultValue={"d"} />\n<a href="/x" target="_blank">go</a>\n{rows.map(r => <button key={r} aria-expanded="true" hidden>b</button>)}\n</form>'),
+    )
+    return t["part"].select(F.concat(F.lit("src/P"), F.col("p_partkey").cast("string"), F.lit(".tsx")).alias("path"), text.alias("text"))
+
+
+@query("src15_jsx_elements", """SELECT 'P' || p_partkey AS componentName, 'src/P' || p_partkey || '.tsx' AS filePath, 'input' AS tag, p_name AS ariaLabel, 'checkbox' AS typeAttr, NULL AS href, NULL AS target, 20.0::DOUBLE AS maxLength, 1.0::DOUBLE AS minValue, 'd' AS defaultValue, NULL AS ariaExpanded,
+    true AS isRequired, false AS isDisabled, false AS isHidden, false AS isDynamic, 'form' AS parentScopeTag, 'main' AS parentScopeClass, 'f1' AS parentScopeId, 2::BIGINT AS lineNumber FROM part
+  UNION ALL SELECT 'P' || p_partkey, 'src/P' || p_partkey || '.tsx', 'a', NULL, NULL, '/x', '_blank', NULL, NULL, NULL, NULL, false, false, false, false, 'form', 'main', 'f1', 3 FROM part
+  UNION ALL SELECT 'P' || p_partkey, 'src/P' || p_partkey || '.tsx', 'button', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'true', false, false, true, true, 'form', 'main', 'f1', 4 FROM part""")
+def _(t):
+    return code.jsx_elements(tsx_files(t)).select(
+        "componentName", "filePath", "tag", "ariaLabel", "typeAttr", "href", "target", "maxLength", "minValue", "defaultValue", "ariaExpanded", "isRequired", "isDisabled", "isHidden", "isDynamic",
+        "parentScopeTag", "parentScopeClass", "parentScopeId", "lineNumber",
+    )
 
 
 @query("src16_component_files", "SELECT 'src/P' || s_suppkey || '.tsx' AS path FROM supplier WHERE s_nationkey > 5")
@@ -581,10 +632,3 @@ def _(t):
 def _(t):
     rows = t["instruction_rows"].where("convModel <> 'COLLECTION'")
     return generate.prepared(rows).withColumn("v", F.col("__normal")).select("CaseNo", F.col("v.value").alias("actualValue"))
-
-
-@query("rec04_data_paths", with_sql(["object_data"], "SELECT DISTINCT CASE position WHEN 'ELEMENT' THEN '[]' WHEN 'KEY' THEN '{key}' WHEN 'VALUE' THEN '{value}' ELSE '' END AS suffix FROM object_data WHERE parentObjectId > 0"))
-def _(t):
-    from loomspan.plans.instruct import object_edges
-
-    return object_edges(t["object_data"]).select("suffix").distinct()

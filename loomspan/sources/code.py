@@ -489,35 +489,108 @@ def file_route(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(named, "/"))
 
 
+def static_path(literal: Column) -> Column:
+    """The path of a string or template literal (with its quotes): up to the first "${" and "?", NULL unless it begins with "/"."""
+    bare = F.regexp_replace(literal, r"^[\"'`]|[\"'`]$", "")
+    cut = F.when(literal.startswith("`"), F.regexp_extract(bare, r"(?s)^(.*?)(?:\$\{|$)", 1)).otherwise(bare)
+    path = F.regexp_extract(cut, r"(?s)^[^?]*", 0)
+    return F.when(path.startswith("/"), path)
+
+
 def transitions(files: DataFrame) -> DataFrame:
-    """(path, text) to (sourceFile, toPath, transitionType): navigate(x) (a number goes back), location.href, <Link to>, window.open, <a href>."""
+    """(path, text) to (sourceFile, toPath, transitionType): navigate(x) (a number goes back), window.location.href, <Link to>, window.open, and <a href> of plain pages.
+
+    Other arguments than literals, and paths that don't begin with "/", give nothing; anchors keep their address as it is.
+    """
+    literal = r"(\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)"
     patterns = {
-        "navigate": r"\bnavigate\(\s*[\"'`]([^\"'`]+)[\"'`]", "back": r"\bnavigate\(\s*(-?\d+)\s*\)", "href": r"\bwindow\.location\.href\s*=\s*[\"'`]([^\"'`]+)[\"'`]",
-        "link": r"<(?:Link|NavLink)\b[^>]*?\bto\s*=\s*\{?\s*[\"'`]([^\"'`]+)[\"'`]", "open": r"\bwindow\.open\(\s*[\"'`]([^\"'`]+)[\"'`]", "anchor": r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']+)[\"']",
+        "navigate": rf"(?<![\w$.])navigate\(\s*{literal}\s*[,)]", "navigate.back": r"(?<![\w$.])navigate\(\s*([-+]?\s*\d[\d.]*)\s*[,)]",
+        "location.href": rf"(?<![\w$.])window\.location\.href\s*=\s*{literal}", "Link": rf"(?s)<Link\b[^>]*?\bto\s*=\s*\{{?\s*{literal}",
+        "window.open": rf"(?<![\w$.])window\.open\(\s*{literal}\s*[,)]", "anchor": r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']+)[\"']",
     }
-    found = F.create_map(*(v for name, p in patterns.items() for v in (F.lit(name), F.regexp_extract_all("text", F.lit(p), F.lit(1)))))
+    found = F.create_map(*(v for name, x in patterns.items() for v in (F.lit(name), F.regexp_extract_all("text", F.lit(x), F.lit(1)))))
     rows = files.select(F.col("path").alias("sourceFile"), F.explode(found).alias("transitionType", "paths"))
-    to = F.when(F.col("transitionType") == "back", "__back__").otherwise(F.col("toPath"))
-    return rows.select("sourceFile", F.explode("paths").alias("toPath"), "transitionType").withColumn("toPath", to)
+    kind, raw = F.col("transitionType"), F.col("raw")
+    to = F.when(kind == "navigate.back", "__back__").when(kind == "anchor", raw).otherwise(static_path(raw))
+    return rows.select("sourceFile", "transitionType", F.explode("paths").alias("raw")).select("sourceFile", to.alias("toPath"), "transitionType").where("toPath is not null")
 
 
 NATIVE_TAGS = ("input", "button", "select", "textarea", "a", "form", "label")
 
 
+# Columns of a UI element and the attributes they come from.
+TEXT_ATTRIBUTES = {
+    "idAttr": "id", "nameAttr": "name", "classNameAttr": "className", "dataTestId": "data-testid", "typeAttr": "type", "roleAttr": "role",
+    "ariaLabel": "aria-label", "ariaLabelledBy": "aria-labelledby", "htmlFor": "htmlFor", "placeholder": "placeholder", "labelProp": "label", "title": "title",
+    "pattern": "pattern", "inputMode": "inputMode", "accept": "accept", "autocomplete": "autoComplete", "href": "href", "target": "target", "formAction": "formAction", "formId": "form",
+    "ariaExpanded": "aria-expanded", "ariaControls": "aria-controls", "ariaHaspopup": "aria-haspopup", "ariaSelected": "aria-selected", "ariaChecked": "aria-checked", "defaultValue": "defaultValue",
+}
+NUMBER_ATTRIBUTES = {"maxLength": "maxLength", "minLength": "minLength", "maxValue": "max", "minValue": "min", "step": "step", "tabIndex": "tabIndex"}
+FLAG_ATTRIBUTES = {"isRequired": ("required",), "isDisabled": ("disabled",), "isReadonly": ("readOnly",), "isMultiple": ("multiple",), "isChecked": ("checked", "defaultChecked")}
+
+
 def jsx_elements(files: DataFrame, components: tuple[str, ...] = ("TextField", "Button", "Select", "Checkbox")) -> DataFrame:
-    """(path, text) to one row for each UI element: componentName, tag and the attributes that labels, scopes and interactions use."""
-    names = "|".join([*NATIVE_TAGS[:5], *components])
-    tag = rf"(?s)<({names})\b((?:[^>\"'{{}}]|\"[^\"]*\"|'[^']*'|\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})*)/?>"
-    rows = files.select(
-        F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("componentName"),
-        F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(tag), F.lit(1)).alias("tag"), F.regexp_extract_all("text", F.lit(tag), F.lit(2)).alias("attrs"))).alias("e"),
-    ).select("componentName", "e.tag", "e.attrs")
-    attributes = {
-        "ariaLabel": "aria-label", "labelProp": "label", "placeholder": "placeholder", "title": "title", "ariaLabelledBy": "aria-labelledby", "htmlFor": "htmlFor",
-        "formId": "form", "typeAttr": "type", "roleAttr": "role", "href": "href",
-    }
+    """(path, text) to one row for each UI element: componentName, filePath, tag, its attributes, state, constraints, parent and lineNumber.
+
+    An attribute is read if it is a literal, alone or in braces; a flag holds if it stands alone or is {true}. An
+    element is dynamic inside the callback of map, filter or forEach. Its parent is the innermost element open there.
+    """
+    names = frozenset([*NATIVE_TAGS[:5], *components])
+    text_names, number_names, flags = TEXT_ATTRIBUTES, NUMBER_ATTRIBUTES, FLAG_ATTRIBUTES
+    token = re.compile(r"<(/?)([A-Za-z][\w.]*)((?:\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}|\"[^\"]*\"|'[^']*'|[^<>{}\"'])*?)(/?)>", re.S)
+    attribute = re.compile(r"([A-Za-z_][\w:-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}))?", re.S)
+    columns = ["componentName", "filePath", "tag", *text_names, *number_names, *flags, "isHidden", "isDynamic", "parentScopeTag", "parentScopeClass", "parentScopeId", "lineNumber"]
+
+    def literal(raw: str | None) -> str | None:
+        """The text of a string, or of a string, number or truth value in braces."""
+        if raw is None:
+            return None
+        bare = raw[1:-1].strip() if raw[0] == "{" else raw
+        if bare[:1] in ("'", '"', "`") and bare[-1:] == bare[:1] and len(bare) > 1 and "${" not in bare:
+            return bare[1:-1]
+        return bare if re.fullmatch(r"-?\d+(?:\.\d+)?|true|false", bare) else None
+
+    def elements(path: str, text: str) -> list[dict]:
+        out: list[dict] = []
+        stack: list[tuple[str, dict]] = []
+        loops = [(m.end(), closing(text, m.end())) for m in re.finditer(r"\.(?:map|filter|forEach)\s*\(", text)]
+        for m in token.finditer(text):
+            tag = m[2]
+            if m[1]:
+                while stack and any(t == tag for t, _ in stack):
+                    if stack.pop()[0] == tag:
+                        break
+                continue
+            given = {k: v or None for k, v in reversed(attribute.findall(m[3]))}
+            value = {k: literal(v) for k, v in given.items()}
+            if tag in names:
+                above, of = stack[-1] if stack else ("root", {})
+                row = {"componentName": re.sub(r"\.[^.]*$", "", path.rsplit("/", 1)[-1]), "filePath": path, "tag": tag, "parentScopeTag": above, "parentScopeClass": of.get("className"), "parentScopeId": of.get("id")}
+                row |= {c: value.get(x) or None for c, x in text_names.items()}
+                for c, x in number_names.items():
+                    number = value.get(x)
+                    row[c] = float(number) if number and re.fullmatch(r"-?\d+(?:\.\d+)?", number) else None
+                held = lambda x: x in given and (given[x] is None or value[x] == "true")
+                row |= {c: any(held(x) for x in xs) for c, xs in flags.items()}
+                row["isHidden"] = value.get("type") == "hidden" or held("hidden") or value.get("aria-hidden") == "true"
+                row["isDynamic"] = any(a <= m.start() < b for a, b in loops)
+                row["lineNumber"] = text.count("\n", 0, m.start()) + 1
+                out.append(row)
+            if not m[4] and tag not in ("input", "img", "br", "hr"):
+                stack.append((tag, value))
+        return out
+
+    def closing(text: str, at: int) -> int:
+        depth = 1
+        while at < len(text) and depth:
+            depth += (text[at] == "(") - (text[at] == ")")
+            at += 1
+        return at
 
-    def value(name: str) -> Column:
-        return F.nullif(F.regexp_extract("attrs", rf"(?:^|\s){name}\s*=\s*\{{?\s*[\"'`]([^\"'`]*)[\"'`]", 1), F.lit(""))
+    def run(frames):
+        for frame in frames:
+            out = pd.DataFrame([r for path, text in zip(frame["path"], frame["text"]) for r in elements(path, text or "")], columns=columns).astype(object)
+            yield out.where(out.notna(), None)
 
-    return rows.select("componentName", "tag", *(value(a).alias(c) for c, a in attributes.items()), F.col("attrs").rlike(r"(?:^|\s)multiple\b").alias("isMultiple"), F.lit("root").alias("parentScopeTag"), F.lit(None).cast("string").alias("parentScopeClass"))
+    kinds = {c: "double" for c in number_names} | {c: "boolean" for c in [*flags, "isHidden", "isDynamic"]} | {"lineNumber": "bigint"}
+    return files.select("path", "text").mapInPandas(run, ", ".join(f"{c} {kinds.get(c, 'string')}" for c in columns))

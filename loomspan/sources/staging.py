@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tarfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,3 +132,51 @@ def bundle(files: Iterable[str], path: str) -> str:
         for name in names:
             tar.add(name, os.path.basename(name))
     return path
+
+
+class Store:
+    """A folder of tables that are replaced together: readers see all of the old tables or all of the new ones.
+
+    Each refresh writes a version of its own; a pointer file is then put in place by one rename. ``vacuum``
+    deletes the versions that the pointer doesn't name, ``reset`` all rows, ``drop`` the store.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _version(self) -> str | None:
+        pointers = [x.getPath().getName() for x in self._fs.listStatus(self._path(self.folder))] if self._fs.exists(self._path(self.folder)) else []
+        named = sorted(x for x in pointers if x.startswith("current-"))
+        return named[-1].split("-", 2)[2] if named else None
+
+    def refresh(self, tables: dict[str, DataFrame]) -> None:
+        """Write all tables, then make them the current ones; a failure before the end leaves the old ones."""
+        version = uuid.uuid4().hex
+        for name, df in tables.items():
+            df.write.parquet(f"{self.folder}/v-{version}/{name}")
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._path(self.folder))]
+        number = 1 + max([int(x.split("-")[1]) for x in names if x.startswith("current-")], default=0)
+        made = self._path(f"{self.folder}/new-{version}")
+        self._fs.create(made).close()
+        self._fs.rename(made, self._path(f"{self.folder}/current-{number:012d}-{version}"))
+
+    def table(self, name: str) -> DataFrame:
+        version = self._version()
+        if version is None:
+            raise ValueError(f"nothing is stored in {self.folder}")
+        return self.spark.read.parquet(f"{self.folder}/v-{version}/{name}")
+
+    def reset(self, *names: str) -> None:
+        """The named tables without rows."""
+        self.refresh({n: self.table(n).limit(0) for n in names})
+
+    def vacuum(self) -> None:
+        version = self._version()
+        for x in self._fs.listStatus(self._path(self.folder)):
+            if not x.getPath().getName().endswith(version or "-"):
+                self._fs.delete(x.getPath(), True)
+
+    def drop(self) -> None:
+        self._fs.delete(self._path(self.folder), True)

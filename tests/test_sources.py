@@ -1,5 +1,7 @@
 """Source scans, type trees, staging."""
 
+import tarfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,13 +75,40 @@ def test_typescript_routes_and_elements(spark):
     assert code.object_routes(text) == [("/", "Home"), ("/a/:id", "A"), ("/b", "B")]
     files = spark.createDataFrame([("src/P.tsx", text)], "path string, text string")
     assert [tuple(r)[1:] for r in code.jsx_routes(files).collect()] == [("/r", "R")]
-    assert {(r.toPath, r.transitionType) for r in code.transitions(files).collect()} == {("/x", "navigate"), ("__back__", "back"), ("/y", "href"), ("/z", "link"), ("/w", "open")}
+    assert {(r.toPath, r.transitionType) for r in code.transitions(files).collect()} == {("/x", "navigate"), ("__back__", "navigate.back"), ("/y", "location.href"), ("/z", "Link"), ("/w", "window.open")}
     e = {r.tag: r for r in code.jsx_elements(files).collect()}
     assert e["input"].typeAttr == "checkbox" and e["input"].ariaLabel == "ok" and e["TextField"].labelProp == "L" and e["select"].isMultiple and e["input"].componentName == "P"
     ts = code.parse_file("a.ts", "export class S { private readonly n: number = 1; run(a: string, b?: Foo<number>): void { go(); } }")
     assert {(r["fieldName"], r["fieldType"]) for r in ts if r["row"] == "field"} == {("n", "number"), ("a", "string"), ("b", "Foo<number>")}
 
 
+def test_prompts_and_bundles(tmp_path):
+    assert staging.fill_template("a {{X}} b {{Y}}", {"X": "{{Y}}", "Y": "2"}) == "a {{Y}} b 2"
+    with pytest.raises(ValueError):
+        staging.fill_template("{{X}} {{Z}}", {"X": "1"})
+    for name, text in (("a.csv", "x"), ("b.csv", "y"), ("none.csv", "")):
+        (tmp_path / name).write_text(text)
+    made = staging.bundle([str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], str(tmp_path / "in.tar.gz"))
+    with tarfile.open(made) as tar:
+        assert sorted(tar.getnames()) == ["a.csv", "b.csv"] and tar.extractfile("b.csv").read() == b"y"
+    for missing in ("none.csv", "lost.csv"):
+        with pytest.raises(ValueError):
+            staging.bundle([str(tmp_path / missing)], str(tmp_path / "bad.tar.gz"))
+
+
+def test_a_refresh_that_fails_leaves_all_old_tables(spark, tmp_path):
+    store = staging.Store(spark, f"{tmp_path}/store")
+    store.refresh({"a": spark.range(3), "b": spark.range(4)})
+    with pytest.raises(Exception):  # noqa: B017
+        store.refresh({"a": spark.range(5), "b": spark.range(4).select(F.raise_error(F.lit("no")).alias("id"))})
+    assert (store.table("a").count(), store.table("b").count()) == (3, 4)
+    store.refresh({"a": spark.range(7)})
+    store.vacuum()
+    assert store.table("a").count() == 7 and len([x for x in (tmp_path / "store").iterdir() if not x.name.endswith(".crc")]) == 2
+    store.drop()
+    assert not (tmp_path / "store").exists()
+
+
 MODELS = {"int": "NUMBER", "String": "STRING", "List": "COLLECTION", "Map": "MAP", "[]": "COLLECTION"}
 
 
