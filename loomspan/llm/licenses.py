@@ -51,17 +51,50 @@ TEMPLATES = {
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "GPL-2.0-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "GPL-3.0 text": "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users.",
+    "Apache-2.0 text": "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSL-1.0 notice": "Distributed under the Boost Software License, Version 1.0.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "EPL-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0.",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "CC0-1.0 deed": "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "MIT notice, licensed": "Licensed under the MIT License.",
+    "MIT-style notice": "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file.",
+    "BSD-style notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "Apache-2.0 SPDX": "SPDX-License-Identifier: Apache-2.0",
+    "MPL-2.0 SPDX": "SPDX-License-Identifier: MPL-2.0",
+    "EPL-2.0 SPDX": "SPDX-License-Identifier: EPL-2.0",
+    "BSD-2-Clause SPDX": "SPDX-License-Identifier: BSD-2-Clause",
+    "BSD-3-Clause SPDX": "SPDX-License-Identifier: BSD-3-Clause",
+    "GPL-2.0-only SPDX": "SPDX-License-Identifier: GPL-2.0-only",
+    "GPL-2.0-or-later SPDX": "SPDX-License-Identifier: GPL-2.0-or-later",
+    "GPL-3.0-only SPDX": "SPDX-License-Identifier: GPL-3.0-only",
+    "GPL-3.0-or-later SPDX": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "LGPL-2.1-or-later SPDX": "SPDX-License-Identifier: LGPL-2.1-or-later",
+    "AGPL-3.0-or-later SPDX": "SPDX-License-Identifier: AGPL-3.0-or-later",
 }
 
 
 @dataclass
 class Index:
-    """Templates by scale; keys[L][band] is sorted, owner[L][band] the template of each key."""
+    """Templates by scale; keys[L][band] is sorted, owner[L][band][k] the template of its key k."""
 
     names: list[str]
     sets: list[np.ndarray]
     keys: dict[int, np.ndarray]
-    owner: dict[int, list[int]]
+    owner: dict[int, np.ndarray]
     flips: np.ndarray
     odds: np.ndarray
 
@@ -80,8 +113,9 @@ def build(templates: dict[str, str], bands: int = BANDS) -> Index:
         if n:
             scales.setdefault(max(2, 1 << (n - 1).bit_length()), []).append(i)
     for scale, members in scales.items():
-        index.owner[scale] = members
-        index.keys[scale] = np.array([[((sets[i] ^ f) * o).min() for i in members] for f, o in zip(flips, odds)], np.uint64)
+        keys = np.array([[((sets[i] ^ f) * o).min() for i in members] for f, o in zip(flips, odds)], np.uint64)
+        order = np.argsort(keys, axis=1, kind="stable")
+        index.keys[scale], index.owner[scale] = np.take_along_axis(keys, order, 1), np.array(members)[order]
     return index
 
 
@@ -94,7 +128,7 @@ def find(w: tk.Words, index: Index) -> list[tuple[int, int, float, int, int]]:
     values, at = tk.shingles(w, WORDS)
     if not len(values):
         return []
-    places: set[tuple[int, int, int, int]] = set()
+    places: set[tuple[int, int, int]] = set()
     marks = {}
     for scale, keys in index.keys.items():
         half = scale // 2
@@ -113,11 +147,13 @@ def find(w: tk.Words, index: Index) -> list[tuple[int, int, float, int, int]]:
             window = least.copy()
             np.minimum(window[:-1], least[1:], out=window[:-1])
             np.minimum(window[:-2], least[2:], out=window[:-2])
-            for j in np.flatnonzero(tables[b][window >> tk.U(48)]).tolist():
-                for i in np.flatnonzero(index.keys[scale][b] == window[j]).tolist():
-                    places.add((int(starts[j]), index.owner[scale][i], scale, j))
+            near = np.flatnonzero(tables[b][window >> tk.U(48)])
+            row, owner = index.keys[scale][b], index.owner[scale][b]
+            low, high = np.searchsorted(row, window[near]), np.searchsorted(row, window[near], "right")
+            for j, k, end in zip(near.tolist(), low.tolist(), high.tolist()):
+                places.update((int(starts[j]), i, scale) for i in owner[k:end].tolist())
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for start, i, scale, _ in sorted(places):
+    for start, i, scale in sorted(places):
         r0 = int(np.searchsorted(at, start, "right")) - 1
         # The window may begin in one row and its template stand in the next.
         for r in {r0, min(int(np.searchsorted(at, min(start + 3 * scale // 2, at[-1]) - 1, "right")) - 1, len(at) - 2)}:
