@@ -1,3 +1,7 @@
+import random
+from collections import Counter, defaultdict
+
+import regex
 from pyspark.sql import functions as F
 
 from loomspan.llm import quotes
@@ -72,3 +76,80 @@ def test_long_lists_are_found_wrapped_in_another_way(spark):
 
 def test_empty_table(spark):
     assert out(spark, []) == []
+
+
+def normalised(text):
+    return regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).strip(" ")
+
+
+def passages(text):
+    """(level, text) of the runs of lines of one level, by a loop over lines."""
+    lines = []
+    for x in (text or "").split("\n"):
+        mark = regex.match(r"(?:[ \t]*>)*", x).group()
+        lines.append((mark.count(">"), regex.sub(r"^[ \t]?", "", x[len(mark) :]) if mark else x))
+    kept = [p for p, after in zip(lines, [*lines[1:], (0, "")]) if not (p[1].endswith(" wrote:") and after[0] > p[0])]
+    out = []
+    for level, line in kept:
+        if out and out[-1][0] == level:
+            out[-1][1].append(line)
+        else:
+            out.append((level, [line]))
+    return [(level, "\n".join(ls)) for level, ls in out]
+
+
+def all_units(text):
+    lines = [n for n in map(normalised, text.split("\n")) if n]
+    runs = {" ".join(lines[a:b]) for a in range(len(lines)) for b in range(a + 2, len(lines) + 1)}
+    sentences = set(map(normalised, regex.split(r"(?<=[.!?])\s+|\n\s*\n", text)))
+    long = {u for u in runs | sentences if len(u.split()) >= quotes.UNIT_WORDS}
+    return (long | set(lines) | {normalised(text)}) - {""}
+
+
+def brute_force(rows):
+    """(conv_id, turn): parent_turn, branch, place, linked."""
+    talks = defaultdict(lambda: defaultdict(list))
+    for conv, turn, _, text in rows:
+        talks[conv][turn] += passages(text)
+    want = {}
+    for conv, turns in talks.items():
+        first, branch, place, previous = {}, 0, -1, None
+        for t in sorted(turns):
+            for u in {u for level, p in turns[t] if not level for u in all_units(p)}:
+                first.setdefault(u, t)
+        for t in sorted(turns):
+            asked = {(level, u) for level, p in turns[t] if level for u in all_units(p)}
+            votes = Counter((level, first[u]) for level, u in asked if first.get(u, t) < t)
+            origin = min(votes, key=lambda v: (v[0], -votes[v], -v[1]))[1] if votes else None
+            parent = previous if origin is None else origin
+            branch, place = (branch + 1, 0) if parent != previous else (branch, place + 1)
+            want[conv, t] = (parent, branch, place, origin is not None)
+            previous = t
+    return want
+
+
+def test_links_and_order_equal_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(30)]
+    rows, written = [], defaultdict(list)
+    for conv in range(40):
+        for turn in range(rng.randrange(2, 14)):
+            lines = []
+            for _ in range(rng.randrange(0, 4)):
+                if written[conv] and rng.random() < 0.7:
+                    source = rng.choice(written[conv]).split("\n")
+                    a = rng.randrange(len(source))
+                    words = " ".join(source[a : a + rng.randrange(1, 4)]).split()
+                    step, level = rng.randrange(2, 8), rng.choice(["> ", ">", ">> ", "> > "])
+                    lines += [rng.choice(["X wrote:", "see:"])] if rng.random() < 0.3 else []
+                    lines += [level + " ".join(words[i : i + step]).upper() for i in range(0, len(words), step)]
+                else:
+                    lines += ["> " + " ".join(rng.choices(vocabulary, k=rng.randrange(1, 4)))] * (rng.random() < 0.3)
+            own = "\n".join("".join(w + rng.choice([" "] * 6 + [". ", ", "]) for w in rng.choices(vocabulary, k=rng.randrange(1, 6))) for _ in range(rng.randrange(1, 5)))
+            written[conv].append(own)
+            rows.append((conv, turn * 3, "user", "\n".join([*lines, own] if rng.random() < 0.8 else [own, *lines])))
+            if rng.random() < 0.05:
+                rows.append(rows[-1])
+    want = brute_force(rows)
+    assert sum(w[3] for w in want.values()) > 60 and sum(w[1] > 0 for w in want.values()) > 60
+    assert {(r.conv_id, r.turn): (r.parent_turn, r.branch, r.place, r.linked) for r in out(spark, rows)} == want
