@@ -11,11 +11,18 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch on the way to Python while a table is written; only a single longer row goes beyond it.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder as a URI or path."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -43,10 +50,22 @@ def new_table(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches limited by bytes, so that long texts don't add up to 10,000 rows of them in the executor and its workers; the session's own setting is put back."""
+    own = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, own)
+
+
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df through a Parquet table in the shared folder: computed once (a checkpoint computes it twice), cut from its lineage, of a known size."""
     path = path or new_table(df.sparkSession)
-    df.write.parquet(path)
+    with _small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text handled at once; only a single longer row goes beyond it.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240611))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _BASE = 0x9E3779B97F4A7C15
