@@ -52,6 +52,8 @@ COPY, TIED = 0.85, 0.45
 NOISE = 0.06
 #: Shingles that meet in one verifying group, about.
 GROUP_SHINGLES = 1_000_000
+#: Bytes of text handled at once.
+SLICE_BYTES = 1 << 20
 _A_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -85,7 +87,7 @@ def _sketcher(n: int, trees: int, depth: int):
 
     def sketch(batches):
         for batch in batches:
-            for part in tk.slices(batch):
+            for part in tk.slices(batch, size=SLICE_BYTES):
                 values, at = tk.shingles(tk.words(part.column("text")), n)
                 unique, begin = tk.row_sets(values, at)
                 size = np.diff(begin)
@@ -260,7 +262,7 @@ def _verifier(threshold: float):
 def _sets(n: int):
     def sets(batches):
         for batch in batches:
-            for part in tk.slices(batch):
+            for part in tk.slices(batch, size=SLICE_BYTES):
                 unique, begin = tk.row_sets(*tk.shingles(tk.words(part.column("text")), n))
                 blob = [unique[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
                 names = [x for x in part.schema.names if x != "text"]

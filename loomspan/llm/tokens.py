@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text handled at once; only a single longer row goes beyond it.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240611))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -42,7 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(base: int, n: int) -> np.ndarray:
     if len(_powers.get(base, ())) < n:
-        steps = np.full(max(n, SLICE_BYTES + 1024), base, np.uint64)
+        steps = np.full(1 << (n - 1).bit_length(), base, np.uint64)
         steps[0] = 1
         _powers[base] = np.cumprod(steps, dtype=np.uint64)
     return _powers[base][:n]
@@ -73,12 +73,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in runs of about SLICE_BYTES of text."""
+def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``size`` bytes of text."""
     _, at = buffers(batch.column(text))
     begin = 0
     while begin < batch.num_rows:
-        end = int(np.searchsorted(at, at[begin] + SLICE_BYTES, "right")) - 1
+        end = int(np.searchsorted(at, at[begin] + size, "right")) - 1
         end = max(begin + 1, min(end, batch.num_rows))
         yield batch.slice(begin, end - begin)
         begin = end
