@@ -15,8 +15,8 @@ Its trie has three levels:
 
 All sequences are Elias-Fano coded and looked up by successor search. Levels are
 cut into shards of about as many tokens, each built in one task from counts that
-were summed before the shuffle, and written as plain files into the shared
-folder. Words are cut by their hash, pairs and triples at the words and pairs
+were summed before the shuffle. The shards of a level are then joined in one
+plain file in the shared folder, with a table of where each is. Words are cut by their hash, pairs and triples at the words and pairs
 that the shards of the level above begin with; a word or pair that has more
 tokens than a shard (``SHARD_TOKENS``) is cut further, at even steps of what may
 follow it. A shard's keys are relative to its first context and packed with the
@@ -40,16 +40,17 @@ from __future__ import annotations
 import math
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import tokens as tk
-from loomspan.llm.eliasfano import EliasFano, save
+from loomspan.llm.eliasfano import EliasFano, Joined, Layout, joined, save, save_shard
 from loomspan.llm.storage import local_folder
 
 U = np.uint64
@@ -65,6 +66,10 @@ STEP = 0.03
 #: Bytes of text for each token that a shard may have, about; a word or pair with more tokens than that is cut.
 TOKEN_BYTES = 8
 _CACHE_BITS = 20
+#: What a shard of each level holds.
+WORDS: Layout = {"words": None, "counts": "<i8"}
+PAIRS: Layout = {"pairs": None, "starts": None, "pair_p": "u1", "weights": "u1"}
+TRIPLES: Layout = {"triples": None, "triple_p": "u1", "pair_w": "u1"}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -165,19 +170,12 @@ class Cuts:
         return self.keys.join(shard, ((context - self.lo[shard]) * self.width + item).astype(np.uint64))
 
 
-def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    shard = shard.astype(np.int16) if len(shard) and shard.max() < 1 << 15 else shard  # small numbers are sorted by radix
-    order = np.argsort(shard, kind="stable")
-    cuts = np.flatnonzero(np.diff(shard[order])) + 1
-    for part in np.split(order, cuts) if len(order) else ():
-        yield int(shard[part[0]]), part
-
-
 class Trie:
-    """The levels that exist so far, memory-mapped shard by shard as they are asked for."""
+    """The levels that exist so far, each one memory-mapped file with the tables of its shards."""
 
     def __init__(self, model: Model):
-        self.m, self.open = model, {}
+        self.m = model
+        self.level = {x: Joined(f"{model.folder}/{x}.joined", layout, self._table(f"{x}_shards")) for x, layout in self._layouts()}
         self.value = np.concatenate([[0.0], 10.0 ** (-model.step * np.arange(255))])
         self.first = self._table("first") if model.levels else np.zeros(1, np.int64)
         self.pairs = self._cuts("pairs", model.n_words, model.n_words) if model.levels and model.n_words else None
@@ -193,30 +191,23 @@ class Trie:
     def _table(self, name: str) -> np.ndarray:
         return np.load(f"{self.m.folder}/{name}.npy", mmap_mode="r").view(np.ndarray)
 
+    def _layouts(self) -> list[tuple[str, Layout]]:
+        built = self.m.levels if self.m.n_words else 0
+        return [("words", WORDS), ("pairs", PAIRS), ("triples", TRIPLES)][:built]
+
     def _cuts(self, level: str, end: int, width: int) -> Cuts:
         return Cuts(*(self._table(f"{level}_{x}") for x in ("lo", "parts", "span")), end, width, self.m.pack)
 
-    def _sequence(self, name: str, shard: int) -> EliasFano:
-        if (name, shard) not in self.open:
-            self.open[name, shard] = EliasFano.mapped(f"{self.m.folder}/{name}-{shard}")
-        return self.open[name, shard]
-
-    def _array(self, name: str, shard: int) -> np.ndarray:
-        if (name, shard) not in self.open:
-            self.open[name, shard] = self._table(f"{name}-{shard}")
-        return self.open[name, shard]
-
     def shard_of(self, h: np.ndarray) -> np.ndarray:
         return (h >> U(64 - self.m.bits)).astype(np.int64) if self.m.bits else np.zeros(len(h), np.int64)
 
     def successors(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place of the first pair of each word, the weight of its back-off, and the number of its successors."""
-        starts, weights, degrees = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.uint8), np.zeros(len(ids), np.int64)
-        for s, part in _by_shard(self.pairs.of(ids, 0)):
-            local, sequence = ids[part] - self.pairs.lo[s], self._sequence("starts", s)
-            begin = sequence[local].astype(np.int64)
-            starts[part], weights[part] = begin + self.base[s], self._array("weights", s)[local]
-            degrees[part] = sequence[local + 1].astype(np.int64) - begin
+        level, s = self.level["pairs"], self.pairs.of(ids, 0)
+        local, sequence = ids - self.pairs.lo[s], level.sequences["starts"]
+        begin = sequence.at(s, local).astype(np.int64)
+        starts, weights = begin + self.base[s], level.values("weights", s, local)
+        degrees = sequence.at(s, local + 1).astype(np.int64) - begin
         if len(self.hot_word):
             place = np.minimum(np.searchsorted(self.hot_word, ids), len(self.hot_word) - 1)
             hot = np.flatnonzero(self.hot_word[place] == ids)
@@ -231,12 +222,11 @@ class Trie:
         if len(missing):
             ids, counts = np.full(len(missing), -1, np.int64), np.zeros(len(missing), np.int64)
             starts, weights = np.zeros(len(missing), np.int64), np.zeros(len(missing), np.uint8)
-            for s, part in _by_shard(self.shard_of(missing)) if self.m.n_words else ():
-                if self.first[s] == self.first[s + 1]:
-                    continue
-                place, known = self._sequence("words", s).successor(missing[part] & self._rest())
-                part, place = part[known], place[known]
-                ids[part], counts[part] = place + self.first[s], self._array("counts", s)[place]
+            if self.m.n_words:
+                s = self.shard_of(missing)
+                place, known = self.level["words"].sequences["words"].successor(s, missing & self._rest())
+                ids[known] = place[known] + self.first[s[known]]
+                counts[known] = self.level["words"].values("counts", s[known], place[known])
             known = np.flatnonzero(ids >= 0)
             if whole and len(known):
                 starts[known], weights[known], _ = self.successors(ids[known])
@@ -248,7 +238,6 @@ class Trie:
                 hit = missing[np.minimum(place, len(missing) - 1)] == h[lost]
                 if not hit.all():  # a cached word was overwritten in this batch
                     again = Trie(self.m)
-                    again.open = self.open
                     found = again.words(h[lost[~hit]], whole)
                     got = {"lost": lost[~hit], "found": found}
                 place = np.where(hit, np.minimum(place, len(missing) - 1), 0)
@@ -278,20 +267,15 @@ class Trie:
         new = np.ones(len(both), bool)
         new[1:] = both[1:] != both[:-1]
         shard, keys = cuts.keys.split(both[new])
-        place = np.full(len(keys), -1, np.int64)
+        at, found = self.level[level].sequences[level].successor(shard, keys)
+        known = np.flatnonzero(found)
+        place, at, shard = np.full(len(keys), -1, np.int64), at[known], shard[known]
+        place[known] = at + self.base[shard] if level == "pairs" and self.m.levels > 1 else at
         got = [np.zeros(len(keys), np.uint8) for _ in values]
-        edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(keys)]
-        for a, b in zip(edges, edges[1:]):
-            if a == b:
-                continue
-            s = int(shard[a])
-            at, known = self._sequence(level, s).successor(keys[a:b])
-            place[a:b] = np.where(known, at + (self.base[s] if level == "pairs" and self.m.levels > 1 else 0), -1)
-            for g, name in zip(got, values):
-                if name != "pair_w" and known.any():
-                    g[a:b][known] = self._array(name, s)[at[known]]
+        for g, name in zip(got, values):
+            if name != "pair_w":
+                g[known] = self.level[level].values(name, shard, at)
         if "pair_w" in values:
-            known = np.flatnonzero(place >= 0)
             got[values.index("pair_w")][known] = self._pair_weights(place[known])
         back = np.empty(len(order), np.int64)
         back[order] = np.cumsum(new) - 1
@@ -299,11 +283,8 @@ class Trie:
 
     def _pair_weights(self, place: np.ndarray) -> np.ndarray:
         """Back-off weights of the pairs at ``place``, in order; they are kept with the triples."""
-        out, shard = np.zeros(len(place), np.uint8), self.triples.of(place, 0)
-        edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(place)]
-        for a, b in zip(edges, edges[1:]):
-            if b > a:
-                out[a:b] = self._array("pair_w", int(shard[a]))[place[a:b] - self.triples.lo[shard[a]]]
+        shard = self.triples.of(place, 0)
+        out = self.level["triples"].values("pair_w", shard, place - self.triples.lo[shard])
         if len(self.hot_pair):
             at = np.minimum(np.searchsorted(self.hot_pair, place), len(self.hot_pair) - 1)
             hot = self.hot_pair[at] == place
@@ -363,7 +344,7 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 _COUNTED = "shard int, keys binary, counts binary"
-_BUILT = "shard int, n bigint, total bigint, most bigint, hot array<bigint>, hot_n array<bigint>, hot_item array<bigint>"
+_BUILT = "shard int, n bigint, total bigint, most bigint, hot array<bigint>, hot_n array<bigint>, hot_item array<bigint>, figures array<bigint>"
 
 
 def _build(train: DataFrame, keys_of, keys_for, builder) -> dict:
@@ -371,8 +352,8 @@ def _build(train: DataFrame, keys_of, keys_for, builder) -> dict:
     counted = train.mapInArrow(_summing(keys_of, keys_for), _COUNTED)
 
     def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        n, total, most, *hot = builder(key[0].as_py(), *_merged(table))
-        lists = {f"hot{x}": pa.array([v.tolist()], pa.list_(pa.int64())) for x, v in zip(("", "_n", "_item"), hot)}
+        n, total, most, *arrays = builder(key[0].as_py(), *_merged(table))
+        lists = {x: pa.array([list(v)], pa.list_(pa.int64())) for x, v in zip(("hot", "hot_n", "hot_item", "figures"), arrays)}
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": [n], "total": [total], "most": [most], **lists})
 
     return {r.shard: r for r in counted.groupBy("shard").applyInArrow(build, _BUILT).collect()}
@@ -394,6 +375,36 @@ def _pairs(t: Trie, h: np.ndarray, at: np.ndarray, whole: bool):
     return ids, counts, starts, weights, inner, second
 
 
+def _join(spark: SparkSession, folder: str, level: str, layout: Layout, figures: list[list[int] | None]) -> None:
+    """Copies the files of a level's shards into one, each at its place, and deletes them."""
+    table, begin, size = joined(layout, figures)
+    save(f"{folder}/{level}_shards", table)
+    held = np.flatnonzero(table[:, -1])
+    save(f"{folder}/{level}_places", np.stack([held, begin[held]]))
+    path = f"{folder}/{level}.joined"
+    with Path(path).open("wb") as f:
+        f.truncate(size)
+
+    def copy(batches):
+        shards, places = np.load(f"{folder}/{level}_places.npy", mmap_mode="r")
+        n = 0
+        for batch in batches:
+            for i in batch.column("id").to_numpy():
+                data = Path(f"{folder}/{level}-{shards[i]}").read_bytes()
+                with Path(path).open("r+b") as f:
+                    f.seek(places[i])
+                    f.write(data)
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    copied = spark.range(0, len(held), 1, -(-len(held) // 8)).mapInArrow(copy, "n bigint")
+    if sum(r.n for r in copied.collect()) != len(held):
+        raise OSError(f"the shards of {path} were not all copied")
+    for s in held.tolist():
+        os.remove(f"{folder}/{level}-{s}")
+    os.remove(f"{folder}/{level}_places.npy")
+
+
 def _put(folder: str, **tables: list | np.ndarray) -> None:
     for name, values in tables.items():
         save(f"{folder}/{name}", np.asarray(values))
@@ -417,10 +428,9 @@ def fit(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYT
         return Keys(shards, (1 << 64 - bits) - 1)
 
     def build_words(shard, keys, counts):
-        EliasFano.of(keys).save(f"{folder}/words-{shard}")
-        save(f"{folder}/counts-{shard}", counts)
+        figures = save_shard(f"{folder}/words-{shard}", WORDS, words=EliasFano.of(keys), counts=counts)
         followed = np.where((keys == END & U((1 << 64 - bits) - 1)) & (shard == int(END) >> 64 - bits), 0, counts)  # nothing follows the end
-        return len(keys), int(counts.sum()), int(counts.max()), *_hot(keys, followed, most, keys * U(0))
+        return len(keys), int(counts.sum()), int(counts.max()), *_hot(keys, followed, most, keys * U(0)), figures
 
     got = _build(train, word_keys, of_words, build_words)
     first = np.concatenate([[0], np.cumsum([got[s].n if s in got else 0 for s in range(shards)])]).astype(np.int64)
@@ -430,6 +440,7 @@ def fit(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYT
     model = Model(folder, bits, 1, n_words, sum(r.total for r in got.values()), 1, step, pack)
     if not n_words:
         return model
+    _join(spark, folder, "words", WORDS, [got[s].figures if s in got else None for s in range(shards)])
     hot_words = {int(first[r.shard]) + w: n for r in got.values() for w, n in zip(r.hot, r.hot_n)}
     lo, parts, span = Cuts.at(first[:-1][np.diff(first) > 0].tolist(), {w: (n, n_words) for w, n in hot_words.items()}, most, n_words)
     _put(folder, pairs_lo=lo, pairs_parts=parts, pairs_span=span)
@@ -449,17 +460,19 @@ def fit(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYT
         total, degree = np.bincount(word, counts, n), np.bincount(word, minlength=n)
         if parts[shard] > 1:
             total[:] = hot_words[int(lo[shard])]
-        EliasFano.of(keys).save(f"{folder}/pairs-{shard}")
-        EliasFano.of(np.concatenate([[0], np.cumsum(degree)])).save(f"{folder}/starts-{shard}")
-        save(f"{folder}/pair_p-{shard}", codes((counts - DISCOUNT) / total[word], step))
-        save(f"{folder}/weights-{shard}", codes(DISCOUNT * degree / np.maximum(total, 1), step))
-        return len(keys), int(counts.sum()), int(degree.max()), *_hot(keys, counts, most, keys % U(n_words))
+        pair_p, weights = codes((counts - DISCOUNT) / total[word], step), codes(DISCOUNT * degree / np.maximum(total, 1), step)
+        starts = EliasFano.of(np.concatenate([[0], np.cumsum(degree)]))
+        figures = save_shard(f"{folder}/pairs-{shard}", PAIRS, pairs=EliasFano.of(keys), starts=starts, pair_p=pair_p, weights=weights)
+        return len(keys), int(counts.sum()), int(degree.max()), *_hot(keys, counts, most, keys % U(n_words)), figures
 
     got = _build(train, pair_keys, of_pairs, build_pairs)
+    figures = {s: r.figures for s, r in got.items()}
+    none = np.zeros(0, np.uint64)
     for s in set(range(len(lo))) - set(got):  # words without successors
-        EliasFano.of(np.zeros(0, np.uint64)).save(f"{folder}/pairs-{s}")
-        EliasFano.of(np.zeros(int(words_in[s]) + 1, np.uint64)).save(f"{folder}/starts-{s}")
-        save(f"{folder}/weights-{s}", np.zeros(int(words_in[s]), np.uint8))
+        n = int(words_in[s])
+        starts, weights = EliasFano.of(np.zeros(n + 1, np.uint64)), np.zeros(n, np.uint8)
+        figures[s] = save_shard(f"{folder}/pairs-{s}", PAIRS, pairs=EliasFano.of(none), starts=starts, pair_p=none, weights=weights)
+    _join(spark, folder, "pairs", PAIRS, [figures[s] for s in range(len(lo))])
     base = np.concatenate([[0], np.cumsum([got[s].n if s in got else 0 for s in range(len(lo))])]).astype(np.int64)
     n_pairs = int(base[-1])
     cut = sorted(w for w in hot_words if parts[np.searchsorted(lo, w)] > 1)
@@ -493,16 +506,16 @@ def fit(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYT
         total, different = np.bincount(pair, counts, n), np.bincount(pair, minlength=n)
         if parts3[shard] > 1:
             total[:] = hot_pairs[int(lo3[shard])][0]
-        EliasFano.of(keys).save(f"{folder}/triples-{shard}")
-        save(f"{folder}/triple_p-{shard}", codes((counts - DISCOUNT) / total[pair], step))
-        save(f"{folder}/pair_w-{shard}", codes(DISCOUNT * different / np.maximum(total, 1), step))
-        none = np.zeros(0, np.int64)
-        return len(keys), int(counts.sum()), int(different.max()), none, none, none
+        triple_p, pair_w = codes((counts - DISCOUNT) / total[pair], step), codes(DISCOUNT * different / np.maximum(total, 1), step)
+        figures = save_shard(f"{folder}/triples-{shard}", TRIPLES, triples=EliasFano.of(keys), triple_p=triple_p, pair_w=pair_w)
+        return len(keys), int(counts.sum()), int(different.max()), [], [], [], figures
 
     got = _build(train, triple_keys, of_triples, build_triples)
+    figures = {s: r.figures for s, r in got.items()}
     for s in set(range(len(lo3))) - set(got):
-        EliasFano.of(np.zeros(0, np.uint64)).save(f"{folder}/triples-{s}")
-        save(f"{folder}/pair_w-{s}", np.zeros(int(pairs_in[s]), np.uint8))
+        pair_w = np.zeros(int(pairs_in[s]), np.uint8)
+        figures[s] = save_shard(f"{folder}/triples-{s}", TRIPLES, triples=EliasFano.of(none), triple_p=none, pair_w=pair_w)
+    _join(spark, folder, "triples", TRIPLES, [figures[s] for s in range(len(lo3))])
     cut = sorted(p for p in hot_pairs if parts3[np.searchsorted(lo3, p)] > 1)
     begin, end = np.searchsorted(lo3, cut, "left"), np.searchsorted(lo3, cut, "right")
     different = np.array([sum(got[s].n for s in range(a, b) if s in got) for a, b in zip(begin, end)], np.float64)

@@ -1,5 +1,7 @@
 import math
+import os
 import random
+import resource
 import zlib
 from collections import Counter
 
@@ -104,3 +106,24 @@ def test_no_probability_is_out_of_reach():
         p = (1 - ngram.DISCOUNT) / most
         code = int(ngram.codes(ngram.np.array([p]), step)[0])
         assert abs(math.log10(10 ** (-step * (code - 1)) / p)) <= 0.51 * step <= 0.03
+
+
+def test_more_shards_than_files_may_be_open(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rows = odd_rows() + hot_rows()
+    model = ngram.fit(frame(spark, rows), shard_bytes=800)
+    free = 40
+    before = resource.getrlimit(resource.RLIMIT_NOFILE)
+    held = set(map(int, os.listdir("/proc/self/fd")))
+    resource.setrlimit(resource.RLIMIT_NOFILE, (max(held) + free, before[1]))
+    try:
+        t = ngram.Trie(model)
+        assert len(t.first) + len(t.pairs.lo) + len(t.triples.lo) > 5 * free
+        h, at = ngram.tokens(pa.array([r[1] for r in rows], pa.string()))
+        score = np.add.reduceat(ngram.log_probabilities(t, h, at)[2], at[:-1])
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, before)
+    for n, got, want in zip(np.diff(at), score, brute(rows)):
+        assert abs(got - want[6]) <= ngram.STEP * 0.51 * n
