@@ -8,7 +8,7 @@ import tarfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,19 +99,24 @@ def cleaned(df: DataFrame, integers: Iterable[str]) -> tuple[DataFrame, DataFram
     return out.where(good), df.where(bad)
 
 
-def constrained(df: DataFrame, key: list[str], checks: dict[str, Column], required: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected with reasons): NOT NULL columns, CHECKs (NULL passes) and a primary key, of which the first row by value stays."""
+def judged(df: DataFrame, key: list[str], checks: dict[str, Column], required: Iterable[str] = ()) -> DataFrame:
+    """df with ``reasons``, empty for accepted rows: NOT NULL columns, CHECKs (NULL passes) and a primary key, of which the first row by value stays.
+
+    One shuffle by the key; rows that break a check don't count for it.
+    """
     reasons = [F.when(F.col(f"`{c}`").isNull(), f"{c} is null") for c in required]
     reasons += [F.when(~F.coalesce(ok, F.lit(True)), name) for name, ok in checks.items()]
-    judged = df.withColumn("__reasons", F.array_compact(F.array(*reasons)) if reasons else F.array().cast("array<string>"))
-    fine, bad = judged.where(F.size("__reasons") == 0).drop("__reasons"), judged.where(F.size("__reasons") > 0)
-    names = df.columns
-    row = F.struct(*(F.col(f"`{c}`") for c in names))
-    groups = fine.groupBy(*(F.col(f"`{c}`") for c in key)).agg(F.min(row).alias("r"), F.count("*").alias("n"))
-    kept = groups.select("r.*").select(*(F.col(f"`{c}`") for c in names))
-    again = fine.join(groups.where("n > 1").select(*(F.col(f"`{c}`") for c in key)), key, "left_semi").select(*(F.col(f"`{c}`") for c in names)).exceptAll(kept)
-    out = bad.withColumnRenamed("__reasons", "reasons").unionByName(again.withColumn("reasons", F.array(F.lit("primary key"))))
-    return kept, out
+    rows = df.withColumn("__reasons", F.array_compact(F.array(*reasons)) if reasons else F.array().cast("array<string>")).withColumn("__fine", F.size("__reasons") == 0)
+    names = [F.col(f"`{c}`") for c in df.columns]
+    order = Window.partitionBy(*(F.col(f"`{c}`") for c in key), "__fine").orderBy(*([n for n, c in zip(names, df.columns) if c not in key] or [F.lit(0)]))
+    again = F.col("__fine") & (F.col("__row") > 1)
+    return rows.withColumn("__row", F.row_number().over(order)).select(*names, F.when(again, F.array(F.lit("primary key"))).otherwise(F.col("__reasons")).alias("reasons"))
+
+
+def constrained(df: DataFrame, key: list[str], checks: dict[str, Column], required: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with reasons) of ``judged``."""
+    rows = judged(df, key, checks, required)
+    return rows.where(F.size("reasons") == 0).drop("reasons"), rows.where(F.size("reasons") > 0)
 
 
 def fill_template(text: str, values: dict[str, str]) -> str:
