@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.functions.batches import batches
 from loomspan.functions.hashes import poly31
 
 # Tags that group, and tags that are operated on.
@@ -167,8 +168,8 @@ def nodes(pages: DataFrame, name: str = "url", html: str = "html") -> DataFrame:
 
     def run(frames):
         for frame in frames:
-            rows = [r for screen, text in zip(frame["screen"], frame["html"]) for r in page_nodes(screen, text)]
-            yield pd.DataFrame(rows, columns=columns).astype(object).where(lambda d: d.notna(), None)
+            for rows in batches(r for screen, text in zip(frame["screen"], frame["html"]) for r in page_nodes(screen, text)):
+                yield pd.DataFrame(rows, columns=columns).astype(object).where(lambda d: d.notna(), None)
 
     return pages.select(F.col(name).cast("string").alias("screen"), F.col(html).alias("html")).mapInPandas(run, NODE_SCHEMA)
 
