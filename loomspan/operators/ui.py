@@ -33,8 +33,7 @@ def scopes(elements: DataFrame) -> DataFrame:
     form = _given("formId")
     key = F.when(form.isNotNull(), F.concat(F.lit("form__"), form)).otherwise(F.concat_ws("__", "parentScopeTag", F.coalesce("parentScopeClass", F.lit(""))))
     keyed = elements.withColumn("__form", form.isNotNull()).withColumn("__key", key)
-    sizes = keyed.groupBy("componentName", "__form", "__key").agg(F.count("*").alias("siblingCount"))
-    out = keyed.join(sizes, ["componentName", "__form", "__key"])
+    out = keyed.withColumn("siblingCount", F.count("*").over(Window.partitionBy("componentName", "__form", "__key")))  # elements are scanned once, and nothing is broadcast
     group = md5_prefix(F.concat(F.col("componentName"), F.lit("__"), F.col("__key")))
     return out.withColumn("scopeGroupId", F.when(F.col("siblingCount") >= 2, group)).select(*elements.columns, "siblingCount", "scopeGroupId")
 
@@ -78,8 +77,8 @@ ELEMENT_COLUMNS = (
 
 
 def resolved(elements: DataFrame) -> DataFrame:
-    """Scanned elements with labels, scopes and interactions."""
-    return interactions(scopes(labels(elements)))
+    """Scanned elements with labels, scopes and interactions; one shuffle, by component, serves this and what groups by component afterwards."""
+    return interactions(scopes(labels(elements.repartition("componentName"))))
 
 
 def element_rows(elements: DataFrame) -> DataFrame:
